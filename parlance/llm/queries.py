@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, url_filters
+from . import bpe, chat, mixing, url_filters
 from .common import read
 
 
@@ -18,12 +19,16 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_tricky(read(spark, sf_dir, "conversations"))))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op10_url_filters": op10_url_filters}
+    return {"op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
