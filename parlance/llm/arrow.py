@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -14,7 +15,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.frombuffer(values.value_lengths().fill_null(0).cast(pa.int64()).buffers()[1], np.int64, len(values)))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy().astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
