@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, url_filters
+from . import bpe, chat, mixing, ngram_join, url_filters
 from .common import read
 
 
@@ -19,6 +19,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_tricky(read(spark, sf_dir, "conversations"))))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,7 +32,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
+    return {"op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
