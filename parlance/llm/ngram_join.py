@@ -101,10 +101,12 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int, text: str) ->
             marks = hashes[starts[count >= FREQUENT]]
             out: dict[str, list] = {"bucket": [], "frequent": [], "pairs": []}
             for is_hot, h, o in ((False, np.r_[hashes[~hot], marks], np.r_[owners[~hot], np.zeros(len(marks), np.int64)]), (True, hashes[hot], owners[hot])):
+                if not len(h):
+                    continue
                 by = (o.view(np.uint64) if is_hot else mix(h)) % np.uint64(buckets)
                 order = np.argsort(by, kind="stable")
                 h, o, by = h[order], o[order], by[order]
-                cuts = np.flatnonzero(np.r_[True, by[1:] != by[:-1]]) if len(by) else np.zeros(0, int)
+                cuts = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
                 for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
                     out["bucket"].append(int(by[a]))
                     out["frequent"].append(is_hot)
