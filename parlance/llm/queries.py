@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, ngram_join, toxicity, url_filters
+from . import bpe, chat, media, mixing, ngram_join, toxicity, url_filters
 from .common import read
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,8 +40,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
+    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_toxicity": op2_toxicity, "op3_mixing": mixing.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL}
+    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": mixing.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL}
