@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, ngram_join, toxicity, url_filters
+from . import bpe, chat, media, mixing, ngram_join, pii, toxicity, url_filters
 from .common import read
 
 
@@ -31,6 +31,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,7 +44,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
+    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
