@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, ngram_join, pii, toxicity, url_filters
+from . import bpe, chat, language, media, mixing, ngram_join, pii, toxicity, url_filters
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(read(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_tricky(read(spark, sf_dir, "conversations"))))
 
@@ -44,7 +48,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
+    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
