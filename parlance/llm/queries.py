@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, media, mixing, ngram_join, pii, toxicity, url_filters
+from . import bpe, chat, fertility, language, media, mixing, ngram_join, pii, toxicity, url_filters
 from .common import read
 
 
@@ -43,12 +43,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op10_url_filters": op10_url_filters}
+    return {"op1_media_columns": op1_media_columns, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_language_id": op4_language_id, "op5_chat_formatting": op5_chat_formatting, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_quality_rules": op9_quality_rules, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
