@@ -78,6 +78,25 @@ def thresholds(sized: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits:
     return state.select("source", "budget", F.col("prefix").alias("threshold"))
 
 
+def plan(sized: DataFrame, weights: tuple[float, ...], ceiling: float) -> DataFrame:
+    """(source, source_size, target, whole, threshold): one row for each source.
+
+    Every document of a source is taken ``whole`` times, and once more if its place is below the threshold.
+    """
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sources, weights, ceiling)
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.withColumn("whole", F.floor(share).cast("long"))
+    targets = written(targets.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    cuts = thresholds(sized, targets)
+    both = targets.alias("t").join(cuts.alias("c"), _same(F.col("t.source"), F.col("c.source")))
+    return written(both.select("t.source", "t.source_size", "t.target", "t.whole", "c.threshold"), "mix-plan")
+
+
+def _sized(docs: DataFrame, seed: str, doc_id: str, text: str, source: str) -> DataFrame:
+    return written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), place(doc_id, seed).alias("at")), "mix-sizes")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How many copies of each document the mix takes.
 
@@ -87,23 +106,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
     a source of its own, the last. Rows of one id, and all rows without an id, stand at one place and
     are taken together. Where all sizes are 0 every target is 0. Other columns of ``docs`` are not used
     or returned. The size of every document is computed once and written to the shared folder; what
-    follows reads that narrow table.
+    follows reads that narrow table. The tables of sources have one row for each source; Spark
+    broadcasts them or not by the size of their files.
     """
-    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), place(doc_id, seed).alias("at")), "mix-sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row for each source from here on; Spark broadcasts it or not by the size of the files.
-    targets = source_targets(sources, weights, ceiling)
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("whole", F.floor(share).cast("long"))
-    targets = written(targets.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    cuts = thresholds(sized, targets)
-    plan = targets.alias("t").join(cuts.alias("c"), _same(F.col("t.source"), F.col("c.source"))).select("t.*", "c.threshold")
-    d, p = sized.alias("d"), plan.alias("p")
+    sized = _sized(docs, seed, doc_id, text, source)
+    d, p = sized.alias("d"), plan(sized, weights, ceiling).alias("p")
     copies = F.col("p.whole") + F.when(F.col("d.at") < F.col("p.threshold"), 1).otherwise(0)
     joined = d.join(p, _same(F.col("d.source"), F.col("p.source")))
     return joined.select("d.doc_id", "d.size", "p.source_size", "p.target", copies.alias("copies"), (F.col("d.size") * copies).alias("taken"))
 
 
+def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as mix() takes them. No text is shuffled."""
+    p = plan(_sized(docs, seed, doc_id, text, source), weights, ceiling).alias("p")
+    d = docs.alias("d")
+    copies = F.col("p.whole") + F.when(place(f"d.{doc_id}", seed) < F.col("p.threshold"), 1).otherwise(0)
+    chosen = d.join(p, _same(F.col(f"d.{source}"), F.col("p.source"))).filter(copies > 0)
+    return chosen.select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("nth")).select("row.*")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

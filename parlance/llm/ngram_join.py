@@ -2,9 +2,10 @@
 
 If two sets A and B have a Jaccard similarity of t or more, then under any one order of all shingles
 the first |A| - ceil(t|A|) + 1 shingles of A and the first |B| - ceil(t|B|) + 1 of B have one in
-common. The first order here is by rarity: shingles that few texts have come first, so texts whose
-first shingles nobody else has are out at once. What is left is held against further orders, by keyed
-hashes, and pairs that share a prefix shingle under all of them are verified exactly.
+common. The first order here is by rarity, with the shingles of a quarter of all hashes before the
+others: texts whose first shingles nobody else has are out at once. The second is by rarity among the
+texts that are left, over all their shingles. Pairs that share a prefix shingle under it are held
+against further orders, by keyed hashes; those that share one under all are verified exactly.
 
 Texts with the same set of shingles are one class from the start, and only links that can join two
 components are looked for: each class is compared with one pivot for each of its prefix shingles, and
@@ -25,8 +26,8 @@ from .common import written
 from .components import components
 from .shingles import mix, set_keys, shingle_sets
 
-#: Shingles with a hash in the lowest quarter are counted; they come first in the order by rarity.
-COUNTED = np.uint64(1 << 62)
+#: Shingles with a hash in the lowest quarter are counted first; they come first in the order by rarity.
+COUNTED, ALL = 1 << 62, 1 << 64
 #: From this many texts on, shingles are equally frequent.
 FREQUENT = 64
 #: Seeds of the further orders.
@@ -51,7 +52,7 @@ def profiles(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             values, offsets = shingle_sets(batch.column("text"), k)
-            low = np.r_[0, np.cumsum(values < COUNTED)]
+            low = np.r_[0, np.cumsum(values < np.uint64(COUNTED))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(low[offsets[1:]] - low[offsets[:-1]]), pa.array(set_keys(values, offsets))], ["doc_id", "n", "counted", "key"]
             )
@@ -72,6 +73,42 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes.view(np.uint64).ravel(), np.frombuffer(data, np.int64, n, 6 * n)
 
 
+def _dealt(values: np.ndarray, offsets: np.ndarray, counted: int, percent: int, buckets: int) -> pa.RecordBatch | None:
+    """The counted shingles of a piece with their sets, packed by bucket."""
+    keys, n = set_keys(values, offsets), np.diff(offsets)
+    early = values <= np.uint64(counted - 1)
+    low = np.r_[0, np.cumsum(early)]
+    all_ = _sends_all(n, low[offsets[1:]] - low[offsets[:-1]], percent)
+    once = np.zeros(len(n), bool)
+    once[np.unique(keys, return_index=True)[1]] = True
+    sent = np.repeat(once, n) & (np.repeat(all_, n) | early)
+    hashes, owners = values[sent] & ~np.uint64(0xFFFF), np.repeat(keys, n)[sent]
+    if not len(hashes):
+        return None
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    count = np.diff(np.r_[starts, len(hashes)])
+    hot = np.repeat(count >= FREQUENT, count)
+    marks = hashes[starts[count >= FREQUENT]]
+    out: dict[str, list] = {"bucket": [], "frequent": [], "pairs": []}
+    for is_hot, h, o in ((False, np.r_[hashes[~hot], marks], np.r_[owners[~hot], np.zeros(len(marks), np.int64)]), (True, hashes[hot], owners[hot])):
+        if not len(h):
+            continue
+        by = (o.view(np.uint64) if is_hot else mix(h)) % np.uint64(buckets)
+        order = np.argsort(by, kind="stable")
+        h, o, by = h[order], o[order], by[order]
+        cuts = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+        for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
+            out["bucket"].append(int(by[a]))
+            out["frequent"].append(is_hot)
+            out["pairs"].append(_packed(h[a:b], o[a:b]))
+    return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("frequent", pa.bool_()), ("pairs", pa.binary())]))
+
+
+POSTINGS = "bucket int, frequent boolean, pairs binary"
+
+
 def postings(docs: DataFrame, k: int, percent: int, buckets: int, text: str) -> DataFrame:
     """(bucket, frequent, pairs): the shingles that are counted, with their sets, packed by hash bucket.
 
@@ -83,37 +120,22 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int, text: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            values, offsets = shingle_sets(batch.column("text"), k)
-            keys, n = set_keys(values, offsets), np.diff(offsets)
-            low = np.r_[0, np.cumsum(values < COUNTED)]
-            all_ = _sends_all(n, low[offsets[1:]] - low[offsets[:-1]], percent)
-            once = np.zeros(len(n), bool)
-            once[np.unique(keys, return_index=True)[1]] = True
-            sent = np.repeat(once, n) & (np.repeat(all_, n) | (values < COUNTED))
-            hashes, owners = values[sent] & ~np.uint64(0xFFFF), np.repeat(keys, n)[sent]
-            if not len(hashes):
-                continue
-            order = np.argsort(hashes, kind="stable")
-            hashes, owners = hashes[order], owners[order]
-            starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-            count = np.diff(np.r_[starts, len(hashes)])
-            hot = np.repeat(count >= FREQUENT, count)
-            marks = hashes[starts[count >= FREQUENT]]
-            out: dict[str, list] = {"bucket": [], "frequent": [], "pairs": []}
-            for is_hot, h, o in ((False, np.r_[hashes[~hot], marks], np.r_[owners[~hot], np.zeros(len(marks), np.int64)]), (True, hashes[hot], owners[hot])):
-                if not len(h):
-                    continue
-                by = (o.view(np.uint64) if is_hot else mix(h)) % np.uint64(buckets)
-                order = np.argsort(by, kind="stable")
-                h, o, by = h[order], o[order], by[order]
-                cuts = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-                for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
-                    out["bucket"].append(int(by[a]))
-                    out["frequent"].append(is_hot)
-                    out["pairs"].append(_packed(h[a:b], o[a:b]))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("frequent", pa.bool_()), ("pairs", pa.binary())]))
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, frequent boolean, pairs binary")
+            if (out := _dealt(*shingle_sets(batch.column("text"), k), COUNTED, percent, buckets)) is not None:
+                yield out
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, POSTINGS)
+
+
+def set_postings(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """postings() of all shingles of ``sets`` (column set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "set", 8 << 20):
+            data, offsets = flat(batch.column("set"))
+            if (out := _dealt(data.view(np.uint64), offsets // 8, ALL, percent, buckets)) is not None:
+                yield out
+
+    return sets.select("set").mapInArrow(run, POSTINGS)
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -140,7 +162,7 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"key": keys, "shingle": hashes.view(np.int64), "sets": sets.astype(np.int32)})
 
 
-def _rarest(percent: int, classes: pa.Table, shared: pa.Table) -> pa.Table:
+def _rarest(percent: int, counted_below: int, classes: pa.Table, shared: pa.Table) -> pa.Table:
     """(shingle, key, n): the prefix shingles, under the order by rarity, that other sets have too.
 
     The order: counted shingles before others, then the number of sets that sent it (up to FREQUENT),
@@ -156,7 +178,7 @@ def _rarest(percent: int, classes: pa.Table, shared: pa.Table) -> pa.Table:
     owner, shingle, sets = owner[order], shingle[order], sets[order]
     new = np.r_[True, (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])]
     owner, shingle, sets = owner[new], shingle[new], sets[new]
-    late = shingle >= COUNTED
+    late = shingle > np.uint64(counted_below - 1)
     order = np.lexsort((shingle, sets, late, owner))
     owner, shingle, late = owner[order], shingle[order], late[order]
     at = np.searchsorted(key, owner)
@@ -263,20 +285,44 @@ def class_sets(docs: DataFrame, classes: DataFrame, k: int, doc_id: str, text: s
     return found.join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
+def rare_prefixes(posted: DataFrame, classes: DataFrame, counted: int, percent: int, buckets: int) -> DataFrame:
+    """(shingle, key, n) from postings and their ``classes`` (key, n, counted); see _rarest()."""
+    shared = posted.groupBy("bucket").applyInArrow(lambda t: _shared(t), "key long, shingle long, sets int")
+    dealt = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("d")
+    return shared.groupBy(dealt).cogroup(classes.select("key", "n", "counted").groupBy(dealt)).applyInArrow(lambda s, c: _rarest(percent, counted, c, s), "shingle long, key long, n long")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """(key, root, block) for the rows (shingle, key, root) of classes that are still to be compared.
+
+    Each component goes to the block of the most frequent of its shingles, so those that share much meet
+    in one; components and shingles with more than BLOCK classes are cut by hash.
+    """
+    often = rest.groupBy("shingle").agg(F.count("*").alias("n"))
+    anchor = rest.join(often, "shingle").groupBy("root").agg(F.max(F.struct("n", "shingle")).alias("at")).select("root", F.col("at.shingle").alias("anchor"))
+    member = rest.select("key", "root").distinct().join(anchor, "root")
+    own = member.groupBy("root").agg(F.count("*").alias("own"))
+    size = member.groupBy("anchor").agg(F.count("*").alias("all"))
+    cut = member.join(own, "root").join(size, "anchor")
+    large = F.col("own") > BLOCK
+    part = F.when(large, F.pmod(F.xxhash64("key"), F.ceil(F.col("own") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("all") / BLOCK)))
+    return cut.select("key", "root", F.xxhash64("anchor", part, F.when(large, F.col("root"))).alias("block"))
+
+
 def links_of(docs: DataFrame, profile: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(a, b): links between classes that make the same components as all links do."""
     classes = profile.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("counted").alias("counted"), F.min("doc_id").alias("doc_id"))
     buckets = max(16, -(-profile.count() // TEXTS_A_BUCKET))
-    shared = postings(docs, k, percent, buckets, text).groupBy("bucket").applyInArrow(lambda t: _shared(t), "key long, shingle long, sets int")
-    dealt = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    prefixes = shared.groupBy(dealt.alias("d")).cogroup(classes.select("key", "n", "counted").groupBy(dealt.alias("d"))).applyInArrow(lambda s, c: _rarest(percent, c, s), "shingle long, key long, n long")
+    early = rare_prefixes(postings(docs, k, percent, buckets, text), classes, COUNTED, percent, buckets)
+    active = written(early.select("key").distinct().join(classes.select("key", "n", "doc_id"), "key"), "join-active")
+    sets = written(class_sets(docs, active, k, doc_id, text), "join-sets")
+    # The same among those that are left, over all their shingles.
+    prefixes = rare_prefixes(set_postings(sets, percent, buckets), active.withColumn("counted", F.col("n")), ALL, percent, buckets)
     prefixes = written(prefixes, "join-prefixes")
     # A pivot for each shingle; sums are taken before rows are dealt by shingle.
     pivots = prefixes.groupBy("shingle").agg(F.min(F.struct("key", "n")).alias("pivot"), F.count("*").alias("sets")).filter("sets > 1")
     near = prefixes.join(pivots, "shingle").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("m"), "n", "shingle")
     near = written(near, "join-near")
-    active = written(near.select(F.col("b").alias("key")).distinct().join(classes.select("key", "doc_id"), "key"), "join-active")
-    sets = written(class_sets(docs, active, k, doc_id, text), "join-sets")
     fits = F.least("m", "n") * 100 >= F.greatest("m", "n") * percent
     first = near.filter((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
     first = first.join(sets.select(F.col("key").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("right")), "b")
@@ -286,20 +332,12 @@ def links_of(docs: DataFrame, profile: DataFrame, k: int, percent: int, doc_id:
     rest = near.select("shingle", "b").join(roots, "b", "left").select("shingle", F.col("b").alias("key"), F.coalesce("root", "b").alias("root"))
     mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
     rest = written(rest.join(mixed, "shingle"), "join-rest")
-    # Groups of shingles that hang together, cut into blocks of whole components where these fit.
-    hang = components(rest.join(rest.groupBy("shingle").agg(F.min("root").alias("low")), "shingle").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct(), "join-hang")
-    member = rest.select("key", "root").distinct().join(hang.select(F.col("node").alias("root"), F.col("root").alias("hang")), "root")
-    member = written(member, "join-members")
-    size = member.groupBy("hang").agg(F.count("*").alias("all"))
-    own = member.groupBy("root").agg(F.count("*").alias("own"))
-    cut = member.join(size, "hang").join(own, "root")
-    part = F.when(F.col("own") > BLOCK, F.pmod(F.xxhash64("key"), F.ceil(F.col("own") / BLOCK))).otherwise(F.lit(0))
-    block = F.xxhash64("hang", F.pmod(F.xxhash64(F.when(F.col("own") > BLOCK, F.col("root")).otherwise(F.lit(0)), part, F.when(F.col("own") > BLOCK, F.lit(0)).otherwise(F.col("root"))), F.ceil(F.col("all") / BLOCK)))
-    member = written(cut.select("key", "root", block.alias("block")), "join-blocks")
+    member = written(_blocks(rest), "join-blocks")
+    # Blocks meet if they share a shingle that classes of different components have.
     at = rest.select("shingle", "key").join(member, "key").select("shingle", "block").distinct()
     pairs = at.alias("x").join(at.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
-    pairs = pairs.select("p", "q", F.explode(F.array_distinct(F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.when(F.col("p") == F.col("q"), 0).otherwise(1).alias("side"))))).alias("of"))
-    work = pairs.select("p", "q", "of.block", "of.side").join(member, "block").join(sets, "key")
+    sides = F.array_distinct(F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.when(F.col("p") == F.col("q"), 0).otherwise(1).alias("side"))))
+    work = pairs.select("p", "q", F.explode(sides).alias("of")).select("p", "q", "of.block", "of.side").join(member, "block").join(sets, "key")
     later = work.select("p", "q", "side", "key", "root", "set").groupBy("p", "q").applyInArrow(lambda t: _between(percent, t), "a long, b long")
     return star.union(later)
 

@@ -326,6 +326,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def keep(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``limit``. Rows stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.terms, model.weights)
+        for batch in pieces(batches, text):
+            scores = model.scores(reader.features(batch.column(batch.schema.get_field_index(text)).to_pylist()))
+            yield batch.filter(pa.array(scores < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; see fit() for what is learned from."""
     scored = score(docs, fit(docs, labels, doc_id=doc_id, text=text), doc_id, text)
