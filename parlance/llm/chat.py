@@ -86,8 +86,8 @@ def format_conversations(turns: DataFrame, template: Template = CHATML, conv_id:
     grouped = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
     moves = F.create_map(*[F.lit(x) for (state, by), to in template.moves.items() for x in (f"{state}\n{by}", to)])
     step = lambda at, t: F.struct(
-        F.when(at["state"].isNotNull(), F.try_element_at(moves, F.concat_ws("\n", at["state"], t["role"]))).alias("state"),
-        F.when(at["state"].isNotNull(), at["accepted"] + 1).otherwise(at["accepted"]).alias("accepted"),
+        F.when(at["state"] != "", F.coalesce(F.try_element_at(moves, F.concat_ws("\n", at["state"], t["role"])), F.lit(""))).otherwise("").alias("state"),
+        F.when(at["state"] != "", at["accepted"] + 1).otherwise(at["accepted"]).alias("accepted"),
     )
     run = F.aggregate("turns", F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("accepted")), step)
     trained = lambda t: t["role"].isin(*template.trained)
@@ -97,7 +97,7 @@ def format_conversations(turns: DataFrame, template: Template = CHATML, conv_id:
         F.struct(F.lit(template.closing).alias("text"), F.lit(False).alias("loss")),
     )
     out = grouped.withColumn("run", run).withColumn("segments", F.flatten(F.transform("turns", pieces)))
-    state = F.col("run.state")
+    state = F.nullif(F.col("run.state"), F.lit(""))  # '' once a turn had no move
     return out.select("conv_id", "segments", F.coalesce(state.isin(*template.final), F.lit(False)).alias("valid"), state.alias("final_state"), F.when(state.isNull(), F.col("run.accepted")).alias("first_bad"))
 
 
