@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import flat, pieces
@@ -34,6 +34,8 @@ FREQUENT = 64
 ORDERS = (0x51ED270B, 0x2545F491, 0x6C62272E)
 #: Texts to a bucket of hashes, and classes to a block.
 TEXTS_A_BUCKET, BLOCK = 4096, 256
+#: Bits of the sieve, as a power of 2: half a megabyte, good for some 500,000 ids.
+SIEVE_BITS = 22
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -271,9 +273,42 @@ def _between(percent: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
+def _places(column: str) -> list[Column]:
+    """Places of a value in the sieve."""
+    return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(1 << SIEVE_BITS)) for i in range(2)]
+
+
+def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of ``docs`` whose id is one of ``ids`` (doc_id), and a few others.
+
+    A Bloom filter of a fixed size, whatever the input, is sent to all tasks. Where there are far more
+    ids than it was made for it lets all rows pass, and the join that follows does the work.
+    """
+    places = ids.select(F.explode(F.array(*_places("doc_id"))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
+    sieve = np.zeros(1 << SIEVE_BITS - 6, np.int64)
+    for r in words.collect():
+        sieve[r["word"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(sieve.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for c in ("p0", "p1"):
+                p = batch.column(c).to_numpy()
+                keep &= bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) == 1
+            if keep.any():
+                yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", *[p.alias(f"p{i}") for i, p in enumerate(_places("doc_id"))]).mapInArrow(run, f"doc_id {kind}, text string")
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """(key, set) of each of ``classes`` (key, doc_id: a text that has it); set: sorted 64-bit shingles, packed."""
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(classes.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+    few = sieved(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), classes)
+    chosen = few.join(classes.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
