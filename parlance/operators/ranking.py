@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import query_terms, tokens
 from parlance.functions.values import dot
+from parlance.operators.joins import for_audience, neighbours
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -74,3 +75,27 @@ def terms_of(question: str, docs: DataFrame) -> list[str]:
     """The folded search terms of a question, one row on the driver."""
     row = docs.sparkSession.range(1).select(F.flatten(F.transform(query_terms(F.lit(question)), tokens)).alias("t")).first()
     return list(dict.fromkeys(row["t"]))
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame, links: DataFrame, visible: DataFrame, terms: list[str], query_vector: list[float], most: int = 20, depth: int = 60, seeds: int = 3, near: int = 4, decay: float = 0.55) -> DataFrame:
+    """(doc_id, score, origin): what the audience may see for a question, best first.
+
+    Lexical and semantic hits are fused by rank; if one list is empty the other stays as it is. The
+    first ``seeds`` channels' best passages lead to ``near`` neighbours by shared links, whose own
+    lexical scores count ``decay`` times. ``docs``: doc_id, text; ``vectors``: doc_id, embedding. The lists
+    are ``depth`` rows at most; only they meet in one place.
+    """
+    hits = for_audience(bm25(docs, terms), visible, "doc_id")
+    lexical = ranked(hits, "score", "doc_id", depth)
+    close = for_audience(vectors, visible, "doc_id")
+    semantic = ranked(nearest(close, F.lit(query_vector), "doc_id", "embedding", depth), "score", "doc_id", depth)
+    both = lexical.select("doc_id", "score", F.lit(1).alias("list"), "pos").unionByName(semantic.select("doc_id", "score", F.lit(2).alias("list"), "pos"))
+    lists = both.agg(F.count_distinct("list").alias("lists"))
+    merged = both.groupBy("doc_id").agg(F.sum(F.lit(1.0) / (F.col("pos") + DAMPING + 1)).alias("rrf"), F.max("score").alias("plain"), F.min(F.struct("list", "pos")).alias("place"))
+    direct = merged.crossJoin(F.broadcast(lists)).select("doc_id", F.when(F.col("lists") > 1, F.col("rrf")).otherwise(F.col("plain")).alias("score"), "place")  # one row
+    first = direct.orderBy("place").limit(seeds).select("doc_id")
+    around = neighbours(links, first, visible, near).select("doc_id")
+    reached = hits.join(around, "doc_id", "left_semi").select("doc_id", (F.col("score") * decay).alias("score"), F.lit("neighbour").alias("origin"))
+    found = direct.select("doc_id", "score", F.lit("direct").alias("origin")).unionByName(reached)
+    best = found.groupBy("doc_id").agg(F.max_by(F.struct("score", "origin"), "score").alias("b")).select("doc_id", "b.score", "b.origin")
+    return best.orderBy(F.desc("score"), "doc_id").limit(most)

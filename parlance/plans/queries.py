@@ -16,6 +16,7 @@ from parlance.functions import text as t
 from parlance.functions import values as v
 from parlance.operators import folds, joins, ranking
 from parlance.sources.tables import links, read, utterances, visible
+from parlance.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,3 +563,148 @@ def view_7_people(spark, d):
 def view_10_readiness(spark, d):
     both = read(spark, d, "documents").select("doc_id").join(read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("has")), "doc_id", "left")
     return both.agg(F.count_if(F.col("has").isNull()).alias("pending"), F.count("has").alias("embedded"), (F.count_if(F.col("has").isNull()) == 0).alias("ready"))
+
+
+# More sources, filters, joins and views
+
+
+@query("SELECT page_id FROM pages WHERE regexp_full_match(url, 'https?://(www|m)\\.[a-z-]+\\.example\\.(com|org)/.*')")
+def flt_14_origin_allow_list(spark, d):
+    return read(spark, d, "pages").filter(F.col("url").rlike(r"^https?://(www|m)\.[a-z-]+\.example\.(com|org)/")).select("page_id")
+
+
+@query("SELECT p_type, count(*) AS n FROM part WHERE contains(lower(p_type), 'steel') AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1) GROUP BY 1 ORDER BY n DESC, p_type LIMIT 8")
+def flt_19_tag_suggestions(spark, d):
+    p = read(spark, d, "part").select("p_type", "p_size")
+    free = p.filter(F.contains(F.lower("p_type"), F.lit("steel"))).join(p.filter("p_size = 1").select("p_type").distinct(), "p_type", "left_anti")
+    return free.groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type").limit(8)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00001') ORDER BY c_custkey LIMIT 75")
+def flt_20_person_picker(spark, d):
+    return read(spark, d, "customer").filter(F.contains(F.lower("c_name"), F.lit("00001"))).select("c_custkey", "c_name").orderBy("c_custkey").limit(75)
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' AND (props::JSON->>'$.k')::INT < 50 GROUP BY 1")
+def flt_21_roster_filter(spark, d):
+    e = read(spark, d, "events").filter("event_type = 'signup'")
+    return e.filter(F.get_json_object("props", "$.k").cast("int") < 50).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0")
+def join_9_names_of_account(spark, d):
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return read(spark, d, "supplier").filter("s_acctbal > 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "r_name").distinct()
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def join_10_vanished(spark, d):
+    return read(spark, d, "customer").select("c_custkey").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN nation ON c_nationkey = n_nationkey")
+def join_12_enriched(spark, d):
+    c = read(spark, d, "customer").filter("c_acctbal > 0").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_mktsegment", "n_name")
+
+
+@query("SELECT c.n, d.doc_id FROM (SELECT unnest([2, 1, 9, 400]) AS n) c JOIN (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents QUALIFY n <= 14) d USING (n)")
+def join_14_citations(spark, d):
+    passages = read(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(14)
+    numbered = passages.withColumn("n", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))).select("n", "doc_id")
+    return spark.createDataFrame([(2,), (1,), (9,), (400,)], "n int").join(numbered, "n")
+
+
+@query("SELECT p_partkey, coalesce(map_extract_value(MAP {'MEDIUM': 'mediano', 'SMALL': 'chico'}, split_part(p_type, ' ', 1)), split_part(p_type, ' ', 1)) AS word FROM part")
+def join_20_translation(spark, d):
+    word = F.split_part(F.col("p_type"), F.lit(" "), F.lit(1))
+    words = F.create_map(F.lit("MEDIUM"), F.lit("mediano"), F.lit("SMALL"), F.lit("chico"))
+    return read(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(words, word), word).alias("word"))
+
+
+@query("SELECT conv_id, count(DISTINCT role) FILTER (role <> 'system') AS people FROM conversations GROUP BY 1")
+def agg_12_participants(spark, d):
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count_distinct(F.when(F.col("role") != "system", F.col("role"))).alias("people"))
+
+
+@query("SELECT l_returnflag, count_if(coalesce(l_quantity > 25, true)) AS n FROM lineitem GROUP BY 1")
+def agg_13_unknown_counts(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.coalesce(F.col("l_quantity") > 25, F.lit(True))).alias("n"))
+
+
+@query("SELECT l_suppkey, round(sum((l_discount * 10000)::BIGINT) / count(*) / 10000, 8) AS mean FROM lineitem GROUP BY 1")
+def agg_14_mean_confidence(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(F.round(F.col("l_discount") * 10000).cast("long")) / F.count("*") / 10000, 8).alias("mean"))
+
+
+@query("SELECT o_custkey, bool_and(o_orderstatus = 'F') AS all_done FROM orders GROUP BY 1")
+def agg_20_all_disabled(spark, d):
+    return read(spark, d, "orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_orderstatus") == "F").alias("all_done"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
+def top_8_recent(spark, d):
+    return read(spark, d, "orders").filter("o_orderstatus <> 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5).select("o_orderkey")
+
+
+@query(f"WITH {UTTERANCES} SELECT meeting_id, seq, start_ms FROM u ORDER BY meeting_id, start_ms, seq")
+def top_13_transcript_order(spark, d):
+    return utterances(read(spark, d, "conversations")).select("meeting_id", "seq", "start_ms").orderBy("meeting_id", "start_ms", "seq")
+
+
+@query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS nth FROM documents) WHERE nth = 1 ORDER BY doc_id DESC")
+def top_14_citation_per_meeting(spark, d):
+    best = read(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct((-F.col("n_chars")).alias("n"), "doc_id")).alias("doc_id"))
+    return best.orderBy(F.desc("doc_id"))
+
+
+@query("SELECT DISTINCT a.user_id FROM events a WHERE a.ts < TIMESTAMP '2024-01-15' AND a.user_id NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15')")
+def set_6_departures(spark, d):
+    e = read(spark, d, "events").select("user_id", "ts")
+    edge = F.lit("2024-01-15").cast("timestamp_ntz")
+    return e.filter(F.col("ts") < edge).select("user_id").distinct().join(e.filter(F.col("ts") >= edge).select("user_id"), "user_id", "left_anti")
+
+
+@query("SELECT user_id, list_transform(list_sort(list({'f': f, 't': event_type})), lambda x: x.t) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id")
+def set_8_unique_in_order(spark, d):
+    first = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
+    return first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("f", "event_type"))).alias("k")).select("user_id", F.col("k.event_type").alias("kinds"))
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, lag(fp) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM (SELECT *, event_type || (value > 50) AS fp FROM events)) WHERE fp IS DISTINCT FROM was")
+def str_22_changes_only(spark, d):
+    e = read(spark, d, "events").select("event_id", "user_id", "ts", F.struct("event_type", F.col("value") > 50).alias("fp"))
+    return folds.unrepeated(e, ["user_id"], ["ts", "event_id"], ["fp"]).select("event_id", "user_id")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS since FROM events GROUP BY 1")
+def str_31_live_state(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("since"))
+
+
+@query()
+def str_2_segments(spark, d):
+    return sessions.batch_segments(sessions.frames_of(read(spark, d, "events")), sessions.Pauses(short=3_600_000, enough=60_000, long=21_600_000, most=86_400_000))
+
+
+@query("SELECT owner, count(*) AS n FROM (SELECT o_orderpriority AS owner FROM orders ORDER BY o_orderstatus = 'F', o_orderdate DESC, o_orderkey LIMIT 250) GROUP BY 1")
+def view_5_page_groups(spark, d):
+    o = read(spark, d, "orders")
+    page = o.orderBy(F.col("o_orderstatus") == "F", F.desc("o_orderdate"), "o_orderkey").limit(250)
+    return page.groupBy(F.col("o_orderpriority").alias("owner")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name AS owner, count(*) AS n, count(*) FILTER (c_acctbal < 0) AS pending FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def view_6_owner_groups(spark, d):
+    n = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("pending"))
+    return n.join(read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("owner")), "n_nationkey").select("owner", "n", "pending")
+
+
+@query()
+def retrieve_full(spark, d):
+    docs = read(spark, d, "documents")
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    row = e.filter("doc_id = 0").first()
+    question = [float(x) for x in row["embedding"]] if row else []
+    found = ranking.retrieve(docs, e, links(docs), visible(read(spark, d, "labels")), ranking.terms_of(QUESTION, docs), question)
+    return found.withColumn("score", F.round("score", 6))
