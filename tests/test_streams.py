@@ -29,9 +29,12 @@ def test_stream_is_the_batch(spark, sf_dir):
     edges = [r["m"] for r in frames.select(F.percentile("at_ms", F.array(F.lit(0.33), F.lit(0.66))).alias("e")).select(F.explode("e").alias("m")).collect()]
     for i, (low, high) in enumerate(zip([0, *edges], [*edges, 1e18], strict=True)):
         frames.filter((F.col("at_ms") >= low) & (F.col("at_ms") < high)).coalesce(1).write.parquet(os.path.join(where, f"in/{i}"))
+    # Else batches without data go on until the idle time has passed.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(where, "in/*"))
     query = sessions.stream_segments(source).writeStream.outputMode("append").format("memory").queryName("segments").option("checkpointLocation", os.path.join(where, "state")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
+    assert query.awaitTermination(240)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     batch = rows_of(sessions.batch_segments(frames))
     streamed = rows_of(spark.table("segments"))
     assert streamed and set(streamed) <= set(batch)
