@@ -165,20 +165,21 @@ def attempts(found: DataFrame, key: str, rounds: int = 24) -> DataFrame:
     """(type, norm, attempt) of the entities whose first surrogate can't stay; ``found``: distinct type, norm, entity.
 
     In each round the surrogates are held against each other and against the entities of the corpus, by
-    normal form. Of those that meet the smallest stays, unless an earlier round has given it away.
+    normal form. Of those that meet the one with the fewest attempts stays, then the smallest.
     """
     now = found.groupBy("type", "norm").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0))
     for n in range(rounds):
-        placed = now.withColumn("new", normal(surrogate(F.col("entity"), F.col("type"), key, F.col("attempt")), F.col("type")))
+        # Written once a round: what follows compares narrow rows and doesn't hash again.
+        placed = written(now.withColumn("new", normal(surrogate(F.col("entity"), F.col("type"), key, F.col("attempt")), F.col("type"))), "pii-placed")
         # Those that came by with fewer attempts keep their place.
         rank = F.min(F.struct("attempt", "norm")).alias("first")
         best = placed.groupBy("type", "new").agg(rank, F.count("*").alias("n")).filter("n > 1").select("type", "new", "first")
         met = placed.join(best, ["type", "new"]).filter(F.struct("attempt", "norm") != F.col("first")).select("type", "norm")
-        real = placed.select("type", F.col("new").alias("norm"), F.col("norm").alias("_own")).join(now.select("type", "norm"), ["type", "norm"], "left_semi").select("type", F.col("_own").alias("norm"))
+        real = placed.select("type", F.col("new").alias("norm"), F.col("norm").alias("_own")).join(placed.select("type", "norm"), ["type", "norm"], "left_semi").select("type", F.col("_own").alias("norm"))
         again = written(met.union(real).distinct().withColumn("again", F.lit(1)), "pii-again")
         if again.isEmpty():
-            return now.filter("attempt > 0").select("type", "norm", "attempt")
-        now = written(now.join(again, ["type", "norm"], "left").select("type", "norm", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-attempts")
+            return placed.filter("attempt > 0").select("type", "norm", "attempt")
+        now = placed.join(again, ["type", "norm"], "left").select("type", "norm", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
     raise ValueError(f"more different entities of a type than surrogates: {rounds} rounds did not part them")
 
 
