@@ -7,6 +7,8 @@ of the corpus, are hashed again until none do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,11 @@ def normal(entity: Column, of: Column) -> Column:
     return F.when(of.isin("card", "ssn", "phone"), digits).when(of == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(of == "name", F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")).otherwise(F.lower(entity))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _digest(key: str, of: Column, norm: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), of, norm, attempt.cast("string")).cast("binary"), 256)
 
@@ -85,23 +92,27 @@ def _pick(choices: str | list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, choices)), number % len(choices) + 1)
 
 
-def _filled(entity: Column, digest: Column, kept: Column | int = 0) -> Column:
+def _filled(entity: Column, digest: Column, kept: Column) -> Column:
     """The entity with its letters and digits replaced by others of their kind, but for the first ``kept``.
 
     The n-th letter or digit depends on the digest and n alone, so spacing and case keep their places.
     """
-    only_hex = F.regexp_like(entity, F.lit("^[0-9a-fA-F]+$"))
-    kept = kept if isinstance(kept, Column) else F.lit(kept)
+    return _let(F.regexp_like(entity, F.lit("^[0-9a-fA-F]+$")), lambda only_hex: _fill(entity, digest, kept, only_hex))
 
-    def add(at: Column, c: Column) -> Column:
-        n = _number(digest, at["n"])
-        new = (
-            F.when(at["n"] < kept, c)
-            .when(F.regexp_like(c, F.lit("[0-9]")), _pick(DIGITS, n))
+
+def _fill(entity: Column, digest: Column, kept: Column, only_hex: Column) -> Column:
+
+    def other(c: Column, n: Column) -> Column:
+        return (
+            F.when(F.regexp_like(c, F.lit("[0-9]")), _pick(DIGITS, n))
             .when(F.regexp_like(c, F.lit("[a-z]")), F.when(only_hex, _pick(HEX, n)).otherwise(_pick(LOWER, n)))
-            .when(F.regexp_like(c, F.lit("[A-Z]")), F.when(only_hex, F.upper(_pick(HEX, n))).otherwise(_pick(UPPER, n)))
+            .otherwise(F.when(only_hex, F.upper(_pick(HEX, n))).otherwise(_pick(UPPER, n)))
         )
-        return F.struct(F.concat(at["out"], F.coalesce(new, c)).alias("out"), (at["n"] + F.when(F.regexp_like(c, F.lit("[0-9A-Za-z]")), 1).otherwise(0)).alias("n"))
+
+    def add(at: Column, c: Column) -> Column:
+        counts = F.regexp_like(c, F.lit("[0-9A-Za-z]"))
+        new = F.when(counts & (at["n"] >= kept), _let(_number(digest, at["n"]), lambda n: other(c, n))).otherwise(c)
+        return F.struct(F.concat(at["out"], new).alias("out"), (at["n"] + counts.cast("int")).alias("n"))
 
     return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), add, lambda at: at["out"])
 
@@ -109,8 +120,8 @@ def _filled(entity: Column, digest: Column, kept: Column | int = 0) -> Column:
 def _luhn(card: Column) -> Column:
     """The card number with its last digit made to fit the others."""
     digits = F.regexp_replace(card, "[^0-9]", "")
-    back = F.split(F.reverse(F.substring(digits, F.lit(1), F.length(digits) - 1)), "")
-    doubled = F.transform(back, lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
+    back = F.slice(F.split(F.reverse(digits), ""), 2, 1 << 10)
+    doubled = F.transform(back, lambda c, i: F.when(i % 2 == 0, F.get(F.array(*[F.lit(2 * d - 9 * (d > 4)) for d in range(10)]), c.cast("int"))).otherwise(c.cast("int")))
     total = F.aggregate(doubled, F.lit(0), lambda a, b: a + b)
     return F.concat(F.substring(card, F.lit(1), F.length(card) - 1), ((10 - total % 10) % 10).cast("string"))
 
@@ -134,30 +145,32 @@ def _name(entity: Column, digest: Column, key: str, attempt: Column) -> Column:
     first = F.when(cyrillic, pick(FEMALE_CYRILLIC, MALE_CYRILLIC)).otherwise(pick(FEMALE, MALE))
     # More syllables with each attempt: there are always enough surnames.
     parts = F.sequence(F.lit(2), F.lit(4) + F.least(attempt, F.lit(20)))
-    family = _digest(key, F.lit("surname"), F.lower(F.substring_index(rest, " ", -1)), attempt)
-    surname = F.array_join(F.transform(parts, lambda i: F.when(cyrillic, _pick(SYLLABLES_CYRILLIC, _number(family, i))).otherwise(_pick(SYLLABLES, _number(family, i)))), "")
+    family = _digest(key, F.lit("surname"), F.lower(F.substring_index(entity, " ", -1)), attempt)
+    surname = _let(family, lambda f: F.array_join(F.transform(parts, lambda i: F.when(cyrillic, _pick(SYLLABLES_CYRILLIC, _number(f, i))).otherwise(_pick(SYLLABLES, _number(f, i)))), ""))
     return F.concat(title, F.when(given.isNotNull(), F.concat(first, F.lit(" "))).otherwise(F.lit("")), F.initcap(surname))
 
 
 def surrogate(entity: Column, of: Column, key: str, attempt: Column) -> Column:
     """The replacement of an entity of type ``of``."""
-    digest = _digest(key, of, normal(entity, of), attempt)
-    at = F.locate("@", entity)
-    local, ending = F.substring(entity, F.lit(1), at - 1), F.regexp_extract(entity, r"\.([A-Za-z]+)$", 1)
-    # Domains are reserved ones; the rest keeps its form.
-    domain = F.concat(F.lit("@"), F.array_join(F.transform(F.sequence(F.lit(20), F.lit(25)), lambda i: _pick(LOWER, _number(digest, i))), ""), F.lit(".example."), F.lower(ending))
-    email = F.concat(_filled(local, digest), F.when(F.regexp_like(entity, F.lit("[a-z]")), domain).otherwise(F.upper(domain)))
-    octet = lambda i: (_number(digest, i) % 254 + 1).cast("string")
+    return _let(_digest(key, of, normal(entity, of), attempt), lambda digest: _surrogate(entity, of, key, attempt, digest))
+
+
+def _surrogate(entity: Column, of: Column, key: str, attempt: Column, digest: Column) -> Column:
+    # Letters and digits are replaced one by one, of addresses those before the "@".
     country = F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
+    kept = F.when(of == "card", 1).when(of == "phone", country).when(of == "iban", 2).when(F.startswith(entity, F.lit("AKIA")), 4).otherwise(0)
+    filled = _filled(F.when(of == "email", F.substring_index(entity, "@", 1)).otherwise(entity), digest, kept)
+    # Domains are reserved ones; the rest keeps its form.
+    ending = F.lower(F.regexp_extract(entity, r"\.([A-Za-z]+)$", 1))
+    label = F.array_join(F.transform(F.sequence(F.lit(20), F.lit(25)), lambda i: _pick(LOWER, _number(digest, i))), "")
+    domain = F.concat(F.lit("@"), label, F.lit(".example."), ending)
+    address = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i) % 254 + 1).cast("string")), ".")
     return (
-        F.when(of == "email", email)
-        .when(of == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
-        .when(of == "card", _luhn(_filled(entity, digest, 1)))
-        .when(of == "phone", _filled(entity, digest, country))
-        .when(of == "iban", _filled(entity, digest, 2))
+        F.when(of == "email", F.concat(filled, F.when(F.regexp_like(entity, F.lit("[a-z]")), domain).otherwise(F.upper(domain))))
+        .when(of == "ip", address)
+        .when(of == "card", _let(filled, _luhn))
         .when(of == "name", _name(entity, digest, key, attempt))
-        .when(F.startswith(entity, F.lit("AKIA")), _filled(entity, digest, 4))
-        .otherwise(_filled(entity, digest))
+        .otherwise(filled)
     )
 
 
@@ -205,7 +218,7 @@ def replaced(docs: DataFrame, key: str = "surrogates", doc_id: str = "doc_id", t
 
     def new(e: Column) -> Column:
         retry = F.coalesce(F.element_at(F.col("_retried"), name(e["type"], normal(e["entity"], e["type"]))), F.lit(0))
-        return surrogate(e["entity"], e["type"], key, retry)
+        return _let(retry, lambda r: surrogate(e["entity"], e["type"], key, r))
 
     found = F.col("_found")
     text_out = F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps(F.col(text)), F.concat(F.transform(found, new), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")).otherwise(F.col(text))
