@@ -34,6 +34,8 @@ FREQUENT = 64
 ORDERS = (0x51ED270B, 0x2545F491, 0x6C62272E)
 #: Texts to a bucket of hashes, and classes to a block.
 TEXTS_A_BUCKET, BLOCK = 4096, 256
+#: Bytes of text that a task looks at together: some 50 times that in memory.
+PIECE = 3 << 19
 #: Bits of the sieve, as a power of 2: half a megabyte, good for some 500,000 ids.
 SIEVE_BITS = 22
 
@@ -52,7 +54,7 @@ def profiles(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n, counted, key) for each row: size of its set, counted shingles, and the set's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             values, offsets = shingle_sets(batch.column("text"), k)
             low = np.r_[0, np.cumsum(values < np.uint64(COUNTED))]
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +123,7 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int, text: str) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             if (out := _dealt(*shingle_sets(batch.column("text"), k), COUNTED, percent, buckets)) is not None:
                 yield out
 
@@ -293,7 +295,7 @@ def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             keep = np.ones(batch.num_rows, bool)
             for c in ("p0", "p1"):
                 p = batch.column(c).to_numpy()
@@ -311,7 +313,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, k: int, doc_id: str, text: s
     chosen = few.join(classes.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             values, offsets = shingle_sets(batch.column("text"), k)
             yield pa.RecordBatch.from_pydict({"key": set_keys(values, offsets), "set": [values[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]}, schema=pa.schema([("key", pa.int64()), ("set", pa.binary())]))
 
