@@ -116,13 +116,13 @@ class Measure:
         token = gather(self.tokens[0], starts, lengths)
         n_tokens = np.bincount(row, weights=lengths, minlength=rows).astype(np.int64)
         owner = np.repeat(row, lengths)
-        n_bytes = np.bincount(owner, weights=self.is_byte[token], minlength=rows)
+        n_bytes = np.bincount(owner, weights=self.is_byte[token], minlength=rows).astype(np.float64)
         both = np.sort(owner * len(self.is_byte) + token)
         firsts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
         count = np.diff(np.r_[firsts, len(both)])
         of = both[firsts] // len(self.is_byte)
         share = count / n_tokens[of]
-        entropy = np.bincount(of, weights=-share * np.log2(share), minlength=rows)
+        entropy = np.bincount(of, weights=-share * np.log2(share), minlength=rows).astype(np.float64)
         scripts = np.bincount(row * len(SCRIPTS) + self.script[word], weights=self.chars[word], minlength=rows * len(SCRIPTS)).reshape(rows, -1)
         tokens = np.maximum(1, n_tokens)
         return {
