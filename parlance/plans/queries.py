@@ -573,10 +573,10 @@ def flt_14_origin_allow_list(spark, d):
     return read(spark, d, "pages").filter(F.col("url").rlike(r"^https?://(www|m)\.[a-z-]+\.example\.(com|org)/")).select("page_id")
 
 
-@query("SELECT p_type, count(*) AS n FROM part WHERE contains(lower(p_type), 'steel') AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1) GROUP BY 1 ORDER BY n DESC, p_type LIMIT 8")
+@query("SELECT p_type, count(*) AS n FROM part WHERE contains(lower(p_type), 'steel') AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1 AND p_partkey % 5 = 0) GROUP BY 1 ORDER BY n DESC, p_type LIMIT 8")
 def flt_19_tag_suggestions(spark, d):
-    p = read(spark, d, "part").select("p_type", "p_size")
-    free = p.filter(F.contains(F.lower("p_type"), F.lit("steel"))).join(p.filter("p_size = 1").select("p_type").distinct(), "p_type", "left_anti")
+    p = read(spark, d, "part").select("p_type", "p_size", "p_partkey")
+    free = p.filter(F.contains(F.lower("p_type"), F.lit("steel"))).join(p.filter("p_size = 1 AND p_partkey % 5 = 0").select("p_type").distinct(), "p_type", "left_anti")
     return free.groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type").limit(8)
 
 
@@ -597,9 +597,9 @@ def join_9_names_of_account(spark, d):
     return read(spark, d, "supplier").filter("s_acctbal > 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "r_name").distinct()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')")
 def join_10_vanished(spark, d):
-    return read(spark, d, "customer").select("c_custkey").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return read(spark, d, "customer").select("c_custkey").join(read(spark, d, "orders").filter(F.col("o_orderdate").cast("timestamp_ntz") >= F.lit("1998-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -658,11 +658,11 @@ def top_14_citation_per_meeting(spark, d):
     return best.orderBy(F.desc("doc_id"))
 
 
-@query("SELECT DISTINCT a.user_id FROM events a WHERE a.ts < TIMESTAMP '2024-01-15' AND a.user_id NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15')")
+@query("SELECT DISTINCT a.user_id FROM events a WHERE a.ts < TIMESTAMP '2024-01-29' AND a.user_id NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' AND event_type = 'error')")
 def set_6_departures(spark, d):
-    e = read(spark, d, "events").select("user_id", "ts")
-    edge = F.lit("2024-01-15").cast("timestamp_ntz")
-    return e.filter(F.col("ts") < edge).select("user_id").distinct().join(e.filter(F.col("ts") >= edge).select("user_id"), "user_id", "left_anti")
+    e = read(spark, d, "events").select("user_id", "ts", "event_type")
+    edge = F.lit("2024-01-29").cast("timestamp_ntz")
+    return e.filter(F.col("ts") < edge).select("user_id").distinct().join(e.filter((F.col("ts") >= edge) & (F.col("event_type") == "error")).select("user_id"), "user_id", "left_anti")
 
 
 @query("SELECT user_id, list_transform(list_sort(list({'f': f, 't': event_type})), lambda x: x.t) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id")
