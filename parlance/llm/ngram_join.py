@@ -35,7 +35,7 @@ ORDERS = (0x51ED270B, 0x2545F491, 0x6C62272E)
 #: Texts to a bucket of hashes, and classes to a block.
 TEXTS_A_BUCKET, BLOCK = 4096, 256
 #: Bytes of text that a task looks at together: some 50 times that in memory.
-PIECE = 3 << 19
+PIECE = 1 << 19
 #: Bits of the sieve, as a power of 2: half a megabyte, good for some 500,000 ids.
 SIEVE_BITS = 22
 
