@@ -1,23 +1,27 @@
 """Toxicity: Levenshtein automata run together with a lexicon trie, and scores of context windows.
 
 A lexicon is learned from labelled rows: words, and word beginnings ("stem*"), that toxic texts have and
-others don't. The automata of all its terms and their trie make one deterministic automaton, which reads
-each different word once and names the nearest term and its distance, so misspelled terms are caught.
+others don't, in all or in those of a stratum (a script, and a group of texts with like frequent words).
+The automata of its terms and their trie make one deterministic automaton for each number of edits, built
+once on the driver; they read each different word once and name the nearest term and its distance, so
+misspelled terms are caught.
 Each hit is weighed by its window: direct address raises it, quotation marks and words of reporting
 lower it. A logistic regression over the sums gives the score.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import pieces
@@ -38,10 +42,41 @@ class Automaton:
 
     ``terms`` are words, or stems that end in "*" and match words they begin. A term of fewer than 5
     characters allows no edit, fewer than 10 one, else two; stems allow none, as any ending fits them.
+    Terms of each number of edits have an automaton of their own: joined, their states multiply.
+    """
+
+    terms: list[str]
+    parts: list[_Part] = field(default_factory=list)
+
+    def __post_init__(self):
+        for edits in range(3):
+            if own := [t for t, term in enumerate(self.terms) if self.edits(term) == edits]:
+                self.parts.append(_Part([self.terms[t] for t in own], own))
+
+    @staticmethod
+    def edits(term: str) -> int:
+        return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 10 else 2
+
+    def match(self, words: list[str]) -> np.ndarray:
+        """term * 4 + distance + 1 of each word's nearest term, of several the first, or 0; all words are read side by side."""
+        best = np.zeros(len(words), np.int64)
+        for part in self.parts:
+            found = part.match(words).astype(np.int64)
+            # The distance comes before the term.
+            rank = lambda code: (code - 1) % 4 * (1 << 40) + code
+            best = np.where((found > 0) & ((best == 0) | (rank(found) < rank(best))), found, best)
+        return best
+
+
+@dataclass
+class _Part:
+    """The automaton of terms that allow equally many edits; ``names``: their numbers in the lexicon.
+
     States are sets of (node of the trie, edits so far), joined once by the subset construction.
     """
 
     terms: list[str]
+    names: list[int]
     classes: dict[str, int] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.int32))
     accepts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))  # term * 4 + distance + 1; 0: none
@@ -51,7 +86,7 @@ class Automaton:
         ends: list[tuple[int, bool] | None] = [None]
         allowed = [0]  # the most edits of a term below the node
         for t, term in enumerate(self.terms):
-            node, edits = 0, self.edits(term)
+            node, edits = 0, Automaton.edits(term)
             allowed[0] = max(allowed[0], edits)
             for c in term.removesuffix("*"):
                 if c not in children[node]:
@@ -110,16 +145,11 @@ class Automaton:
                     todo.append(after)
                 row.append(number[after])
             rows.append(row)
-            best = min([(0, -1 - n) for n, _ in state if n < 0] + [(e, ends[n][0]) for n, e in state if n >= 0 and ends[n] and not ends[n][1] and e <= self.edits(self.terms[ends[n][0]])], default=None)
-            accepts.append(0 if best is None else best[1] * 4 + best[0] + 1)
+            best = min([(0, -1 - n) for n, _ in state if n < 0] + [(e, ends[n][0]) for n, e in state if n >= 0 and ends[n] and not ends[n][1] and e <= Automaton.edits(self.terms[ends[n][0]])], default=None)
+            accepts.append(0 if best is None else self.names[best[1]] * 4 + best[0] + 1)
         self.table, self.accepts = np.array(rows, np.int32), np.array(accepts, np.int32)
 
-    @staticmethod
-    def edits(term: str) -> int:
-        return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 10 else 2
-
     def match(self, words: list[str]) -> np.ndarray:
-        """term * 4 + distance + 1 of each word, or 0; all words are read side by side."""
         state = np.ones(len(words), np.int32)
         if not words:
             return state
@@ -150,6 +180,10 @@ class Model:
     scale: np.ndarray
     coefficients: np.ndarray
     bias: float
+    automaton: Automaton
+
+    def reader(self) -> Reader:
+        return Reader(self.terms, self.weights, automaton=self.automaton)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         z = (features - self.mean) / self.scale @ self.coefficients + self.bias
@@ -167,8 +201,8 @@ def _in_quotes(text: str, start: int, end: int) -> bool:
 class Reader:
     """Features of texts under a lexicon; remembers the words that it has met."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, remembered: int = 500_000):
-        self.automaton, self.terms, self.weights, self.remembered = Automaton(terms), terms, weights, remembered
+    def __init__(self, terms: list[str], weights: np.ndarray, remembered: int = 500_000, automaton: Automaton | None = None):
+        self.automaton, self.terms, self.weights, self.remembered = automaton or Automaton(terms), terms, weights, remembered
         self.known: dict[str, int] = {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -212,61 +246,199 @@ class Reader:
         return [math.log1p(whole), math.log1p(stems), math.log1p(fuzzy), math.log1p(window), math.log1p(100 * sums[-1] / len(words)), math.log1p(quoted), length]
 
 
-def _counted(sample: DataFrame, wanted: list[str] | None) -> DataFrame:
-    """(term, toxic, n): rows of each label whose text has the term; each task counts before the shuffle."""
-    only = frozenset(wanted) if wanted is not None else None
+@functools.lru_cache(10_000)
+def _script(c: str) -> str:
+    """LATIN, CYRILLIC, CJK and so on; '' for what is no letter."""
+    return unicodedata.name(c, "").partition(" ")[0] if c.isalpha() else ""
+
+
+def _script_of(words: Iterable[str]) -> str:
+    """The script of the most letters of some words; of several the first by name."""
+    counts = Counter(map(_script, "".join(words)))
+    del counts[""]
+    return min(counts, key=lambda s: (-counts[s], s), default="")
+
+
+@dataclass
+class Strata:
+    """Groups of texts of one script with like frequent words, learned from the texts alone."""
+
+    markers: dict[str, dict[str, int]] = field(default_factory=dict)  # by script: frequent words and their places
+    centres: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def vector(self, words: frozenset[str] | set[str], script: str) -> np.ndarray:
+        places = self.markers.get(script, {})
+        out = np.zeros(len(places), np.float32)
+        out[[places[w] for w in words if w in places]] = 1
+        return out
+
+    def of(self, words: frozenset[str] | set[str]) -> list[str]:
+        """The strata of a text: its script, and the group in it."""
+        script = _script_of(words)
+        if script not in self.centres:
+            return [script]
+        return [script, f"{script} {int((self.centres[script] @ self.vector(words, script)).argmax())}"]
+
+
+def _mapped(sample: DataFrame, per_text: Callable[[set[str], int], Iterable[tuple]], columns: dict[str, str], counted: bool = False) -> DataFrame:
+    """What ``per_text`` gives for the words and label of each text; ``counted``: each once with its number, n, by task."""
+    names = [*columns, "n"] if counted else list(columns)
+    schema = ", ".join(f"{c} {t}" for c, t in columns.items()) + (", n long" if counted else "")
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<float>": pa.list_(pa.float32())}
+    arrow = pa.schema([(c, kinds[t]) for c, t in columns.items()] + [("n", pa.int64())] * counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
+            rows: list[tuple] = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(WORDS.findall((text or "").lower()))
-                terms = words | {f"{w[:n]}*" for w in words for n in STEM if len(w) > n}
-                counts.update((t, toxic) for t in (terms if only is None else terms & only))
-        yield pa.RecordBatch.from_pydict({"term": [t for t, _ in counts], "toxic": pa.array([x for _, x in counts], pa.int32()), "n": list(counts.values())}, schema=pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
+                found = per_text(set(WORDS.findall((text or "").lower())), toxic)
+                counts.update(found) if counted else rows.extend(found)
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=arrow)
+        if counts:
+            rows = [(*k, n) for k, n in counts.items()]
+            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=arrow)
 
-    return sample.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+    return sample.select("text", "toxic").mapInArrow(run, schema)
 
 
-def lexicon(sample: DataFrame, most: int = 200, candidates: int = 20_000, support: float = 0.004, evidence: float = 20.0) -> tuple[list[str], np.ndarray]:
+def strata(sample: DataFrame, groups: int = 6, frequent: int = 48, rows: int = 4000) -> Strata:
+    """Spherical k-means over which of a script's ``frequent`` commonest words a text has.
+
+    At most ``rows`` texts of a script are looked at, by a hash; the centres are found on the driver.
+    """
+    scripts = lambda words, _: ((script, w) for script in [_script_of(words)] if script for w in words)
+    common = _mapped(sample, scripts, {"script": "string", "word": "string"}, counted=True).groupBy("script", "word").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("script").orderBy(F.desc("n"), "word")
+    found = Strata()
+    for r in common.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= frequent).orderBy("script", "at").collect():
+        places = found.markers.setdefault(r["script"], {})
+        places[r["word"]] = len(places)
+
+    def vectors(words: set[str], _: int) -> Iterable[tuple]:
+        script = _script_of(words)
+        return [(script, found.vector(words, script).tolist())] if script else []
+
+    each = _mapped(sample, vectors, {"script": "string", "v": "array<float>"})
+    w = Window.partitionBy("script").orderBy(F.xxhash64("v"), "v")
+    seen: dict[str, list] = {}
+    for r in each.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= rows).orderBy("script", "at").collect():
+        seen.setdefault(r["script"], []).append(r["v"])
+    for script, vs in seen.items():
+        x = np.array(vs, np.float32)
+        x = x[x.any(1)]
+        if len(x) < 2:
+            continue
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        # Each first centre is the text least like the ones before it; the first is the most usual.
+        at = [int((x @ x.mean(0)).argmax())]
+        while len(at) < min(groups, len(x)):
+            near = (x @ x[at].T).max(1)
+            if near.min() > 0.9:
+                break
+            at.append(int(near.argmin()))
+        centres = x[at]
+        for _ in range(12):
+            own = (x @ centres.T).argmax(1)
+            sums = np.array([x[own == g].sum(0) if (own == g).any() else centres[g] for g in range(len(at))])
+            centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        found.centres[script] = centres
+    return found
+
+
+def chance(a: int, b: int, bad: int, good: int) -> float:
+    """How likely at least ``a`` of a + b rows are toxic by chance, where ``bad`` of bad + good are."""
+    share, n = bad / (bad + good), a + b
+    if not good:
+        return 1.0
+    i = np.arange(a, n + 1)
+    logs = np.array([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in i.tolist()]) + i * math.log(share) + (n - i) * math.log1p(-share)
+    return float(np.exp(logs).sum())
+
+
+def lexicon(sample: DataFrame, most: int = 300, candidates: int = 20_000, support: float = 0.002, level: float = 0.01, own: int = 60) -> tuple[list[str], np.ndarray]:
     """The terms of toxic rows and their weights (log odds).
 
     A term must be in ``support`` of the toxic rows (3 at least), there six times as often as in others,
-    and the number of rows times its weight must be ``evidence``. Of terms that begin one another the
-    one with the most evidence stays; a stem must have a quarter more of it than a word.
+    and in so many of them by chance with a likelihood of ``level`` at most; all three are shares, so the
+    rule is the same for few rows and many. It is judged over all rows and within each stratum (see
+    Strata), so terms of a language with few rows are found too: those need twice the frequency over all
+    rows and have the smaller of both weights. Of terms that begin one another the one with the most
+    evidence (rows times log odds) stays, of equal ones the word. The ``most`` strongest over all rows and the ``own`` strongest of each stratum are taken.
     """
-    total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = total.get(1, 0), total.get(0, 0)
-    if not bad:
+    groups = strata(sample)
+    size: Counter = Counter()
+    for r in _mapped(sample, lambda words, toxic: [(s, toxic) for s in (None, *groups.of(words))], {"stratum": "string", "toxic": "int"}, counted=True).groupBy("stratum", "toxic").agg(F.sum("n").alias("n")).collect():
+        size[r["stratum"], r["toxic"]] = r["n"]
+    if not size[None, 1]:
         return [], np.zeros(0)
-    least = max(3, support * bad)
-    often = _counted(sample.filter("toxic = 1"), None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(candidates).collect()
-    n_bad = {r["term"]: r["n"] for r in often}
-    n_good = {r["term"]: r["n"] for r in _counted(sample.filter("toxic = 0"), list(n_bad)).collect()}
-    scored = []
-    for term, a in n_bad.items():
-        p, q = (a + 0.5) / (bad + 1), (n_good.get(term, 0) + 0.5) / (good + 1)
-        if p >= 6 * q and (found := a * math.log(p / q)) >= evidence:
-            scored.append((-found * (0.8 if term.endswith("*") else 1.0), term, math.log(p / q)))
-    chosen: list[tuple[str, float]] = []
+
+    def terms_of(only: frozenset[str] | None) -> Callable[[set[str], int], Iterable[tuple]]:
+        def terms(words: set[str], _: int) -> Iterable[tuple]:
+            found = words | {f"{w[:n]}*" for w in words for n in STEM if len(w) > n}
+            own = (None, *groups.of(words))
+            return [(t, s) for t in (found if only is None else found & only) for s in own]
+
+        return terms
+
+    columns = {"term": "string", "stratum": "string"}
+    least = {s: max(3, support * n) for (s, toxic), n in size.items() if toxic == 1}
+    enough = F.lit(False)
+    for s, n in least.items():
+        enough = enough | (F.col("stratum").eqNullSafe(F.lit(s)) & (F.col("n") >= n))
+    often = _mapped(sample.filter("toxic = 1"), terms_of(None), columns, counted=True).groupBy("term", "stratum").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("stratum").orderBy(F.desc("n"), "term")
+    often = often.filter(enough).withColumn("at", F.row_number().over(w)).filter(F.col("at") <= candidates)
+    n_bad = {(r["term"], r["stratum"]): r["n"] for r in often.collect()}
+    wanted = frozenset(t for t, _ in n_bad)
+    n_good = {(r["term"], r["stratum"]): r["n"] for r in _mapped(sample.filter("toxic = 0"), terms_of(wanted), columns, counted=True).groupBy("term", "stratum").agg(F.sum("n").alias("n")).collect()}
+    missing = wanted.difference(t for t, s in n_bad if s is None)
+    # Terms that only a stratum names need their number over all rows.
+    if missing:
+        for r in _mapped(sample.filter("toxic = 1"), terms_of(frozenset(missing)), columns, counted=True).filter("stratum IS NULL").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            n_bad[r["term"], "all rows"] = r["n"]
+
+    def odds(term: str, a: int, s: str | None) -> float:
+        return math.log((a + 0.5) / (size[s, 1] + 1)) - math.log((n_good.get((term, s), 0) + 0.5) / (size[s, 0] + 1))
+
+    scored: dict[str | None, list] = {}
+    for (term, s), a in n_bad.items():
+        if s == "all rows":
+            continue
+        weight, b = odds(term, a, s), n_good.get((term, s), 0)
+        if weight < math.log(6) or chance(a, b, size[s, 1], size[s, 0]) > level:
+            continue
+        evidence = a * weight
+        if s is not None:
+            overall = odds(term, n_bad.get((term, None)) or n_bad.get((term, "all rows"), 0), None)
+            if overall < math.log(2):
+                continue
+            weight = min(weight, overall)
+        scored.setdefault(s, []).append((-evidence, term.endswith("*"), term, weight))
+    chosen: dict[str, float] = {}
     stems: set[str] = set()
     begun: set[str] = set()
-    for _, term, weight in sorted(scored):
-        word = term.removesuffix("*")
-        if any(word[:n] in stems for n in range(1, len(word) + 1)) or (term.endswith("*") and word in begun):
-            continue
-        chosen.append((term, weight))
-        if term.endswith("*"):
-            stems.add(word)
-        begun.update(word[:n] for n in range(1, len(word) + 1))
-        if len(chosen) == most:
-            break
-    return [t for t, _ in chosen], np.array([w for _, w in chosen])
+    for s in sorted(scored, key=lambda s: (s is not None, s or "")):
+        taken = 0
+        for *_, term, weight in sorted(scored[s]):
+            word = term.removesuffix("*")
+            if term in chosen:
+                taken += 1
+            elif not any(word[:n] in stems for n in range(1, len(word) + 1)) and not (term.endswith("*") and word in begun):
+                chosen[term] = weight
+                taken += 1
+                if term.endswith("*"):
+                    stems.add(word)
+                begun.update(word[:n] for n in range(1, len(word) + 1))
+            if taken == (most if s is None else own):
+                break
+    return list(chosen), np.array(list(chosen.values()))
 
 
-def _with_features(docs: DataFrame, terms: list[str], weights: np.ndarray, keep: list[str]) -> DataFrame:
+def _with_features(docs: DataFrame, terms: list[str], weights: np.ndarray, automaton: Automaton, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms, weights)
+        reader = Reader(terms, weights, automaton=automaton)
         for batch in pieces(batches, "text"):
             values = reader.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v) for v in values.T)], [*keep, *FEATURES])
@@ -279,7 +451,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str
     """Learn from labelled rows whose crc32(doc_id as text) is no multiple of 5.
 
     At most about ``sample_rows`` rows of each label are looked at, chosen by a hash of their id; this
-    bounds what the driver gets: counts of candidate terms and seven numbers for each row of the sample.
+    bounds what the driver gets: counts of candidate terms, frequent words of at most 4000 rows of each
+    script, and seven numbers for each row of the sample.
     An id with several labels counts as toxic if one of them says so; null labels and ids are left out.
     Without a toxic or without a clean row every score is the share of toxic rows.
     """
@@ -292,9 +465,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "_id").select("text", "toxic")
     sample = written(sample, "toxicity-sample")
     terms, weights = lexicon(sample)
-    rows = _with_features(sample, terms, weights, ["toxic"]).toPandas() if total else None
+    automaton = Automaton(terms)
+    rows = _with_features(sample, terms, weights, automaton, ["toxic"]).toPandas() if total else None
     base = total.get(1, 0) / max(1, sum(total.values()))
-    flat = Model(terms, weights, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), math.log((base + 1e-3) / (1 - base + 1e-3)))
+    flat = Model(terms, weights, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), math.log((base + 1e-3) / (1 - base + 1e-3)), automaton)
     if rows is None or rows["toxic"].nunique() < 2:
         return flat
     x, y = rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(float)
@@ -312,7 +486,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str
         gradient = design.T @ (weight * (p - y)) + ridge * theta
         step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(ridge), gradient)
         theta -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-    return Model(terms, weights, mean, scale, theta[:-1], float(theta[-1]))
+    return Model(terms, weights, mean, scale, theta[:-1], float(theta[-1]), automaton)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +494,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.terms, model.weights)
+        reader = model.reader()
         for batch in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(reader.features(batch.column("text").to_pylist())))], ["doc_id", "score"])
 
@@ -331,7 +505,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5)
     """The rows of ``docs``, with all their columns, whose score is below ``limit``. Rows stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.terms, model.weights)
+        reader = model.reader()
         for batch in pieces(batches, text):
             scores = model.scores(reader.features(batch.column(batch.schema.get_field_index(text)).to_pylist()))
             yield batch.filter(pa.array(scores < limit))

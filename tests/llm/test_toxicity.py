@@ -82,3 +82,28 @@ def test_held_out_is_by_crc32(spark, doc_id):
     import zlib
 
     assert spark.range(doc_id, doc_id + 1).select(held_out("id").alias("h")).first()["h"] == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("0.001", {"en": 7}), ("0.01", {"en": 34, "de": 5, "es": 4, "fr": 3})])
+def test_terms_of_few_rows(spark, sf, least):
+    """Small tables and languages with few toxic rows have terms too."""
+    d = f"/root/testdata/sf{sf}"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = docs.join(labels.filter("toxic = 1"), "doc_id").select("text", "lang").collect()
+    hit = model.reader().features([r["text"] for r in rows])[:, :3].any(1)
+    for lang, n in least.items():
+        assert sum(h for h, r in zip(hit.tolist(), rows, strict=True) if r["lang"] == lang) >= n
+
+
+def test_terms_of_a_stratum(spark):
+    """A term in 5 of 4000 toxic rows is below the support over all rows, but not in its own script."""
+    rows = [(f"the {'scum' if i % 2 else 'table'} is here w{i}", i % 2) for i in range(8000)]
+    rows += [(f"это {'гад' if i < 5 else 'стол'} и дом с{i}", int(i < 5)) for i in range(60)]
+    terms, weights = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {"scum", "гад"} <= set(terms) and min(weights) > 0
+
+
+def test_chance():
+    assert toxicity.chance(3, 0, 10, 90) == pytest.approx(0.001) and toxicity.chance(3, 0, 1, 1) == pytest.approx(0.125)
+    assert toxicity.chance(0, 5, 1, 9) == pytest.approx(1.0)
