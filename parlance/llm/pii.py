@@ -38,13 +38,15 @@ NAME = rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.? (?:{_CAPITAL} )?{_CAPITAL}|(?:{_GIVEN
 #: In the order of precedence.
 PATTERNS = {"email": EMAIL, "secret": SECRET, "ip": IP, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every text has that holds an entity other than a name: secrets may be of letters alone.
+MARK = r"[0-9@]|AKIA|(?i:token|password|passwd|secret|api[_-]?key)[ ]{0,3}[=:]"
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef"
 
 
 def entities(text: Column) -> Column:
-    """All entities of a text in order. Texts without digit and "@" can hold names only."""
-    marked = F.regexp_like(text, F.lit("[0-9@]"))
+    """All entities of a text in order. Texts without a mark can hold names only."""
+    marked = F.regexp_like(text, F.lit(MARK))
     named = F.regexp_like(text, F.lit(NAME))
     none = F.array().cast("array<string>")
     return F.when(marked, F.regexp_extract_all(text, F.lit(ALL), F.lit(0))).when(named, F.regexp_extract_all(text, F.lit(NAME), F.lit(0))).otherwise(none)
@@ -52,7 +54,7 @@ def entities(text: Column) -> Column:
 
 def gaps(text: Column) -> Column:
     """The pieces of a text between its entities: one more than there are entities."""
-    marked = F.regexp_like(text, F.lit("[0-9@]"))
+    marked = F.regexp_like(text, F.lit(MARK))
     named = F.regexp_like(text, F.lit(NAME))
     return F.when(marked, F.split(text, ALL, -1)).when(named, F.split(text, NAME, -1)).otherwise(F.array(text))
 
