@@ -99,8 +99,8 @@ def fnv1a(text: Column) -> Column:
 def sanitized_tags(tags: Column, chars: int = 24, most: int = 12) -> Column:
     """Collapsed, cut, blanks dropped, each once whatever its case (the first spelling stays), the first ``most``."""
     clean = F.filter(F.transform(tags, lambda t: F.trim(F.left(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(chars)))), lambda t: t != "")
-    kept = F.aggregate(clean, F.array().cast("array<string>"), lambda out, t: F.when(F.exists(out, lambda o: F.lower(o) == F.lower(t)), out).otherwise(F.array_append(out, t)))
-    return F.slice(kept, 1, most)
+    kept = F.aggregate(clean, F.array().cast("array<string>"), lambda out, t: F.when((F.size(out) >= most) | F.exists(out, lambda o: F.lower(o) == F.lower(t)), out).otherwise(F.array_append(out, t)))
+    return kept
 
 
 def first_field(variant: Column, names: list[str]) -> Column:

@@ -476,7 +476,7 @@ def scl_h1_fnv1a(spark, d):
 
 @query()
 def scl_a1_tags(spark, d):
-    return read(spark, d, "documents").select("doc_id", v.sanitized_tags(F.slice(F.split(F.col("text"), " "), 1, 40)).alias("tags"))
+    return read(spark, d, "documents").select("doc_id", v.sanitized_tags(F.split(F.col("text"), " ")).alias("tags"))
 
 
 @query("SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k FROM events")

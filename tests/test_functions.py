@@ -1,6 +1,7 @@
 """Functions and folds against values worked out by hand."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,24 @@ def test_first_speaker(spark):
     speakers = spark.createDataFrame([(2, "ana", "x"), (1, "Ana", "y"), (3, "Luis", "Luis.Dev"), (4, "ángel", "z")], "speaker_no int, display_name string, username string")
     got = {r["task"]: r["speaker"] for r in joins.first_speaker(tasks, speakers, "assignee", "task").collect()}
     assert got == {1: "Ana", 2: "Luis", 3: None, 4: None}
+
+
+def test_tags_of_whole_texts(spark, sf_dir, tmp_path):
+    """Against the rule in plain Python; some texts repeat words beyond the fortieth."""
+    from parlance import registry
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(-1, "same " * 60 + "other Same last"), (-2, " " * 50 + "late\t word"), (-3, None), (-4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def tags(text):
+        out = []
+        for part in text.split(" "):
+            tag = re.sub(r"[ \t\n\x0b\f\r]+", " ", part).strip(" ")[:24].strip(" ")
+            if tag and len(out) < 12 and tag.lower() not in (o.lower() for o in out):
+                out.append(tag)
+        return out
+
+    got = {r["doc_id"]: r["tags"] for r in registry.queries()["scl_a1_tags"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else tags(t) for i, t in rows}
+    assert got[-1] == ["same", "other", "last"] and got[-2] == ["late", "word"]
