@@ -59,8 +59,8 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 24, unlike: float = 0
     segment has no more than its even share, or where its branch merges: the branches of a parent that
     have similar statistics - the kinds of what follows them and their labelled share differ from the
     parent's pooled ones by at most ``unlike`` in total variation - are one. A branch is held against
-    the pool, never against each other branch, so the work is linear in the branches. Only branches
-    with labels merge, as those without give no sign that they are alike. What lies below ``depth``
+    the pool, never against each other branch, so the work is linear in the branches. Where a branch
+    or the pool has no labels the kinds alone tell, so labels reach branches without any. What lies below ``depth``
     segments is "**". ``urls``: host, path, label (1 to reject, 0 to keep, null unknown).
 
     Counts are taken over distinct (host, path, label) with their numbers, and summed before they are
@@ -83,7 +83,7 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 24, unlike: float = 0
         common = common.groupBy(*key, "segment").agg(F.sum(F.least(F.col("n") / F.col("branch_n"), F.col("pool_n") / F.col("all_n"))).alias("common"))
         judged = branch.join(pool, key).join(common, [*key, "segment"])
         rate = F.abs(F.col("bad") / F.nullif(F.col("known"), F.lit(0)) - F.col("all_bad") / F.nullif(F.col("all_known"), F.lit(0)))
-        alike = (F.col("branches") > 1) & (F.col("known") > 0) & (1 - F.col("common") <= unlike) & (rate <= unlike)
+        alike = (F.col("branches") > 1) & (1 - F.col("common") <= unlike) & F.coalesce(rate <= unlike, F.lit(True))
         fan = (F.col("branches") > many) & (F.col("n") * F.col("branches") <= F.col("all_n"))
         wild = judged.select(*key, "segment", F.when(F.coalesce(alike | fan, F.lit(False)), F.lit(WILD)).otherwise(F.col("segment")).alias("as"))
         grown = F.when(F.col("as").isNotNull(), F.concat(F.col("template"), F.lit("/"), F.col("as"))).otherwise(F.col("template"))

@@ -177,3 +177,13 @@ def test_templates_by_purity(spark):
     assert out[50]["template"] == "/item/{n}" and out[50]["verdict"] == "allow"
     assert out[150]["template"] == "/spam/{n}.html" and out[150]["verdict"] == "block"
     assert out[205]["template"] == "/u/*/posts" and out[205]["verdict"] == "allow"
+
+
+def test_purity_reaches_pages_without_rules(spark):
+    """Rules label /en/ of the host alone; /de/ and /fr/ go on alike and share its template, /about/ doesn't."""
+    urls = [f"http://a.example.com/{s}/{i}" for s in ("en", "de", "fr") for i in range(20, 40)] + [f"http://a.example.com/about/us/{c}" for c in "abc"]
+    out = {r["path"]: r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert out["/de/21"]["rule"] is None and out["/de/21"]["template"] == out["/en/21"]["template"] and out["/de/21"]["verdict"] == out["/fr/21"]["verdict"] == "block"
+    assert out["/about/us/a"]["verdict"] == "allow"
+    pages = url_filters.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    assert pages.filter("rule IS NULL AND verdict = 'block'").count() > 0
