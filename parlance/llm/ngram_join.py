@@ -4,8 +4,9 @@ If two sets A and B have a Jaccard similarity of t or more, then under any one o
 the first |A| - ceil(t|A|) + 1 shingles of A and the first |B| - ceil(t|B|) + 1 of B have one in
 common. The first order here is by rarity, with the shingles of a quarter of all hashes before the
 others: texts whose first shingles nobody else has are out at once. The second is by rarity among the
-texts that are left, over all their shingles. Pairs that share a prefix shingle under it are held
-against further orders, by keyed hashes; those that share one under all are verified exactly.
+texts that are left, over all their shingles. Further orders are by keyed hashes, and each class of
+texts carries its prefixes under them. Pairs that share a prefix shingle by rarity are joined with both
+sides' prefixes, and only those that share one under every order have their sets fetched and verified.
 
 Texts with the same set of shingles are one class from the start, and only links that can join two
 components are looked for: each class is compared with one pivot for each of its prefix shingles, and
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import flat, pieces
+from .arrow import binary, flat, lean, pieces
 from .common import written
 from .components import components
 from .shingles import mix, set_keys, shingle_sets
@@ -32,8 +33,10 @@ COUNTED, ALL = 1 << 62, 1 << 64
 FREQUENT = 64
 #: Seeds of the further orders.
 ORDERS = (0x51ED270B, 0x2545F491, 0x6C62272E)
-#: Texts to a bucket of hashes, and classes to a block.
-TEXTS_A_BUCKET, BLOCK = 4096, 256
+#: Pairs of a shingle and a text that a bucket of hashes gets on average, and how many a task holds before it sums them.
+PAIRS_A_BUCKET, HELD = 250_000, 1_000_000
+#: Classes to a block, and shingles of all its classes together (a larger class is a block of its own).
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Bytes of text that a task looks at together: some 50 times that in memory.
 PIECE = 1 << 19
 #: Bits of the sieve, as a power of 2: half a megabyte, good for some 500,000 ids.
@@ -51,42 +54,40 @@ def _sends_all(n: np.ndarray, counted: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, counted, key) for each row: size of its set, counted shingles, and the set's key."""
+    """(doc_id, n, counted, key, key2) for each row: size of its set, counted shingles, and both keys of the set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             values, offsets = shingle_sets(batch.column("text"), k)
             low = np.r_[0, np.cumsum(values < np.uint64(COUNTED))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(low[offsets[1:]] - low[offsets[:-1]]), pa.array(set_keys(values, offsets))], ["doc_id", "n", "counted", "key"]
-            )
+            columns = [np.diff(offsets), low[offsets[1:]] - low[offsets[:-1]], set_keys(values, offsets), set_keys(values, offsets, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n", "counted", "key", "key2"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, counted long, key long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, counted long, key long, key2 long")
 
 
 def _packed(hashes: np.ndarray, keys: np.ndarray) -> bytes:
-    """Pairs of a shingle's upper 48 bits and a set's key, 14 bytes each."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() + keys.tobytes()
+    """Pairs of a shingle and a set's key, 16 bytes each."""
+    return hashes.tobytes() + keys.tobytes()
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 14
-    hashes = np.zeros((n, 8), np.uint8)
-    hashes[:, 2:] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
-    return hashes.view(np.uint64).ravel(), np.frombuffer(data, np.int64, n, 6 * n)
+    n = len(data) // 16
+    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.int64, n, 8 * n)
 
 
-def _dealt(values: np.ndarray, offsets: np.ndarray, counted: int, percent: int, buckets: int) -> pa.RecordBatch | None:
+def _dealt(keys: np.ndarray, values: np.ndarray, offsets: np.ndarray, counted: int, percent: int, buckets: int) -> pa.RecordBatch | None:
     """The counted shingles of a piece with their sets, packed by bucket."""
-    keys, n = set_keys(values, offsets), np.diff(offsets)
+    n = np.diff(offsets)
     early = values <= np.uint64(counted - 1)
     low = np.r_[0, np.cumsum(early)]
     all_ = _sends_all(n, low[offsets[1:]] - low[offsets[:-1]], percent)
     once = np.zeros(len(n), bool)
     once[np.unique(keys, return_index=True)[1]] = True
     sent = np.repeat(once, n) & (np.repeat(all_, n) | early)
-    hashes, owners = values[sent] & ~np.uint64(0xFFFF), np.repeat(keys, n)[sent]
+    hashes, owners = values[sent], np.repeat(keys, n)[sent]
     if not len(hashes):
         return None
     order = np.argsort(hashes, kind="stable")
@@ -114,70 +115,96 @@ POSTINGS = "bucket int, frequent boolean, pairs binary"
 
 
 def postings(docs: DataFrame, k: int, percent: int, buckets: int, text: str) -> DataFrame:
-    """(bucket, frequent, pairs): the shingles that are counted, with their sets, packed by hash bucket.
+    """(bucket, frequent, pairs): the shingles that are counted, with the first keys of their sets, packed by hash bucket.
 
     Of copies within one piece of text only one counts. A shingle that FREQUENT sets of the piece have
     is known to be frequent: its bucket gets one mark of that (key 0), and its pairs go, marked
-    frequent, to the buckets of their sets. So one shingle brings a bucket fewer than FREQUENT pairs
-    from a piece, however many texts have it.
+    frequent, to the buckets of their sets.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
-            if (out := _dealt(*shingle_sets(batch.column("text"), k), COUNTED, percent, buckets)) is not None:
+            values, offsets = shingle_sets(batch.column("text"), k)
+            if (out := _dealt(set_keys(values, offsets), values, offsets, COUNTED, percent, buckets)) is not None:
                 yield out
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, POSTINGS)
 
 
 def set_postings(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """postings() of all shingles of ``sets`` (column set)."""
+    """postings() of all shingles of ``sets`` (key, set)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "set", 8 << 20):
+        for batch in pieces(batches, "set", 2 << 20):
             data, offsets = flat(batch.column("set"))
-            if (out := _dealt(data.view(np.uint64), offsets // 8, ALL, percent, buckets)) is not None:
+            if (out := _dealt(batch.column("key").to_numpy(), data.view(np.uint64), offsets // 8, ALL, percent, buckets)) is not None:
                 yield out
 
-    return sets.select("set").mapInArrow(run, POSTINGS)
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """(key, shingle, sets): the pairs of a bucket whose shingle two sets or more have."""
-    got: list[tuple] = []
-    plain = [_unpacked(p) for p, hot in zip(table.column("pairs").to_pylist(), table.column("frequent").to_pylist(), strict=True) if not hot]
-    if plain:
-        hashes, keys = (np.concatenate(x) for x in zip(*plain, strict=True))
-        order = np.lexsort((keys, hashes))
-        hashes, keys = hashes[order], keys[order]
-        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])]
-        hashes, keys = hashes[new], keys[new]
-        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        count = np.diff(np.r_[starts, len(hashes)])
-        marked = np.maximum.reduceat(keys == 0, starts)
-        sets = np.repeat(np.where(marked, FREQUENT, np.minimum(count, FREQUENT)), count)
+    return sets.select("key", "set").mapInArrow(run, POSTINGS)
+
+
+def _summed(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of their shingles, and how many sets have the shingle (FREQUENT at most, and where marked)."""
+    order = np.lexsort((keys, hashes))
+    hashes, keys = hashes[order], keys[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])]
+    hashes, keys = hashes[new], keys[new]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    count = np.diff(np.r_[starts, len(hashes)])
+    marked = np.maximum.reduceat(keys == 0, starts)
+    return hashes, keys, np.repeat(np.where(marked, FREQUENT, np.minimum(count, FREQUENT)), count)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, shingle, sets): the pairs of a bucket whose shingle two sets or more have.
+
+    The bucket is read batch by batch. Pairs of shingles that have proved frequent go out at once and
+    leave a mark, so what is held is at most FREQUENT pairs of each different shingle of the bucket.
+    """
+
+    def out(keys: np.ndarray, hashes: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes.view(np.int64)), pa.array(sets.astype(np.int32))], ["key", "shingle", "sets"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    size, limit = 0, HELD
+    for batch in batches:
+        frequent = [_unpacked(p) for p, hot in zip(batch.column("pairs").to_pylist(), batch.column("frequent").to_pylist(), strict=True) if hot]
+        plain = [_unpacked(p) for p, hot in zip(batch.column("pairs").to_pylist(), batch.column("frequent").to_pylist(), strict=True) if not hot]
+        for hashes, keys in frequent:
+            yield out(keys, hashes, np.full(len(keys), FREQUENT))
+        held += plain
+        size += sum(len(h) for h, _ in plain)
+        if size > limit:
+            hashes, keys, sets = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            gone = (sets == FREQUENT) & (keys != 0)
+            yield out(keys[gone], hashes[gone], sets[gone])
+            marks = np.unique(hashes[gone])
+            held = [(np.r_[hashes[~gone], marks], np.r_[keys[~gone], np.zeros(len(marks), np.int64)])]
+            size = len(held[0][0])
+            limit = max(HELD, 2 * size)
+    if size:
+        hashes, keys, sets = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
         keep = (sets > 1) & (keys != 0)
-        got.append((keys[keep], hashes[keep], sets[keep]))
-    for p, hot in zip(table.column("pairs").to_pylist(), table.column("frequent").to_pylist(), strict=True):
-        if hot:
-            hashes, keys = _unpacked(p)
-            got.append((keys, hashes, np.full(len(keys), FREQUENT)))
-    keys, hashes, sets = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return pa.table({"key": keys, "shingle": hashes.view(np.int64), "sets": sets.astype(np.int32)})
+        yield out(keys[keep], hashes[keep], sets[keep])
 
 
-def _rarest(percent: int, counted_below: int, classes: pa.Table, shared: pa.Table) -> pa.Table:
+def _rarest(percent: int, counted_below: int, keys_only: bool, classes: pa.Table, shared: pa.Table) -> pa.Table:
     """(shingle, key, n): the prefix shingles, under the order by rarity, that other sets have too.
 
     The order: counted shingles before others, then the number of sets that sent it (up to FREQUENT),
     then the hash. Shingles of one set only are not listed but take their places in the prefix.
+    ``keys_only``: each key once, with shingle and n 0; keys that two classes have are all among them.
     """
     key, n, counted = (classes.column(c).to_numpy() for c in ("key", "n", "counted"))
     order = np.argsort(key)
     key, n, counted = key[order], n[order], counted[order]
+    twice = np.unique(key[1:][key[1:] == key[:-1]]) if keys_only else key[:0]
     owner, shingle, sets = shared.column("key").to_numpy(), shared.column("shingle").to_numpy().view(np.uint64), shared.column("sets").to_numpy()
     if not len(owner) or not len(key):
-        return pa.table({"shingle": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        none = np.zeros(len(twice), np.int64)
+        return pa.table({"shingle": none, "key": twice, "n": none})
     order = np.lexsort((-sets, shingle, owner))
     owner, shingle, sets = owner[order], shingle[order], sets[order]
     new = np.r_[True, (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])]
@@ -193,19 +220,31 @@ def _rarest(percent: int, counted_below: int, classes: pa.Table, shared: pa.Tabl
     late_alone = n - counted - late_listed
     place = np.where(late, counted[at] + late_alone[at] + nth - early_listed[at], early_alone[at] + nth)
     keep = place < prefix_length(n, percent)[at]
+    if keys_only:
+        found = np.union1d(owner[keep], twice)
+        return pa.table({"shingle": np.zeros(len(found), np.int64), "key": found, "n": np.zeros(len(found), np.int64)})
     return pa.table({"shingle": shingle[keep].view(np.int64), "key": owner[keep], "n": n[at][keep]})
 
 
-def orders_agree(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Do the sets share a prefix shingle under every further order?"""
+def order_prefixes(values: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, offsets) of the sets' prefixes under each further order; 32 bits of each shingle's place in it."""
+    n = np.diff(offsets)
+    row, wanted = np.repeat(np.arange(len(n)), n), prefix_length(n, percent)
+    out = []
     for seed in ORDERS:
-        left, right = mix(a ^ np.uint64(seed)), mix(b ^ np.uint64(seed))
-        p, q = int(prefix_length(np.array(len(a)), percent)), int(prefix_length(np.array(len(b)), percent))
-        left = np.partition(left, p - 1)[:p] if p < len(left) else left
-        right = np.partition(right, q - 1)[:q] if q < len(right) else right
-        if not len(np.intersect1d(left, right, assume_unique=True)):
-            return False
-    return True
+        hashed = mix(values ^ np.uint64(seed))
+        hashed = hashed[np.lexsort((hashed, row))]
+        first = np.arange(len(row)) - offsets[:-1][row] < wanted[row]
+        out.append((hashed[first].astype(np.uint32).view(np.int32), np.r_[0, np.cumsum(np.minimum(wanted, n))]))
+    return out
+
+
+def orders_agree(left: str, right: str) -> Column:
+    """Do two classes share a prefix shingle under every further order? Columns left + "0" and so on hold the prefixes."""
+    agree = F.lit(True)
+    for i in range(len(ORDERS)):
+        agree = agree & F.arrays_overlap(f"{left}{i}", f"{right}{i}")
+    return agree
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -216,11 +255,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b, left, right) whose sets are similar, as (a, b)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "left"):
             (x, xs), (y, ys) = (flat(batch.column(c)) for c in ("left", "right"))
             x, y, xs, ys = x.view(np.uint64), y.view(np.uint64), xs // 8, ys // 8
-            keep = [orders_agree(a, b, percent) and similar(a, b, percent) for a, b in ((x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]) for i in range(batch.num_rows))]
+            keep = [similar(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -293,6 +333,7 @@ def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
         sieve[r["word"]] = r["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(sieve.view(np.uint64))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in pieces(batches, "text"):
@@ -307,53 +348,76 @@ def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *[p.alias(f"p{i}") for i, p in enumerate(_places("doc_id"))]).mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(key, set) of each of ``classes`` (key, doc_id: a text that has it); set: sorted 64-bit shingles, packed."""
+def class_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(key, n, set, p0, p1, ...) of each of ``classes`` (key, hash, hash2, doc_id: a text that has it).
+
+    set: sorted 64-bit shingles, packed; p0 and so on: the prefixes under the further orders.
+    """
     few = sieved(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), classes)
-    chosen = few.join(classes.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+    chosen = few.join(classes.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    names = [f"p{i}" for i in range(len(ORDERS))]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             values, offsets = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_pydict({"key": set_keys(values, offsets), "set": [values[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]}, schema=pa.schema([("key", pa.int64()), ("set", pa.binary())]))
+            prefixes = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p)) for p, ends in order_prefixes(values, offsets, percent)]
+            keys = [pa.array(set_keys(values, offsets, half)) for half in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(offsets)), binary(values.view(np.uint8), offsets * 8), *prefixes], ["hash", "hash2", "n", "set", *names])
 
     # Rows that share an id with a chosen one but not its text have another key, and several rows may share both.
-    found = chosen.mapInArrow(run, "key long, set binary")
-    return found.join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    found = chosen.mapInArrow(run, "hash long, hash2 long, n long, set binary, " + ", ".join(f"{c} array<int>" for c in names))
+    return found.join(classes.select("hash", "hash2", "key"), ["hash", "hash2"]).select("key", "n", "set", *names).dropDuplicates(["key"])
 
 
-def rare_prefixes(posted: DataFrame, classes: DataFrame, counted: int, percent: int, buckets: int) -> DataFrame:
+def rare_prefixes(posted: DataFrame, classes: DataFrame, counted: int, percent: int, buckets: int, keys_only: bool = False) -> DataFrame:
     """(shingle, key, n) from postings and their ``classes`` (key, n, counted); see _rarest()."""
-    shared = posted.groupBy("bucket").applyInArrow(lambda t: _shared(t), "key long, shingle long, sets int")
+    shared = posted.groupBy("bucket").applyInArrow(_shared, "key long, shingle long, sets int")
     dealt = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("d")
-    return shared.groupBy(dealt).cogroup(classes.select("key", "n", "counted").groupBy(dealt)).applyInArrow(lambda s, c: _rarest(percent, counted, c, s), "shingle long, key long, n long")
+    return shared.groupBy(dealt).cogroup(classes.select("key", "n", "counted").groupBy(dealt)).applyInArrow(lambda s, c: _rarest(percent, counted, keys_only, c, s), "shingle long, key long, n long")
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """(key, root, block) for the rows (shingle, key, root) of classes that are still to be compared.
+    """(key, root, block) for the rows (shingle, key, root, n) of classes that are still to be compared.
 
     Each component goes to the block of the most frequent of its shingles, so those that share much meet
-    in one; components and shingles with more than BLOCK classes are cut by hash.
+    in one; components and shingles with more than BLOCK classes, or BLOCK_SHINGLES shingles in these,
+    are cut by hash.
     """
-    often = rest.groupBy("shingle").agg(F.count("*").alias("n"))
-    anchor = rest.join(often, "shingle").groupBy("root").agg(F.max(F.struct("n", "shingle")).alias("at")).select("root", F.col("at.shingle").alias("anchor"))
-    member = rest.select("key", "root").distinct().join(anchor, "root")
-    own = member.groupBy("root").agg(F.count("*").alias("own"))
-    size = member.groupBy("anchor").agg(F.count("*").alias("all"))
+    often = rest.groupBy("shingle").agg(F.count("*").alias("often"))
+    anchor = rest.join(often, "shingle").groupBy("root").agg(F.max(F.struct("often", "shingle")).alias("at")).select("root", F.col("at.shingle").alias("anchor"))
+    member = rest.select("key", "root", "n").distinct().join(anchor, "root")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    own = member.groupBy("root").agg(parts.alias("own"))
+    size = member.groupBy("anchor").agg(parts.alias("all"))
     cut = member.join(own, "root").join(size, "anchor")
-    large = F.col("own") > BLOCK
-    part = F.when(large, F.pmod(F.xxhash64("key"), F.ceil(F.col("own") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("all") / BLOCK)))
+    large = F.col("own") > 1
+    part = F.when(large, F.pmod(F.xxhash64("key"), F.col("own"))).otherwise(F.pmod(F.xxhash64("root"), F.col("all")))
     return cut.select("key", "root", F.xxhash64("anchor", part, F.when(large, F.col("root"))).alias("block"))
 
 
-def links_of(docs: DataFrame, profile: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(a, b): links between classes that make the same components as all links do."""
-    classes = profile.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("counted").alias("counted"), F.min("doc_id").alias("doc_id"))
-    buckets = max(16, -(-profile.count() // TEXTS_A_BUCKET))
-    early = rare_prefixes(postings(docs, k, percent, buckets, text), classes, COUNTED, percent, buckets)
-    active = written(early.select("key").distinct().join(classes.select("key", "n", "doc_id"), "key"), "join-active")
-    sets = written(class_sets(docs, active, k, doc_id, text), "join-sets")
+def _buckets(pairs: int | None) -> int:
+    """Enough buckets for so many pairs."""
+    return max(16, -(-(pairs or 0) // PAIRS_A_BUCKET))
+
+
+def active_classes(docs: DataFrame, profile: DataFrame, classes: DataFrame, k: int, percent: int, text: str) -> DataFrame:
+    """(key, n, hash, hash2, doc_id): the classes with a prefix shingle that others have, numbered by ``key``.
+
+    Classes are known by the first half of their key alone until here; where two share it both stay.
+    """
+    short = F.col("counted") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    buckets = _buckets(profile.agg(F.sum(F.when(short, F.col("n")).otherwise(F.col("counted")))).first()[0])
+    early = rare_prefixes(postings(docs, k, percent, buckets, text), classes, COUNTED, percent, buckets, True)
+    found = early.select("key").distinct().join(classes, "key")
+    return found.select((F.monotonically_increasing_id() + 1).alias("key"), "n", F.col("key").alias("hash"), F.col("key2").alias("hash2"), "doc_id")
+
+
+def links_of(docs: DataFrame, active: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(a, b): links between active classes that make the same components as all links do."""
+    sets = written(class_sets(docs, active, k, percent, doc_id, text), "join-sets")
     # The same among those that are left, over all their shingles.
+    buckets = _buckets(active.agg(F.sum("n")).first()[0])
     prefixes = rare_prefixes(set_postings(sets, percent, buckets), active.withColumn("counted", F.col("n")), ALL, percent, buckets)
     prefixes = written(prefixes, "join-prefixes")
     # A pivot for each shingle; sums are taken before rows are dealt by shingle.
@@ -361,12 +425,16 @@ def links_of(docs: DataFrame, profile: DataFrame, k: int, percent: int, doc_id:
     near = prefixes.join(pivots, "shingle").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("m"), "n", "shingle")
     near = written(near, "join-near")
     fits = F.least("m", "n") * 100 >= F.greatest("m", "n") * percent
-    first = near.filter((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
-    first = first.join(sets.select(F.col("key").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("right")), "b")
+    pairs = near.filter((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
+    # The further orders, before any set is fetched.
+    places = [f"p{i}" for i in range(len(ORDERS))]
+    side = lambda key, name: sets.select(F.col("key").alias(key), *[F.col(p).alias(f"{name}{i}") for i, p in enumerate(places)])
+    pairs = written(pairs.join(side("a", "l"), "a").join(side("b", "r"), "b").filter(orders_agree("l", "r")).select("a", "b"), "join-candidates")
+    first = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("right")), "b")
     star = written(_verified(first, percent), "join-star")
     roots = components(star, "join-roots").withColumnsRenamed({"node": "b"})
     # Classes that share a prefix shingle and are of different components yet.
-    rest = near.select("shingle", "b").join(roots, "b", "left").select("shingle", F.col("b").alias("key"), F.coalesce("root", "b").alias("root"))
+    rest = near.select("shingle", "b", "n").join(roots, "b", "left").select("shingle", F.col("b").alias("key"), F.coalesce("root", "b").alias("root"), "n")
     mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
     rest = written(rest.join(mixed, "shingle"), "join-rest")
     member = written(_blocks(rest), "join-blocks")
@@ -386,15 +454,24 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
     component_id, the smallest doc_id reachable by links, for each row of ``docs``. A text of fewer
     than k words is one shingle; null, empty and blank texts have none and link with nothing. Repeated
     rows and copies are linked. Rows without an id take part; a component in which no row has one has
-    a null component_id. Other columns are not used or returned.
+    a null component_id. An empty table gives an empty one. Other columns are not used or returned.
 
     No pair is lost: what is skipped are pairs already joined through others. One text's shingles are
-    held in one task, those of a bucket in another; neither grows with the number of texts.
+    held in one task, those of a bucket in another; neither grows with the number of texts. A class of
+    equal sets has a key of 128 bits and is one row wherever classes are joined; the rows of very many
+    copies meet it in the last join only, whose partitions Spark splits where they are skewed.
     """
     profile = written(profiles(docs, k, doc_id, text), "join-profile")
-    links = written(links_of(docs, profile, k, percent, doc_id, text), "join-links")
+    full = profile.filter("n > 0")
+    classes = written(full.groupBy("key", "key2").agg(F.first("n").alias("n"), F.first("counted").alias("counted"), F.min("doc_id").alias("doc_id")), "join-classes")
+    active = written(active_classes(docs, full, classes, k, percent, text), "join-active")
+    links = written(links_of(docs, active, k, percent, doc_id, text), "join-links")
     roots = components(links, "join-components").withColumnsRenamed({"node": "key"})
-    rooted = profile.join(roots, "key", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "key")))
-    first = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(first, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rooted = active.select("key", "hash", "hash2", "doc_id").join(roots, "key")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    moved = rooted.join(least, "root").select(F.col("hash").alias("key"), F.col("hash2").alias("key2"), "least", F.lit(True).alias("moved"))
+    # One row for each class.
+    named = classes.select("key", "key2", "doc_id").join(moved, ["key", "key2"], "left")
+    named = written(named.select("key", "key2", F.when(F.col("moved"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")), "join-named")
+    out = full.join(named, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(profile.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -87,9 +87,10 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.r_[0, np.cumsum(np.bincount(row[new], minlength=rows))]
 
 
-def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set, never 0; 0 for an empty one."""
-    sums = np.r_[np.uint64(0), np.cumsum(mix(values ^ np.uint64(BASE)))]
+def set_keys(values: np.ndarray, offsets: np.ndarray, half: int = 0) -> np.ndarray:
+    """One of two independent 64-bit keys of each set, never 0; 0 for an empty one. Both together tell sets apart."""
+    spread = mix(values ^ np.uint64(BASE)) if half == 0 else mix(mix(values) + np.uint64(BASE))
+    sums = np.r_[np.uint64(0), np.cumsum(spread)]
     n = np.diff(offsets)
     keys = mix(sums[offsets[1:]] - sums[offsets[:-1]] + n.astype(np.uint64))
     return np.where(n > 0, np.maximum(keys, np.uint64(1)), np.uint64(0)).view(np.int64)

@@ -50,7 +50,8 @@ def test_odd_rows(odd, empty):
 def test_against_all_pairs(spark, monkeypatch, k, percent, block):
     """Families of near copies, chains, shared passages, and passages that make most of a text."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "TEXTS_A_BUCKET", 40)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_BUCKET", 2000)
+    monkeypatch.setattr(ngram_join, "HELD", 1000)
     rng = np.random.default_rng(k)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 3))
     passage = [word() for _ in range(60)]
@@ -84,8 +85,10 @@ def test_prefix_filter_loses_nothing():
     for _ in range(200):
         a = rng.choice(1 << 40, int(rng.integers(1, 60)), replace=False).astype(np.uint64)
         b = np.unique(np.r_[rng.permutation(a)[: int(rng.integers(0, len(a) + 1))], rng.choice(1 << 40, int(rng.integers(0, 12))).astype(np.uint64)])
+        a = np.sort(a)
         if len(b) and ngram_join.similar(a, b, 85):
-            assert ngram_join.orders_agree(a, b, 85)
+            for values, ends in ngram_join.order_prefixes(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), 85):
+                assert set(values[: ends[1]]) & set(values[ends[1] :])
 
 
 def test_components(spark):
@@ -105,3 +108,22 @@ def test_other_names(spark):
     docs = spark.createDataFrame([("x", "a b c d e"), ("y", "a b c d e")], "name string, body string").withColumn("text", F.lit(1))
     got = ngram_join.ngram_join(docs, doc_id="name", text="body").collect()
     assert {r["component_id"] for r in got} == {"x"}
+
+
+def test_documents_against_all_pairs(documents):
+    """Every row whose id is divisible by 50 against all rows: no link between different texts is lost."""
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    sets = {d: shingles(t, 4) for d, t in rows}
+    component = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(documents).collect()}
+    linked = [(q, d) for q in sets if q % 50 == 0 for d in sets if sets[q] and sets[d] and 100 * len(sets[q] & sets[d]) >= 85 * len(sets[q] | sets[d])]
+    assert all(component[q] == component[d] for q, d in linked)
+    assert result(documents) == brute(rows, 4, 85)
+
+
+def test_keys_of_one_half_may_meet(spark, monkeypatch):
+    """Where the first halves of keys collide the second tells sets apart."""
+    whole = ngram_join.set_keys
+    monkeypatch.setattr(ngram_join, "set_keys", lambda v, o, half=0: whole(v, o, half) if half else np.where(np.diff(o) > 0, 1 + whole(v, o) % 3, 0))
+    words = [[f"w{i}x{j}" for j in range(30)] for i in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(50 + i, " ".join([*w[:-1], "end"])) for i, w in enumerate(words)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 4, 85)
