@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -13,15 +14,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import binary, flat, gather, pieces
+from .arrow import binary, flat, gather, lean, pieces
 
 #: How the vocabulary's library cuts a text before merging (fixed by the vocabulary).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(1) << 40
 #: A space between two characters that aren't white space; white space beside a space or at an end.
 CUT, BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[^\S ](?: |(?<= [^\S ]))")
-#: A task keeps the ids of at most so many different parts; beyond, it starts again. This bounds memory only.
-CACHED_PARTS = 400_000
+#: A task keeps the ids of different parts up to about so many bytes; beyond, it starts again. This bounds memory only.
+CACHED_BYTES = 24 << 20
+#: What a part or word costs beside its text: its entry, its number and some ids.
+ENTRY_BYTES = 160
+#: Bytes of text that a task encodes together.
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -143,10 +148,12 @@ class _Numbered(dict):
 
     def __init__(self):
         self.new: list[str] = []
+        self.bytes = 0
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         self.new.append(key)
+        self.bytes += ENTRY_BYTES + len(key)
         return n
 
     def taken(self) -> list[str]:
@@ -208,7 +215,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Lists:
         """(ids of all texts one after another, their offsets); null is empty."""
-        if len(self.parts) > CACHED_PARTS:
+        if self.parts.bytes + self.words.bytes > CACHED_BYTES:
             self.clear()
         found = [np.array(self._places(t or ""), np.int64) for t in texts]
         if self.parts.new:
@@ -232,9 +239,10 @@ def encode_column(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             ids, offsets = encoder.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), binary(ids.astype("<u4").view(np.uint8), offsets * 4)], ["doc_id", "n_tokens", "ids"])
 
@@ -242,29 +250,71 @@ def encode_column(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
+def _decoded(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The UTF-8 text of each list of ids; bytes that aren't UTF-8 become U+FFFD."""
+    ends = np.r_[0, np.cumsum(v.offsets[ids + 1] - v.offsets[ids])][offsets]
+    raw = decode(v, ids).tobytes()
+    texts = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+    return texts if _is_text(raw, ends) else [t.decode("utf-8", "replace").encode() for t in texts]
+
+
+def _is_text(raw: bytes, ends: np.ndarray) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    # No text begins or ends inside a character.
+    inner = ends[(ends > 0) & (ends < len(raw))]
+    return not (np.frombuffer(raw, np.uint8)[inner] & 0xC0 == 0x80).any()
+
+
 def decode_column(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of encode_column() with their ``decoded`` text. Bytes that aren't UTF-8 become U+FFFD."""
+    """The rows of encode_column() with their ``decoded`` text. Bytes that aren't UTF-8 become U+FFFD.
+
+    Null ids decode to an empty text; rows stay where they are, and an empty table gives an empty one.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(load(path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in pieces(batches, "ids"):
+        for batch in pieces(batches, "ids", PIECE):
             data, offsets = flat(batch.column("ids"))
-            ids = data.view("<u4").astype(np.int64)
-            out = decode(v, ids)
-            ends = np.r_[0, np.cumsum(v.offsets[ids + 1] - v.offsets[ids])][offsets // 4]
-            raw = binary(out, ends)
-            try:
-                decoded = raw.cast(pa.string())
-            except pa.ArrowInvalid:
-                decoded = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), decoded], ["doc_id", "n_tokens", "ids", "decoded"])
+            decoded = _decoded(shared.value, data.view("<u4").astype(np.int64), offsets // 4)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array([t.decode() for t in decoded], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """What encode_column() and decode_column() give, in one pass: one worker a task and one copy of the vocabulary.
+
+    doc_id, n_tokens, ids (left out without ``with_ids``), ids_sha256 and decoded_sha256 (lowercase hex
+    of the ids' bytes and of the decoded text's) for each row of ``docs``. Null and empty texts have no
+    ids and the digests of nothing. Repeated rows and ids give equal rows; an empty table gives an empty
+    one. Other columns are not used or returned.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    hexed = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in pieces(batches, "text", PIECE):
+            ids, offsets = encoder.encode(batch.column("text").to_pylist())
+            packed = ids.astype("<u4").tobytes()
+            lists = [packed[4 * a : 4 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(offsets))}
+            if with_ids:
+                columns["ids"] = pa.array(lists, pa.binary())
+            columns |= {"ids_sha256": hexed(lists), "decoded_sha256": hexed(_decoded(shared.value, ids, offsets))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """What the query returns: counts and digests of the ids and of the text decoded from them."""
-    both = decode_column(encode_column(docs, path, doc_id, text), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """What the query returns: counts and digests of the ids and of the text decoded from them; see round_trip()."""
+    return round_trip(docs, path, doc_id, text, with_ids=False)

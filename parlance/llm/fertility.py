@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import flat, gather, pieces
+from .arrow import flat, gather, lean, pieces
 from .common import WORD
 from .shingles import mix
 
@@ -159,6 +159,7 @@ def measure(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measured = Measure(shared.value)
         for batch in pieces(batches, "text", 2 << 20):

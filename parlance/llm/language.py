@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import flat, pieces
+from .arrow import flat, lean, pieces
 from .common import held_out
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -195,6 +195,7 @@ def lessons(docs: DataFrame, per_label: int, most_labels: int, doc_id: str, text
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(per_label / r["n"]))])
     drawn = known.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"lang": [], "lesson": []}
@@ -228,6 +229,7 @@ def identify(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text:
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             texts = batch.column("text").to_pylist()

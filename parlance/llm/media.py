@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .arrow import flat, gather, pieces
+from .arrow import flat, gather, lean, pieces
 
 #: Bytes of a block, which is also the unit of the padding.
 BLOCK = 64
@@ -35,6 +35,7 @@ def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     columns are not used or returned.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             data, offsets = flat(batch.column("text"))
@@ -54,6 +55,7 @@ def decode_media(media: DataFrame) -> DataFrame:
     tensors whatever stands beside them. A null file gives nulls.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "media", 3 << 20):
             files = batch.column("media").to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import pieces
+from .arrow import lean, pieces
 from .common import held_out, written
 
 WORDS = re.compile(r"[^\W_]+")
@@ -287,6 +287,7 @@ def _mapped(sample: DataFrame, per_text: Callable[[set[str], int], Iterable[tupl
     kinds = {"string": pa.string(), "int": pa.int32(), "array<float>": pa.list_(pa.float32())}
     arrow = pa.schema([(c, kinds[t]) for c, t in columns.items()] + [("n", pa.int64())] * counted)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -437,6 +438,7 @@ def lexicon(sample: DataFrame, most: int = 300, candidates: int = 20_000, suppor
 
 
 def _with_features(docs: DataFrame, terms: list[str], weights: np.ndarray, automaton: Automaton, keep: list[str]) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, weights, automaton=automaton)
         for batch in pieces(batches, "text"):
@@ -493,6 +495,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """doc_id and score (0 to 1) of each row's whole text. Null and empty texts get the score of no hits."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in pieces(batches, "text"):
@@ -504,6 +507,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def keep(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below ``limit``. Rows stay where they are."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in pieces(batches, text):
