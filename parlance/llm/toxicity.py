@@ -11,6 +11,7 @@ lower it. A logistic regression over the sums gives the score.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -32,7 +33,9 @@ WORDS = re.compile(r"[^\W_]+")
 WINDOW = 8
 REPORTING = frozenset("said says called calls quote quoted quotes word words wrote writes term terms insult slur sagte sagt wort genannt dit mot écrit appelé dijo dice palabra llamó".split())
 ADDRESS = frozenset("you your youre u ur yourself du dich dir dein ihr euch tu toi te vous ton tú ti usted eres sois".split())
-QUOTES = "\"“”„«»‘’"
+#: What ends a quotation that a mark begins; a straight mark pairs within its line.
+PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", '"': '"'}
+MARKS = re.compile(r"(?<!\w)[‘’]|[‘’](?!\w)|[“”„«»\"\n]")
 STEM = range(4, 9)
 
 
@@ -41,7 +44,7 @@ class Automaton:
     """Words within a small distance of a lexicon's terms.
 
     ``terms`` are words, or stems that end in "*" and match words they begin. A term of fewer than 5
-    characters allows no edit, fewer than 10 one, else two; stems allow none, as any ending fits them.
+    characters allows no edit, fewer than 10 one, else two; stems, which any ending fits, allow one from 7 on.
     Terms of each number of edits have an automaton of their own: joined, their states multiply.
     """
 
@@ -55,7 +58,9 @@ class Automaton:
 
     @staticmethod
     def edits(term: str) -> int:
-        return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 10 else 2
+        if term.endswith("*"):
+            return int(len(term) > 7)
+        return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
     def match(self, words: list[str]) -> np.ndarray:
         """term * 4 + distance + 1 of each word's nearest term, of several the first, or 0; all words are read side by side."""
@@ -112,6 +117,9 @@ class _Part:
                         if e <= allowed[child] and e < items.get(child, 9):
                             items[child] = e
                             todo.append(child)
+            for node, e in list(items.items()):  # a stem has been read: any ending
+                if node >= 0 and ends[node] and ends[node][1] and e <= Automaton.edits(self.terms[ends[node][0]]) and e < items.get(-1 - ends[node][0], 9):
+                    items[-1 - ends[node][0]] = e
             return tuple(sorted(items.items()))
 
         def step(state: tuple, c: str | None) -> tuple:
@@ -122,14 +130,12 @@ class _Part:
                     out[node] = e
 
             for node, e in state:
-                if node < 0:  # a stem has been read: any ending
+                if node < 0:
                     add(node, e, 9)
                     continue
                 add(node, e + 1, allowed[node])  # a character too many
                 for x, child in children[node].items():
                     add(child, e + (x != c), allowed[child])
-                    if x == c and e == 0 and ends[child] and ends[child][1]:
-                        add(-1 - ends[child][0], 0, 9)
             return closed(out)
 
         start = closed({0: 0})
@@ -145,7 +151,7 @@ class _Part:
                     todo.append(after)
                 row.append(number[after])
             rows.append(row)
-            best = min([(0, -1 - n) for n, _ in state if n < 0] + [(e, ends[n][0]) for n, e in state if n >= 0 and ends[n] and not ends[n][1] and e <= Automaton.edits(self.terms[ends[n][0]])], default=None)
+            best = min([(e, -1 - n) for n, e in state if n < 0] + [(e, ends[n][0]) for n, e in state if n >= 0 and ends[n] and not ends[n][1] and e <= Automaton.edits(self.terms[ends[n][0]])], default=None)
             accepts.append(0 if best is None else self.names[best[1]] * 4 + best[0] + 1)
         self.table, self.accepts = np.array(rows, np.int32), np.array(accepts, np.int32)
 
@@ -190,12 +196,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _in_quotes(text: str, start: int, end: int) -> bool:
-    """Does a quotation mark open before and close after, within the line and 120 characters?"""
-    left = text[max(0, start - 120) : start].rpartition("\n")[2]
-    right = text[end : end + 120].partition("\n")[0]
-    opened = sum(c in "“„«‘" for c in left) > sum(c in "”»’" for c in left) or left.count('"') % 2 == 1
-    return opened and any(c in QUOTES for c in right)
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of the quotations of a whole text, in order: each from a mark to the next that ends it.
+
+    A mark that nothing ends begins none; where it comes again before its end the later one counts.
+    Apostrophes inside words are no marks.
+    """
+    found: list[tuple[int, int]] = []
+    mark, begin = "", 0
+    for m in MARKS.finditer(text):
+        c = m.group()
+        if c == "\n":
+            mark = "" if mark == '"' else mark
+        elif mark and c in PAIRS[mark]:
+            found.append((begin, m.start()))
+            mark = ""
+        elif c in PAIRS and (not mark or c == mark):
+            mark, begin = c, m.start()
+    return found
 
 
 class Reader:
@@ -220,14 +238,16 @@ class Reader:
         length = math.log1p(len(words))
         if not len(hits):
             return [0.0] * 6 + [length]
-        spans = {i: m.span() for i, m in enumerate(WORDS.finditer(text)) if found[i]}
+        places = {i: m.start() for i, m in enumerate(WORDS.finditer(text)) if found[i]}
+        quoted_spans = quotations(text)
         whole = stems = fuzzy = quoted = 0.0
         at, value = [], []
         for i in hits.tolist():
             term, distance = divmod(found[i] - 1, 4)
             w = float(self.weights[term])
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            if _in_quotes(text, *spans[i]) or not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i]):
+            before = bisect.bisect(quoted_spans, (places[i],)) - 1
+            if (before >= 0 and places[i] < quoted_spans[before][1]) or not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i]):
                 quoted += w
                 w *= 0.2
             if not ADDRESS.isdisjoint(near):
@@ -358,7 +378,7 @@ def chance(a: int, b: int, bad: int, good: int) -> float:
     return float(np.exp(logs).sum())
 
 
-def lexicon(sample: DataFrame, most: int = 300, candidates: int = 20_000, support: float = 0.002, level: float = 0.01, own: int = 60) -> tuple[list[str], np.ndarray]:
+def lexicon(sample: DataFrame, most: int = 300, support: float = 0.002, level: float = 0.01, own: int = 60) -> tuple[list[str], np.ndarray]:
     """The terms of toxic rows and their weights (log odds).
 
     A term must be in ``support`` of the toxic rows (3 at least), there six times as often as in others,
@@ -366,7 +386,9 @@ def lexicon(sample: DataFrame, most: int = 300, candidates: int = 20_000, suppor
     rule is the same for few rows and many. It is judged over all rows and within each stratum (see
     Strata), so terms of a language with few rows are found too: those need twice the frequency over all
     rows and have the smaller of both weights. Of terms that begin one another the one with the most
-    evidence (rows times log odds) stays, of equal ones the word. The ``most`` strongest over all rows and the ``own`` strongest of each stratum are taken.
+    evidence (rows times log odds) stays, of equal ones the word. The size of the lexicon, and so of the
+    automaton, is a parameter: the ``most`` strongest over all rows and the ``own`` strongest of each
+    stratum are taken. What is collected is bounded by the sample and ``support``.
     """
     groups = strata(sample)
     size: Counter = Counter()
@@ -389,9 +411,7 @@ def lexicon(sample: DataFrame, most: int = 300, candidates: int = 20_000, suppor
     for s, n in least.items():
         enough = enough | (F.col("stratum").eqNullSafe(F.lit(s)) & (F.col("n") >= n))
     often = _mapped(sample.filter("toxic = 1"), terms_of(None), columns, counted=True).groupBy("term", "stratum").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("stratum").orderBy(F.desc("n"), "term")
-    often = often.filter(enough).withColumn("at", F.row_number().over(w)).filter(F.col("at") <= candidates)
-    n_bad = {(r["term"], r["stratum"]): r["n"] for r in often.collect()}
+    n_bad = {(r["term"], r["stratum"]): r["n"] for r in often.filter(enough).collect()}
     wanted = frozenset(t for t, _ in n_bad)
     n_good = {(r["term"], r["stratum"]): r["n"] for r in _mapped(sample.filter("toxic = 0"), terms_of(wanted), columns, counted=True).groupBy("term", "stratum").agg(F.sum("n").alias("n")).collect()}
     missing = wanted.difference(t for t, s in n_bad if s is None)
@@ -452,9 +472,10 @@ def _with_features(docs: DataFrame, terms: list[str], weights: np.ndarray, autom
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Learn from labelled rows whose crc32(doc_id as text) is no multiple of 5.
 
-    At most about ``sample_rows`` rows of each label are looked at, chosen by a hash of their id; this
-    bounds what the driver gets: counts of candidate terms, frequent words of at most 4000 rows of each
-    script, and seven numbers for each row of the sample.
+    At most about ``sample_rows`` rows of each label are looked at, chosen by a hash of their id and text;
+    equal rows of one id count once. This bounds what the driver gets: counts of candidate terms,
+    frequent words of at most 4000 rows of each script, and seven numbers for each row of the sample.
+    The lexicon has at most 300 terms over all rows and 60 of each stratum; see lexicon().
     An id with several labels counts as toxic if one of them says so; null labels and ids are left out.
     Without a toxic or without a clean row every score is the share of toxic rows.
     """
@@ -464,8 +485,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str
     share = F.when(F.col("toxic") == 1, sample_rows / max(1, total.get(1, 0))).otherwise(sample_rows / max(1, total.get(0, 0)))
     drawn = known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 30)) < share * (1 << 30))
     # Two columns of about 2 * sample_rows rows: small enough to broadcast whatever the input.
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "_id").select("text", "toxic")
-    sample = written(sample, "toxicity-sample")
+    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "_id")
+    # An id may have any number of rows: these are drawn from again, so the bound is one of rows.
+    sample = written(sample.dropDuplicates(["_id", "text"]), "toxicity-rows")
+    rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if max(rows.values(), default=0) > 1.5 * sample_rows:
+        share = F.when(F.col("toxic") == 1, sample_rows / max(1, rows.get(1, 0))).otherwise(sample_rows / max(1, rows.get(0, 0)))
+        sample = written(sample.filter(F.pmod(F.xxhash64(F.lit("rows"), "_id", "text"), F.lit(1 << 30)) < share * (1 << 30)), "toxicity-sample")
+    sample = sample.select("text", "toxic")
     terms, weights = lexicon(sample)
     automaton = Automaton(terms)
     rows = _with_features(sample, terms, weights, automaton, ["toxic"]).toPandas() if total else None

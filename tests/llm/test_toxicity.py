@@ -18,7 +18,7 @@ def distance(a, b):
     return row[-1]
 
 
-TERMS = ["idiot", "scum", "worthless", "disgusting", "abend", "achlich*"]
+TERMS = ["idiot", "scum", "worthless", "disgusting", "abend", "achlich*", "dumm*"]
 
 
 def nearest(word):
@@ -26,8 +26,9 @@ def nearest(word):
     found = []
     for n, term in enumerate(TERMS):
         if term.endswith("*"):
-            if word.startswith(term[:-1]):
-                found.append((0, n))
+            # A stem is held against each beginning of the word.
+            if (d := min(distance(word[:i], term[:-1]) for i in range(len(word) + 1))) <= toxicity.Automaton.edits(term):
+                found.append((d, n))
         elif (d := distance(word, term)) <= toxicity.Automaton.edits(term):
             found.append((d, n))
     return min(found)[0] if found else None
@@ -107,3 +108,26 @@ def test_terms_of_a_stratum(spark):
 def test_chance():
     assert toxicity.chance(3, 0, 10, 90) == pytest.approx(0.001) and toxicity.chance(3, 0, 1, 1) == pytest.approx(0.125)
     assert toxicity.chance(0, 5, 1, 9) == pytest.approx(1.0)
+
+
+def test_quotations_of_any_length():
+    long = " ".join(["word"] * 100)
+    inside = lambda text: [text[a + 1 : b] for a, b in toxicity.quotations(text)]
+    assert inside(f'he said "{long} idiot {long}" and left') == [f"{long} idiot {long}"]
+    assert inside(f'"so" then {long} idiot {long} and "end"') == ["so", "end"]
+    assert inside("„ja“ und «oui» und »nein« don’t ‘no don’t’ \"open\n idiot \"x\"") == ["ja", "oui", "nein", "no don’t", "x"]
+    assert inside("“one “two” three") == ["two"] and inside("") == []
+
+
+def test_misspelled_stems():
+    automaton = toxicity.Automaton(["blockhe*", "idiot", "ab*"])
+    found = automaton.match(["blockheads", "blokheads", "blockkheads", "blocheads", "idiott", "abc", "acb", "bloheads"])
+    names = [(["blockhe*", "idiot", "ab*"][(f - 1) // 4], int(f - 1) % 4) if f else None for f in found.tolist()]
+    assert names == [("blockhe*", 0), ("blockhe*", 1), ("blockhe*", 1), ("blockhe*", 1), ("idiot", 1), ("ab*", 0), None, None]
+
+
+def test_rows_are_bounded_where_an_id_repeats(spark):
+    docs = spark.createDataFrame([(1, f"you idiot {i}") for i in range(300)] + [(i, f"fine text number {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), *[(i, 0) for i in range(2, 60)]], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample_rows=20)
+    assert model.scores(model.reader().features(["you idiot 5", "fine text"])).shape == (2,)
