@@ -45,15 +45,20 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes of it: none, or up to three."""
+    """As many copies of each document as the mix takes of it: none, or up to three.
+
+    Null texts have size 0 and go with their place; repeated rows and rows of one id stay or go together;
+    an empty table gives an empty one.
+    """
     return mixing.taken(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of them and of the text decoded from them."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode_column(bpe.encode_column(docs, path), path)
-    return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids of each document, with the digests of them and of the text decoded from them.
+
+    Null and empty texts have no ids; repeated rows give equal rows; an empty table gives an empty one.
+    """
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
