@@ -2,9 +2,9 @@
 
 A lexicon is learned from labelled rows: words, and word beginnings ("stem*"), that toxic texts have and
 others don't, in all or in those of a stratum (a script, and a group of texts with like frequent words).
-The automata of its terms and their trie make one deterministic automaton for each number of edits, built
-once on the driver; they read each different word once and name the nearest term and its distance, so
-misspelled terms are caught.
+The Levenshtein automata of many words, as rows of bits, walk the lexicon's trie together: each node is
+visited once for all words that are still within the edits that a term below it allows, so misspelled
+terms are caught.
 Each hit is weighed by its window: direct address raises it, quotation marks and words of reporting
 lower it. A logistic regression over the sums gives the score.
 """
@@ -37,6 +37,10 @@ ADDRESS = frozenset("you your youre u ur yourself du dich dir dein ihr euch tu t
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", '"': '"'}
 MARKS = re.compile(r"(?<!\w)[‘’]|[‘’](?!\w)|[“”„«»\"\n]")
 STEM = range(4, 9)
+#: Longer terms allow no edit: the automaton of a word is a row of 64 bits. So many words are read together.
+LONGEST, AT_ONCE = 60, 1 << 14
+#: A task sends on its counts when they are of so many different things.
+COUNTED = 100_000
 
 
 @dataclass
@@ -44,135 +48,106 @@ class Automaton:
     """Words within a small distance of a lexicon's terms.
 
     ``terms`` are words, or stems that end in "*" and match words they begin. A term of fewer than 5
-    characters allows no edit, fewer than 10 one, else two; stems, which any ending fits, allow one from 7 on.
-    Terms of each number of edits have an automaton of their own: joined, their states multiply.
+    characters allows no edit, fewer than 10 one, else two; stems, which any ending fits, allow one from 7
+    on, and terms of over LONGEST characters none.
     """
 
     terms: list[str]
-    parts: list[_Part] = field(default_factory=list)
+    children: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    ends: list[list[int]] = field(default_factory=lambda: [[]])  # the terms that end at a node
+    allowed: list[int] = field(default_factory=lambda: [0])  # the most edits of a term below a node
 
     def __post_init__(self):
-        for edits in range(3):
-            if own := [t for t, term in enumerate(self.terms) if self.edits(term) == edits]:
-                self.parts.append(_Part([self.terms[t] for t in own], own))
+        self.long = {term: t for t, term in enumerate(self.terms) if len(term) > LONGEST}
+        for t, term in enumerate(self.terms):
+            if term in self.long:
+                continue
+            node, edits = 0, self.edits(term)
+            self.allowed[0] = max(self.allowed[0], edits)
+            for c in term.removesuffix("*"):
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append([])
+                    self.allowed.append(0)
+                node = self.children[node][c]
+                self.allowed[node] = max(self.allowed[node], edits)
+            self.ends[node].append(t)
 
     @staticmethod
     def edits(term: str) -> int:
         if term.endswith("*"):
             return int(len(term) > 7)
-        return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+        return 0 if len(term) < 5 or len(term) > LONGEST else 1 if len(term) < 10 else 2
 
     def match(self, words: list[str]) -> np.ndarray:
-        """term * 4 + distance + 1 of each word's nearest term, of several the first, or 0; all words are read side by side."""
-        best = np.zeros(len(words), np.int64)
-        for part in self.parts:
-            found = part.match(words).astype(np.int64)
-            # The distance comes before the term.
-            rank = lambda code: (code - 1) % 4 * (1 << 40) + code
-            best = np.where((found > 0) & ((best == 0) | (rank(found) < rank(best))), found, best)
-        return best
-
-
-@dataclass
-class _Part:
-    """The automaton of terms that allow equally many edits; ``names``: their numbers in the lexicon.
-
-    States are sets of (node of the trie, edits so far), joined once by the subset construction.
-    """
-
-    terms: list[str]
-    names: list[int]
-    classes: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.int32))
-    accepts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))  # term * 4 + distance + 1; 0: none
-
-    def __post_init__(self):
-        children: list[dict[str, int]] = [{}]
-        ends: list[tuple[int, bool] | None] = [None]
-        allowed = [0]  # the most edits of a term below the node
-        for t, term in enumerate(self.terms):
-            node, edits = 0, Automaton.edits(term)
-            allowed[0] = max(allowed[0], edits)
-            for c in term.removesuffix("*"):
-                if c not in children[node]:
-                    children[node][c] = len(children)
-                    children.append({})
-                    ends.append(None)
-                    allowed.append(0)
-                node = children[node][c]
-                allowed[node] = max(allowed[node], edits)
-            if ends[node] is None or not term.endswith("*"):
-                ends[node] = (t, term.endswith("*"))
-        letters = sorted({c for term in self.terms for c in term.removesuffix("*")})
-        self.classes = {c: i + 1 for i, c in enumerate(letters)}  # 0: any other character
-
-        def closed(items: dict[int, int]) -> tuple:
-            """With all nodes reached by leaving out characters of a term; the fewest edits of each."""
-            todo = list(items)
-            while todo:
-                node = todo.pop()
-                e = items[node] + 1
-                if node >= 0:
-                    for child in children[node].values():
-                        if e <= allowed[child] and e < items.get(child, 9):
-                            items[child] = e
-                            todo.append(child)
-            for node, e in list(items.items()):  # a stem has been read: any ending
-                if node >= 0 and ends[node] and ends[node][1] and e <= Automaton.edits(self.terms[ends[node][0]]) and e < items.get(-1 - ends[node][0], 9):
-                    items[-1 - ends[node][0]] = e
-            return tuple(sorted(items.items()))
-
-        def step(state: tuple, c: str | None) -> tuple:
-            out: dict[int, int] = {}
-
-            def add(node: int, e: int, most: int) -> None:
-                if e <= most and e < out.get(node, 9):
-                    out[node] = e
-
-            for node, e in state:
-                if node < 0:
-                    add(node, e, 9)
-                    continue
-                add(node, e + 1, allowed[node])  # a character too many
-                for x, child in children[node].items():
-                    add(child, e + (x != c), allowed[child])
-            return closed(out)
-
-        start = closed({0: 0})
-        number, rows, accepts = {start: 1, (): 0}, [[0] * (len(letters) + 1)], [0]
-        todo = [start]
-        while todo:
-            state = todo.pop(0)
-            row = []
-            for c in [None, *letters]:
-                after = step(state, c)
-                if after not in number:
-                    number[after] = len(number)
-                    todo.append(after)
-                row.append(number[after])
-            rows.append(row)
-            best = min([(e, -1 - n) for n, e in state if n < 0] + [(e, ends[n][0]) for n, e in state if n >= 0 and ends[n] and not ends[n][1] and e <= Automaton.edits(self.terms[ends[n][0]])], default=None)
-            accepts.append(0 if best is None else self.names[best[1]] * 4 + best[0] + 1)
-        self.table, self.accepts = np.array(rows, np.int32), np.array(accepts, np.int32)
+        """term * 4 + distance + 1 of each word's nearest term, of several the first, or 0."""
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(words), AT_ONCE):
+            found.append(self._match(words[at : at + AT_ONCE]))
+        out = np.concatenate(found)
+        for i, word in enumerate(words):
+            if word in self.long:
+                out[i] = self.long[word] * 4 + 1
+        return out
 
-    def match(self, words: list[str]) -> np.ndarray:
-        state = np.ones(len(words), np.int32)
-        if not words:
-            return state
+    def _match(self, words: list[str]) -> np.ndarray:
+        """The automaton of a word has a row of bits for each number of edits: bit i says that i characters are read."""
         sizes = np.array([len(w) for w in words])
+        kept = np.minimum(sizes, LONGEST + 2).astype(np.uint64)
+        one, two = np.uint64(1), np.uint64(2)
+        valid = (two << kept) - one
+        places = self._places(words, sizes)
+        none = np.zeros(len(words), np.uint64)
+        distance, term = np.full(len(words), 9), np.zeros(len(words), np.int64)
+
+        def walk(node: int, at: np.ndarray, rows: list[np.ndarray]) -> None:
+            for c, child in self.children[node].items():
+                same, new = places.get(c, none)[at], []
+                for e in range(self.allowed[child] + 1):
+                    row = (rows[e] & same) << one
+                    if e:
+                        row |= rows[e - 1] | rows[e - 1] << one | new[e - 1] << one
+                    new.append(row & valid[at])
+                alive = np.bitwise_or.reduce(new) != 0
+                here = at
+                if not alive.all():
+                    if not alive.any():
+                        continue
+                    here, new = at[alive], [row[alive] for row in new]
+                for t in self.ends[child]:
+                    for e in range(self.edits(self.terms[t]), -1, -1):
+                        if self.terms[t].endswith("*"):
+                            hit = here[new[e] != 0]
+                        else:
+                            hit = here[(new[e] >> kept[here] & one == one) & (sizes[here] <= LONGEST + 2)]
+                        hit = hit[(distance[hit] > e) | ((distance[hit] == e) & (term[hit] > t))]
+                        distance[hit], term[hit] = e, t
+                walk(child, here, new)
+
+        # Before the first character of a term e edits may skip as many of the word's.
+        walk(0, np.arange(len(words)), [np.full(len(words), (1 << e + 1) - 1, np.uint64) & valid for e in range(self.allowed[0] + 1)])
+        return np.where(distance < 9, term * 4 + distance + 1, 0)
+
+    @staticmethod
+    def _places(words: list[str], sizes: np.ndarray) -> dict[str, np.ndarray]:
+        """For each character the bits of the places at which each word has it."""
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        kinds = np.zeros(0x110000, np.uint8 if len(self.classes) < 256 else np.uint16)
-        for c, i in self.classes.items():
-            kinds[ord(c)] = i
-        kinds = kinds[codes]
-        starts = np.cumsum(sizes) - sizes
-        going = np.arange(len(words))
-        for at in range(int(sizes.max())):
-            going = going[(sizes[going] > at) & (state[going] > 0)]
-            if not len(going):
-                break
-            state[going] = self.table[state[going], kinds[starts[going] + at]]
-        return self.accepts[state]
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        short = place < LONGEST + 2
+        codes, word, bit = codes[short], word[short], np.uint64(1) << place[short].astype(np.uint64)
+        order = np.lexsort((word, codes))
+        codes, word, bit = codes[order], word[order], bit[order]
+        out: dict[str, np.ndarray] = {}
+        if len(codes):
+            first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (word[1:] != word[:-1])])
+            sums, codes, word = np.add.reduceat(bit, first), codes[first], word[first]
+            cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(codes)], strict=True):
+                row = out[chr(codes[a])] = np.zeros(len(sizes), np.uint64)
+                row[word[a:b]] = sums[a:b]
+        return out
 
 
 FEATURES = ("whole", "stems", "fuzzy", "window", "rate", "quoted", "length")
@@ -315,6 +290,10 @@ def _mapped(sample: DataFrame, per_text: Callable[[set[str], int], Iterable[tupl
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 found = per_text(set(WORDS.findall((text or "").lower())), toxic)
                 counts.update(found) if counted else rows.extend(found)
+                if len(counts) > COUNTED:
+                    rows, counts = [(*k, n) for k, n in counts.items()], Counter()
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=arrow)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=arrow)
         if counts:
@@ -397,42 +376,32 @@ def lexicon(sample: DataFrame, most: int = 300, support: float = 0.002, level: f
     if not size[None, 1]:
         return [], np.zeros(0)
 
-    def terms_of(only: frozenset[str] | None) -> Callable[[set[str], int], Iterable[tuple]]:
-        def terms(words: set[str], _: int) -> Iterable[tuple]:
-            found = words | {f"{w[:n]}*" for w in words for n in STEM if len(w) > n}
-            own = (None, *groups.of(words))
-            return [(t, s) for t in (found if only is None else found & only) for s in own]
-
-        return terms
-
-    columns = {"term": "string", "stratum": "string"}
-    least = {s: max(3, support * n) for (s, toxic), n in size.items() if toxic == 1}
-    enough = F.lit(False)
-    for s, n in least.items():
-        enough = enough | (F.col("stratum").eqNullSafe(F.lit(s)) & (F.col("n") >= n))
-    often = _mapped(sample.filter("toxic = 1"), terms_of(None), columns, counted=True).groupBy("term", "stratum").agg(F.sum("n").alias("n"))
-    n_bad = {(r["term"], r["stratum"]): r["n"] for r in often.filter(enough).collect()}
-    wanted = frozenset(t for t, _ in n_bad)
-    n_good = {(r["term"], r["stratum"]): r["n"] for r in _mapped(sample.filter("toxic = 0"), terms_of(wanted), columns, counted=True).groupBy("term", "stratum").agg(F.sum("n").alias("n")).collect()}
-    missing = wanted.difference(t for t, s in n_bad if s is None)
-    # Terms that only a stratum names need their number over all rows.
-    if missing:
-        for r in _mapped(sample.filter("toxic = 1"), terms_of(frozenset(missing)), columns, counted=True).filter("stratum IS NULL").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            n_bad[r["term"], "all rows"] = r["n"]
-
-    def odds(term: str, a: int, s: str | None) -> float:
-        return math.log((a + 0.5) / (size[s, 1] + 1)) - math.log((n_good.get((term, s), 0) + 0.5) / (size[s, 0] + 1))
+    def terms(words: set[str], toxic: int) -> Iterable[tuple]:
+        found = words | {f"{w[:n]}*" for w in words for n in STEM if len(w) > n}
+        own = (None, *groups.of(words))
+        return [(t, s, toxic) for t in found for s in own]
+
+    counts = _mapped(sample, terms, {"term": "string", "stratum": "string", "toxic": "int"}, counted=True)
+    total = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    counts = written(counts.groupBy("term", "stratum").agg(total(1).alias("bad"), total(0).alias("good")).filter("bad > 0"), "toxicity-terms")
+    candidate = F.lit(False)
+    for s, n in [(s, n) for (s, toxic), n in size.items() if toxic == 1]:
+        odds_of = F.ln((F.col("bad") + 0.5) / (n + 1)) - F.ln((F.col("good") + 0.5) / (size[s, 0] + 1))
+        candidate = candidate | (F.col("stratum").eqNullSafe(F.lit(s)) & (F.col("bad") >= max(3, support * n)) & (odds_of >= math.log(6)))
+    overall_of = counts.filter("stratum IS NULL").select("term", F.col("bad").alias("all_bad"), F.col("good").alias("all_good"))
+    rows = counts.filter(candidate).join(overall_of, "term").collect()
+
+    def odds(a: int, b: int, s: str | None) -> float:
+        return math.log((a + 0.5) / (size[s, 1] + 1)) - math.log((b + 0.5) / (size[s, 0] + 1))
 
     scored: dict[str | None, list] = {}
-    for (term, s), a in n_bad.items():
-        if s == "all rows":
-            continue
-        weight, b = odds(term, a, s), n_good.get((term, s), 0)
-        if weight < math.log(6) or chance(a, b, size[s, 1], size[s, 0]) > level:
+    for r in rows:
+        term, s, weight = r["term"], r["stratum"], odds(r["bad"], r["good"], r["stratum"])
+        if chance(r["bad"], r["good"], size[s, 1], size[s, 0]) > level:
             continue
-        evidence = a * weight
+        evidence = r["bad"] * weight
         if s is not None:
-            overall = odds(term, n_bad.get((term, None)) or n_bad.get((term, "all rows"), 0), None)
+            overall = odds(r["all_bad"], r["all_good"], None)
             if overall < math.log(2):
                 continue
             weight = min(weight, overall)

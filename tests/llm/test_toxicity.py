@@ -131,3 +131,10 @@ def test_rows_are_bounded_where_an_id_repeats(spark):
     labels = spark.createDataFrame([(1, 1), *[(i, 0) for i in range(2, 60)]], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, sample_rows=20)
     assert model.scores(model.reader().features(["you idiot 5", "fine text"])).shape == (2,)
+
+
+def test_long_words_and_terms():
+    term = "x" * 70
+    automaton = toxicity.Automaton([term, "wordword*", "y" * 60])
+    words = [term, term + "x", "wordword" + "z" * 200, "wordxword" + "z" * 100, "y" * 62, "y" * 63, "y" * 58, "", "é"]
+    assert automaton.match(words).tolist() == [1, 0, 5, 6, 11, 0, 11, 0, 0] and automaton.match([]).tolist() == []
