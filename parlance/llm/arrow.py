@@ -9,30 +9,64 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+#: Records and bytes of an Arrow batch on its way to a worker and back.
+BATCH_RECORDS, BATCH_BYTES = 2000, 4 << 20
 
-def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
-    """``run`` for a worker that lives on between tasks: large arrays go back to the system when they are dropped.
 
-    Arrow and numpy share the C library's allocator here, which maps arrays of a megabyte or more one by
-    one; at the end of a task it hands back what it keeps of the small ones.
-    """
+def _tidy(ended: bool) -> None:
+    """Let arrays of a megabyte or more go back to the system when they are dropped, and with ``ended`` all that is free."""
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt"):
+        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+    if ended and hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a worker that lives on between tasks: it keeps no memory when a task or group has ended."""
 
     @functools.wraps(run)
-    def inner(*args: object) -> Iterator[pa.RecordBatch]:
-        library = ctypes.CDLL(None)
-        if hasattr(library, "mallopt"):
-            library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        pa.set_memory_pool(pa.system_memory_pool())
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tidy(False)
         try:
-            yield from run(*args)
+            yield from run(batches)
         finally:
-            if hasattr(library, "malloc_trim"):
-                library.malloc_trim(0)
+            _tidy(True)
 
     return inner
 
 
+def lean_table(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """lean() for a function of whole groups."""
+
+    @functools.wraps(run)
+    def inner(*args: object) -> pa.Table:
+        _tidy(False)
+        try:
+            return run(*args)
+        finally:
+            _tidy(True)
+
+    return inner
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow() with a lean() worker and small batches, as rows may hold long texts.
+
+    The session's batch size is lowered where it is larger, for what the session runs later too; results
+    don't depend on it.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_RECORDS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_RECORDS)
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(lean(run), schema)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``limit`` bytes in each, or one row."""
     for batch in batches:

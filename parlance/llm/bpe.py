@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import binary, flat, gather, lean, pieces
+from .arrow import binary, flat, gather, mapped, pieces
 
 #: How the vocabulary's library cuts a text before merging (fixed by the vocabulary).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -239,7 +239,6 @@ def encode_column(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in pieces(batches, "text", PIECE):
@@ -247,7 +246,7 @@ def encode_column(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), binary(ids.astype("<u4").view(np.uint8), offsets * 4)], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def _decoded(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -275,7 +274,6 @@ def decode_column(encoded: DataFrame, path: str) -> DataFrame:
     """
     shared = encoded.sparkSession.sparkContext.broadcast(load(path))
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "ids", PIECE):
             data, offsets = flat(batch.column("ids"))
@@ -283,7 +281,7 @@ def decode_column(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array([t.decode() for t in decoded], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    return mapped(encoded.select("doc_id", "n_tokens", "ids"), run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -297,7 +295,6 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     hexed = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in pieces(batches, "text", PIECE):
@@ -312,7 +309,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, schema)
 
 
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

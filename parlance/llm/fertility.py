@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import flat, gather, lean, pieces
+from .arrow import flat, gather, mapped, pieces
 from .common import WORD
 from .shingles import mix
 
@@ -159,7 +159,6 @@ def measure(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measured = Measure(shared.value)
         for batch in pieces(batches, "text", 2 << 20):
@@ -167,7 +166,7 @@ def measure(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v) for v in out.values())], ["doc_id", *out])
 
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    return mapped(named, run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def rules(docs: DataFrame, path: str, bands: Mapping[str, Band] = BANDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

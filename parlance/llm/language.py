@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import flat, lean, pieces
+from .arrow import flat, mapped, pieces
 from .common import held_out
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -195,7 +195,6 @@ def lessons(docs: DataFrame, per_label: int, most_labels: int, doc_id: str, text
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(per_label / r["n"]))])
     drawn = known.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
 
-    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"lang": [], "lesson": []}
@@ -208,7 +207,7 @@ def lessons(docs: DataFrame, per_label: int, most_labels: int, doc_id: str, text
                         out["lesson"].append((piece * (-(-LESSON // len(piece))))[:LESSON])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("lesson", pa.binary())]))
 
-    return drawn.select("text", "lang").mapInArrow(cut, "lang string, lesson binary")
+    return mapped(drawn.select("text", "lang"), cut, "lang string, lesson binary")
 
 
 def fit(docs: DataFrame, per_label: int = 400, most_labels: int = 64, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
@@ -229,7 +228,6 @@ def identify(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text:
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             texts = batch.column("text").to_pylist()
@@ -239,7 +237,7 @@ def identify(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text:
             score = np.where(lettered, np.clip(p.max(1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([net.labels[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return mapped(named, run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

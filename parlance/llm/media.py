@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .arrow import flat, gather, lean, pieces
+from .arrow import flat, gather, mapped, pieces
 
 #: Bytes of a block, which is also the unit of the padding.
 BLOCK = 64
@@ -35,7 +35,6 @@ def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     columns are not used or returned.
     """
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             data, offsets = flat(batch.column("text"))
@@ -43,7 +42,7 @@ def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -55,7 +54,6 @@ def decode_media(media: DataFrame) -> DataFrame:
     tensors whatever stands beside them. A null file gives nulls.
     """
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "media", 3 << 20):
             files = batch.column("media").to_pylist()
@@ -74,7 +72,7 @@ def decode_media(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_bytes", "media")), *(pa.array(v, kinds[c]) for c, v in out.items())], ["doc_id", "n_bytes", "media", *out])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary, payload binary, height int, width int, rgb binary, sums array<long>")
+    return mapped(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, media binary, payload binary, height int, width int, rgb binary, sums array<long>")
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import binary, flat, lean, pieces
+from .arrow import binary, flat, lean, lean_table, mapped, pieces
 from .common import written
 from .components import components
 from .shingles import mix, set_keys, shingle_sets
@@ -56,7 +56,6 @@ def _sends_all(n: np.ndarray, counted: np.ndarray, percent: int) -> np.ndarray:
 def profiles(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, n, counted, key, key2) for each row: size of its set, counted shingles, and both keys of the set."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             values, offsets = shingle_sets(batch.column("text"), k)
@@ -65,7 +64,7 @@ def profiles(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n", "counted", "key", "key2"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, counted long, key long, key2 long")
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, n long, counted long, key long, key2 long")
 
 
 def _packed(hashes: np.ndarray, keys: np.ndarray) -> bytes:
@@ -122,27 +121,25 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int, text: str) ->
     frequent, to the buckets of their sets.
     """
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             values, offsets = shingle_sets(batch.column("text"), k)
             if (out := _dealt(set_keys(values, offsets), values, offsets, COUNTED, percent, buckets)) is not None:
                 yield out
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, POSTINGS)
+    return mapped(docs.select(F.col(text).alias("text")), run, POSTINGS)
 
 
 def set_postings(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     """postings() of all shingles of ``sets`` (key, set)."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "set", 2 << 20):
             data, offsets = flat(batch.column("set"))
             if (out := _dealt(batch.column("key").to_numpy(), data.view(np.uint64), offsets // 8, ALL, percent, buckets)) is not None:
                 yield out
 
-    return sets.select("key", "set").mapInArrow(run, POSTINGS)
+    return mapped(sets.select("key", "set"), run, POSTINGS)
 
 
 def _summed(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +154,7 @@ def _summed(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, keys, np.repeat(np.where(marked, FREQUENT, np.minimum(count, FREQUENT)), count)
 
 
+@lean
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, shingle, sets): the pairs of a bucket whose shingle two sets or more have.
 
@@ -190,6 +188,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(keys[keep], hashes[keep], sets[keep])
 
 
+@lean_table
 def _rarest(percent: int, counted_below: int, keys_only: bool, classes: pa.Table, shared: pa.Table) -> pa.Table:
     """(shingle, key, n): the prefix shingles, under the order by rarity, that other sets have too.
 
@@ -255,7 +254,6 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b, left, right) whose sets are similar, as (a, b)."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "left"):
             (x, xs), (y, ys) = (flat(batch.column(c)) for c in ("left", "right"))
@@ -263,9 +261,10 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
             keep = [similar(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return mapped(pairs.select("a", "b", "left", "right"), run, "a long, b long")
 
 
+@lean_table
 def _between(percent: int, table: pa.Table) -> pa.Table:
     """Links between different components of a block or of two blocks; one link for two components will do."""
     side, key, root = (table.column(c).to_numpy() for c in ("side", "key", "root"))
@@ -320,53 +319,41 @@ def _places(column: str) -> list[Column]:
     return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(1 << SIEVE_BITS)) for i in range(2)]
 
 
-def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) of ``docs`` whose id is one of ``ids`` (doc_id), and a few others.
-
-    A Bloom filter of a fixed size, whatever the input, is sent to all tasks. Where there are far more
-    ids than it was made for it lets all rows pass, and the join that follows does the work.
-    """
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids (doc_id), of a fixed size: with far more ids than it was made for it lets all pass."""
     places = ids.select(F.explode(F.array(*_places("doc_id"))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
     sieve = np.zeros(1 << SIEVE_BITS - 6, np.int64)
     for r in words.collect():
         sieve[r["word"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(sieve.view(np.uint64))
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in pieces(batches, "text"):
-            keep = np.ones(batch.num_rows, bool)
-            for c in ("p0", "p1"):
-                p = batch.column(c).to_numpy()
-                keep &= bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) == 1
-            if keep.any():
-                yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *[p.alias(f"p{i}") for i, p in enumerate(_places("doc_id"))]).mapInArrow(run, f"doc_id {kind}, text string")
+    return sieve.view(np.uint64)
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(key, n, set, p0, p1, ...) of each of ``classes`` (key, hash, hash2, doc_id: a text that has it).
 
-    set: sorted 64-bit shingles, packed; p0 and so on: the prefixes under the further orders.
+    set: sorted 64-bit shingles, packed; p0 and so on: the prefixes under the further orders. Texts are
+    chosen by a sieve of their ids, which is sent to all tasks; what it lets pass beside them has other
+    hashes or is a copy.
     """
-    few = sieved(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), classes)
-    chosen = few.join(classes.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(classes))
     names = [f"p{i}" for i in range(len(ORDERS))]
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", PIECE):
-            values, offsets = shingle_sets(batch.column("text"), k)
-            prefixes = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p)) for p, ends in order_prefixes(values, offsets, percent)]
-            keys = [pa.array(set_keys(values, offsets, half)) for half in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(offsets)), binary(values.view(np.uint8), offsets * 8), *prefixes], ["hash", "hash2", "n", "set", *names])
-
-    # Rows that share an id with a chosen one but not its text have another key, and several rows may share both.
-    found = chosen.mapInArrow(run, "hash long, hash2 long, n long, set binary, " + ", ".join(f"{c} array<int>" for c in names))
+        bits = shared.value
+        for whole in batches:
+            keep = np.ones(whole.num_rows, bool)
+            for c in ("s0", "s1"):
+                p = whole.column(c).to_numpy()
+                keep &= bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) == 1
+            for batch in pieces([whole.select(["text"]).filter(pa.array(keep))], "text", PIECE):
+                values, offsets = shingle_sets(batch.column("text"), k)
+                prefixes = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p)) for p, ends in order_prefixes(values, offsets, percent)]
+                keys = [pa.array(set_keys(values, offsets, half)) for half in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(offsets)), binary(values.view(np.uint8), offsets * 8), *prefixes], ["hash", "hash2", "n", "set", *names])
+
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("text", *[p.alias(f"s{i}") for i, p in enumerate(_places("doc_id"))])
+    found = mapped(chosen, run, "hash long, hash2 long, n long, set binary, " + ", ".join(f"{c} array<int>" for c in names))
     return found.join(classes.select("hash", "hash2", "key"), ["hash", "hash2"]).select("key", "n", "set", *names).dropDuplicates(["key"])
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import lean, pieces
+from .arrow import mapped, pieces
 from .common import held_out, written
 
 WORDS = re.compile(r"[^\W_]+")
@@ -282,7 +282,6 @@ def _mapped(sample: DataFrame, per_text: Callable[[set[str], int], Iterable[tupl
     kinds = {"string": pa.string(), "int": pa.int32(), "array<float>": pa.list_(pa.float32())}
     arrow = pa.schema([(c, kinds[t]) for c, t in columns.items()] + [("n", pa.int64())] * counted)
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -300,7 +299,7 @@ def _mapped(sample: DataFrame, per_text: Callable[[set[str], int], Iterable[tupl
             rows = [(*k, n) for k, n in counts.items()]
             yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=arrow)
 
-    return sample.select("text", "toxic").mapInArrow(run, schema)
+    return mapped(sample.select("text", "toxic"), run, schema)
 
 
 def strata(sample: DataFrame, groups: int = 6, frequent: int = 48, rows: int = 4000) -> Strata:
@@ -427,7 +426,6 @@ def lexicon(sample: DataFrame, most: int = 300, support: float = 0.002, level: f
 
 
 def _with_features(docs: DataFrame, terms: list[str], weights: np.ndarray, automaton: Automaton, keep: list[str]) -> DataFrame:
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, weights, automaton=automaton)
         for batch in pieces(batches, "text"):
@@ -435,7 +433,7 @@ def _with_features(docs: DataFrame, terms: list[str], weights: np.ndarray, autom
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v) for v in values.T)], [*keep, *FEATURES])
 
     schema = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{f} double" for f in FEATURES])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return mapped(docs.select(*keep, "text"), run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
@@ -491,26 +489,24 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """doc_id and score (0 to 1) of each row's whole text. Null and empty texts get the score of no hits."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(reader.features(batch.column("text").to_pylist())))], ["doc_id", "score"])
 
-    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, score double")
+    return mapped(named, run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below ``limit``. Rows stay where they are."""
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in pieces(batches, text):
             scores = model.scores(reader.features(batch.column(batch.schema.get_field_index(text)).to_pylist()))
             yield batch.filter(pa.array(scores < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
