@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -12,7 +13,12 @@ from pyspark.sql import types as T
 # The letters that library search folds, and the words that a question doesn't search for.
 FOLDED = "áàäâéèëêíìïîóòöôúùüûñ"
 PLAIN = "aaaaeeeeiiiioooouuuun"
-STOP_WORDS = ("que", "qué", "como", "cómo", "para", "por", "con", "los", "las", "una", "uno", "del", "sobre", "eso", "esto", "the", "and", "for", "what", "was", "that", "with", "about", "this", "how", "when", "who", "cuando", "cuándo", "quien", "quién", "hay", "fue")
+STOP_WORDS = tuple(
+    """que qué por para con los las del una uno pero como cómo cuando cuándo donde dónde sobre este esta esto eso ese esa
+    esos esas hay han fue ser son the sus más mas muy nos les algo todo toda dijo dice hizo hace puede sido está esta estan están
+    what when where which who whom was were did does have has had the and for with from about this that these those there
+    they them his her its our your are not any all can could would should said say says into over than then""".split()
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,9 +40,20 @@ def ascii_key(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _marked(first: int, last: int) -> tuple[str, str]:
+    """Letters of a block whose decomposition begins with an ASCII letter, and those letters, in lower case."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0].lower()) for c in map(chr, range(first, last)) if c.islower() and unicodedata.normalize("NFD", c)[0] in "abcdefghijklmnopqrstuvwxyz"]
+    return "".join(c for c, _ in pairs if unicodedata.normalize("NFD", c) != c), "".join(p for c, p in pairs if unicodedata.normalize("NFD", c) != c)
+
+
+#: Every Latin letter with diacritics, and the letter without.
+LATIN, BARE = (a + b + c for a, b, c in zip(_marked(0xC0, 0x250), _marked(0x1E00, 0x1F00), ("", ""), strict=True))
+
+
 def tokens(text: Column) -> Column:
-    """Search tokens: runs of letters and numbers, lower case, Latin diacritics of the fold table removed."""
-    return F.filter(F.split(folded(text), " "), lambda t: t != "")
+    """Search tokens: runs of letters and numbers, lower case, all Latin diacritics removed, combining marks too."""
+    plain = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), LATIN, BARE)
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_terms(question: Column, least: int = 3, most: int = 24) -> Column:
@@ -101,34 +118,127 @@ def bare_word(text: Column) -> Column:
 def excerpt(text: Column, terms: Column, before: int = 42, after: int = 72) -> Column:
     """(before, matched, after) around the first of the terms that occurs, with ellipses where cut; null without one.
 
-    Folding keeps the length of a text, so places in the folded one are places in the original.
+    White space is collapsed on both sides; a space beside the match stays. Folding keeps the length of
+    a text, so places in the folded one are places in the original.
     """
     plain = F.translate(F.lower(text), FOLDED, PLAIN)
-    hit = F.get(F.filter(terms, lambda t: F.contains(plain, t)), F.lit(0))
+    hit = F.get(F.filter(terms, lambda t: (t != "") & F.contains(plain, t)), F.lit(0))
     at = F.instr(plain, hit)
     start = F.greatest(at - before, F.lit(1))
-    left = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(text, start, at - start))
     stop = at + F.length(hit)
-    right = F.concat(F.substring(text, stop, F.lit(after)), F.when(F.length(text) >= stop + after, "…").otherwise(""))
+    left, right = F.substring(text, start, at - start), F.substring(text, stop, F.lit(after))
+    spaced = lambda part, edge: F.when(part.rlike(edge) & (collapsed(part) != ""), " ").otherwise("")
+    left = F.concat(F.when(start > 1, "…").otherwise(""), collapsed(left), spaced(left, r"\s$"))
+    right = F.concat(spaced(right, r"^\s"), collapsed(right), F.when(F.length(text) >= stop + after, "…").otherwise(""))
     return F.when(at > 0, F.struct(left.alias("before"), F.substring(text, at, F.length(hit)).alias("matched"), right.alias("after")))
 
 
+def first_match(candidates: Column, terms: Column) -> Column:
+    """(before, matched, after, source) of the first of ``candidates`` (array of text, source) that has a term, else null."""
+    found = F.transform(candidates, lambda c: F.struct(excerpt(c["text"], terms).alias("x"), c["source"].alias("source")))
+    first = F.get(F.filter(found, lambda c: c["x"].isNotNull()), F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["x"]["before"].alias("before"), first["x"]["matched"].alias("matched"), first["x"]["after"].alias("after"), first["source"].alias("source")))
+
+
 def percent_decoded(text: Column) -> Column:
-    """URL decoding with + as space; where an escape is broken the text stays as it is."""
-    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+    """URL decoding with + as space; a broken escape stays as it is, and the others are decoded."""
+    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def query_parameter(url: Column, name: str, default: str | None = None) -> Column:
-    found = F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1)
+    found = F.regexp_extract(url, rf"[?&]{re.escape(name)}=([^&#]*)", 1)
     return F.coalesce(F.when(found != "", percent_decoded(found)), F.lit(default))
 
 
 def interpolated(template: Column, values: Column) -> Column:
-    """{name} replaced by the value of each entry; unknown names stay."""
-    return F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+    """{name} replaced by the value of the entry of that name; unknown names stay, and values aren't looked at again."""
+    pieces = F.regexp_extract_all(template, F.lit(r"\{\w+\}|[^{]+|\{"), F.lit(0))
+    named = lambda p: F.try_element_at(values, F.regexp_extract(p, r"^\{(\w+)\}$", 1))
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.when(p.rlike(r"^\{\w+\}$"), named(p)), p)), "")
 
 
 def usable_name(name: Column) -> Column:
     """A participant's name: collapsed, at most 100 characters, no bare id and no placeholder, else null."""
     n = F.left(collapsed(name), F.lit(100))
     return F.when((n != "") & ~n.rlike(r"^[0-9]+$") & ~n.rlike(r"(?i)^(participant|participante|unknown|desconocido)\b.*$"), n)
+
+
+def match_key(name: Column) -> Column:
+    """A username as it is typed: trimmed, without @, whatever its case."""
+    return F.lower(F.ltrim(F.trim(name), F.lit("@")))
+
+
+def folder_name(text: Column, most: int = 40) -> Column:
+    """Collapsed, at most ``most`` characters; null if nothing is left."""
+    clean = F.trim(F.left(collapsed(text), F.lit(most)))
+    return F.when(clean != "", clean)
+
+
+def readable_source(name: Column) -> Column:
+    """Null for a name that only numbers a channel or server, as in "canal 1234567"."""
+    return F.when(~name.rlike(r"(?i)^\s*(canal|channel|servidor|server)\s+[0-9]{6,}\s*$"), name)
+
+
+def locale_of(tag: Column) -> Column:
+    return F.when(F.startswith(F.lower(tag), F.lit("es")), "es").otherwise("en")
+
+
+def size_label(size: Column) -> Column:
+    """Bytes in the unit that suits: MB below 1000 MB, else GB with one digit."""
+    return F.when(size < 1_000_000_000, F.concat(F.round(size / 1e6).cast("long").cast("string"), F.lit(" MB"))).otherwise(F.concat(F.format_number(F.round(size / 1e9, 1), "0.0"), F.lit(" GB")))
+
+
+def title_of(display: Column, guild: Column, channel: Column) -> Column:
+    """The display title as it stands if it isn't blank, else guild and channel."""
+    return F.when(F.trim(display) != "", display).otherwise(F.concat_ws(" · ", guild, channel))
+
+
+#: What a meeting without names is called, by platform (fixed values).
+PLATFORMS = ("Google Meet", "Microsoft Teams", "Zoom")
+
+
+def fallback_title(names: Column, guild: Column, channel: Column) -> Column:
+    """A title from the participants' names, blanks dropped, in their order."""
+    n = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
+    at = lambda i: F.get(n, F.lit(i))
+    none = F.when(guild.isin(*PLATFORMS), F.concat(F.lit("Reunión de "), guild)).otherwise(F.concat(F.lit("Reunión en #"), channel))
+    three = F.concat(at(0), F.lit(", "), at(1), F.lit(" y "))
+    return F.when(F.size(n) == 0, none).when(F.size(n) == 1, F.concat(F.lit("Sesión de "), at(0))).when(F.size(n) == 2, F.concat(at(0), F.lit(" y "), at(1))).when(F.size(n) == 3, F.concat(three, at(2))).otherwise(F.concat(three, (F.size(n) - 2).cast("string"), F.lit(" más")))
+
+
+def without_overlap(previous: Column, text: Column, most: int = 20) -> Column:
+    """``text`` without the words that it repeats from the end of ``previous``: the longest run of up to ``most``.
+
+    Words are compared as bare words; a run of one counts only if the word has five characters.
+    """
+    cut = lambda t: F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
+    old, new = cut(F.coalesce(previous, F.lit(""))), cut(text)
+    bare = lambda words: F.transform(words, bare_word)
+    longest = F.least(F.size(old), F.size(new), F.lit(most))
+    runs = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
+    same = lambda k: (bare(F.slice(old, F.size(old) - k + 1, k)) == bare(F.slice(new, F.lit(1), k))) & ((k >= 2) | (F.length(bare_word(F.get(new, F.lit(0)))) >= 5))
+    drop = F.coalesce(F.array_max(F.filter(runs, same)), F.lit(0))
+    return F.when(drop > 0, F.array_join(F.slice(new, drop + 1, F.lit(1 << 30)), " ")).otherwise(F.trim(text))
+
+
+def first_json_object(text: Column) -> Column:
+    """The first complete JSON object in a text, by depth of braces outside strings; null if it doesn't end.
+
+    The text is read as strings, braces and what lies between, so the fold is as long as the braces are many.
+    """
+    body = F.substring(text, F.instr(text, F.lit("{")), F.length(text))
+    pieces = F.regexp_extract_all(body, F.lit(r'(?s)"(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("end"))
+
+    def step(at: Column, p: Column) -> Column:
+        depth = at["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        read = at["read"] + F.length(p)
+        return F.struct(depth.alias("depth"), read.alias("read"), F.coalesce(at["end"], F.when((p == "}") & (depth == 0), read)).alias("end"))
+
+    end = F.aggregate(pieces, start, step, lambda at: at["end"])
+    return F.when(F.instr(text, F.lit("{")) > 0, F.when(end.isNotNull(), F.substring(body, F.lit(1), end)))
+
+
+def allowed_origin(origin: Column) -> Column:
+    """An extension's origin: its id has 32 letters from a to p."""
+    return origin.rlike("^chrome-extension://[a-p]{32}$")

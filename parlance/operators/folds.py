@@ -84,3 +84,18 @@ def upserts(rows: DataFrame, key: list[str], arrival: str) -> DataFrame:
     """The last version of each key, with the place of its first: an update doesn't move a row."""
     last = F.max_by(F.struct(*[c for c in rows.columns if c not in key]), arrival)
     return rows.groupBy(*key).agg(F.min(arrival).alias("place"), last.alias("row")).select(*key, "place", "row.*")
+
+
+def dominant_sources(frames: DataFrame, session: str, source: str, at_ms: str, level: str, window_ms: int = 50, least: float = 0.01, times: float = 2.0) -> DataFrame:
+    """Of each session the source that is heard: among those within ``window_ms`` of the newest the only one, or the
+    loudest if it has ``least`` and ``times`` the level of the second. ``frames``: one row a session and source.
+
+    The newest time is a grouped maximum that is joined back, and the two loudest are found by a window limited to two.
+    """
+    newest = frames.groupBy(session).agg(F.max(at_ms).alias("_newest"))
+    current = frames.join(newest, session).filter(F.col("_newest") - F.col(at_ms) <= window_ms).drop("_newest")
+    w = Window.partitionBy(session).orderBy(F.desc(level), source)
+    two = current.withColumn("_nth", F.row_number().over(w)).filter("_nth <= 2")
+    best = two.groupBy(session).agg(F.min_by(F.struct(source, level), "_nth").alias("_best"), F.max(F.when(F.col("_nth") == 2, F.col(level))).alias("_second"))
+    clear = F.col("_second").isNull() | ((F.col(f"_best.{level}") >= least) & (F.col(f"_best.{level}") >= F.col("_second") * times))
+    return best.filter(clear).select(session, f"_best.{source}", f"_best.{level}")

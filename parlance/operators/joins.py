@@ -59,3 +59,14 @@ def synced(store: DataFrame, index: DataFrame, key: str, fingerprint: str) -> Da
     s, i = store.select(key, F.col(fingerprint).alias("_new")), index.select(key, F.col(fingerprint).alias("_old"))
     both = s.join(i, key, "full_outer")
     return both.select(key, F.when(F.col("_new").isNull(), "removed").when(F.col("_new").eqNullSafe(F.col("_old")), "unchanged").otherwise("indexed").alias("status"))
+
+
+def subscribed(meetings: DataFrame, subscriptions: DataFrame, guild: str, channel: str) -> DataFrame:
+    """Meetings with each subscription that takes them: scope "all", or the one guild and channel of another scope.
+
+    Two equi-joins, not one by OR: every meeting meets the "all" list, which is configuration, by a constant.
+    """
+    everything = subscriptions.filter("scope = 'all'").select("name", F.lit(1).alias("_one"))
+    some = subscriptions.filter("scope <> 'all'").select("name", F.col("guild").alias(guild), F.col("channel").alias(channel))
+    by_all = meetings.select("*", F.explode(F.array(F.lit(1))).alias("_one")).join(everything, "_one").drop("_one")
+    return by_all.unionByName(meetings.join(some, [guild, channel]).select(*meetings.columns, "name"))

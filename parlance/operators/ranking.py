@@ -17,9 +17,14 @@ DAMPING = 60
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, len): terms of each text with their counts, made within the row."""
-    bag = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t")).select(key, "len", F.explode("_t").alias("term"))
-    return bag.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf, len): the terms of each text with their counts, made within the row without a shuffle."""
+    bag = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("len"), "_t", F.explode(F.array_distinct("_t")).alias("term"))
+    return bag.select(key, "len", "term", F.size(F.filter("_t", lambda t: t == F.col("term"))).alias("tf"))
+
+
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): each text sends a term once, and sums are taken before they are shuffled."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -40,7 +45,8 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
     wanted = list(dict.fromkeys(terms))
     counts = [F.size(F.filter("_t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    counted = words.select(key, F.size("_t").alias("len"), *counts)
+    # A generator of one row: conditions on the counts stay above it, so each text is cut into words once.
+    counted = words.select(key, F.inline(F.array(F.struct(F.size("_t").alias("len"), *counts))))
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     matched = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(wanted))) or "false")
     score = F.lit(0.0)
@@ -61,7 +67,7 @@ def ranked(rows: DataFrame, score: str, key: str, most: int) -> DataFrame:
 def nearest(vectors: DataFrame, query: Column, key: str, vector: str, most: int) -> DataFrame:
     """(key, score): exhaustive, by dot product; vectors of another width and results that aren't finite drop out."""
     scored = vectors.select(key, vector).withColumn("score", dot(F.col(vector), query))
-    fine = scored.filter((F.size(vector) == F.size(query)) & F.col("score").isNotNull() & ~F.isnan("score"))
+    fine = scored.filter((F.size(vector) == F.size(query)) & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
     return fine.select(key, "score").orderBy(F.desc("score"), key).limit(most)
 
 

@@ -74,11 +74,11 @@ def flt_2_all_terms(spark, d):
     return read(spark, d, "documents").filter(F.contains(haystack, F.lit("the")) & F.contains(haystack, F.lit("and of"))).select("doc_id")
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_orderdate::TIMESTAMP AS o_orderdate FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND o_totalprice > 100000")
+@query("SELECT o_orderkey, o_orderstatus, o_orderdate::TIMESTAMP AS o_orderdate FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND contains(lower(o_orderpriority), 'high')")
 def flt_4_task_filter(spark, d):
     o = read(spark, d, "orders")
     day = F.col("o_orderdate").cast("timestamp_ntz")
-    return o.filter((F.col("o_orderstatus") != "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (day >= F.lit("1997-01-01").cast("timestamp_ntz")) & (day < F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("o_totalprice") > 100000)).select("o_orderkey", "o_orderstatus", day.alias("o_orderdate"))
+    return o.filter((F.col("o_orderstatus") != "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (day >= F.lit("1997-01-01").cast("timestamp_ntz")) & (day < F.lit("1998-01-01").cast("timestamp_ntz")) & F.contains(t.folded(F.col("o_orderpriority")), F.lit("high"))).select("o_orderkey", "o_orderstatus", day.alias("o_orderdate"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE {FOLD.format('text')} <> '' AND {FOLD.format('text')} NOT IN (SELECT {FOLD.format('text')} FROM benchmark)")
@@ -112,12 +112,12 @@ def prj_4_task_text(spark, d):
     return s.select("s_suppkey", F.concat_ws(" · ", *parts).alias("task"))
 
 
-@query("SELECT conv_id, CASE len(n) WHEN 1 THEN n[1] WHEN 2 THEN n[1] || ' y ' || n[2] ELSE n[1] || ', ' || n[2] || ' y ' || (len(n) - 2)::VARCHAR || ' más' END AS title FROM (SELECT conv_id, list_sort(list(DISTINCT role)) AS n FROM conversations GROUP BY conv_id)")
+@query("""SELECT s_suppkey, CASE len(n) WHEN 0 THEN CASE WHEN n_name IN ('Zoom', 'Google Meet', 'Microsoft Teams') THEN 'Reunión de ' || n_name ELSE 'Reunión en #' || s_suppkey END WHEN 1 THEN 'Sesión de ' || n[1] WHEN 2 THEN n[1] || ' y ' || n[2] WHEN 3 THEN n[1] || ', ' || n[2] || ' y ' || n[3] ELSE n[1] || ', ' || n[2] || ' y ' || (len(n) - 2)::VARCHAR || ' más' END AS title
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'Zoom' ELSE n_name END AS n_name, list_slice(['Ana', 'Luis', 'Eva', 'Sol', 'Iván'], 1, s_suppkey % 6) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def prj_7_fallback_title(spark, d):
-    n, at = F.col("n"), lambda i: F.get("n", F.lit(i))
-    names = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("n"))
-    more = F.concat(at(0), F.lit(", "), at(1), F.lit(" y "), (F.size(n) - 2).cast("string"), F.lit(" más"))
-    return names.select("conv_id", F.when(F.size(n) == 1, at(0)).when(F.size(n) == 2, F.concat(at(0), F.lit(" y "), at(1))).otherwise(more).alias("title"))
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    names = F.concat(F.array(F.lit(" ")), F.slice(F.array(*map(F.lit, (" Ana ", "Luis", "Eva", "Sol", "Iván"))), F.lit(1), (F.col("s_suppkey") % 6).cast("int")))
+    return s.select("s_suppkey", t.fallback_title(names, F.when(F.col("s_suppkey") % 4 == 0, "Zoom").otherwise(F.col("n_name")), F.col("s_suppkey").cast("string")).alias("title"))
 
 
 # Joins
@@ -170,11 +170,10 @@ def join_11_roster_full_outer(spark, d):
     return joins.merged_roster(page, protocol, e.filter("event_type = 'error'").select("user_id").distinct(), "user_id", "value")
 
 
-@query("SELECT p_partkey, s.name FROM part JOIN (VALUES ('all', 0, 1000), ('small', 1, 10), ('large', 40, 50)) s(name, low, high) ON p_size BETWEEN low AND high")
+@query("SELECT c_custkey, s.name FROM customer JOIN (VALUES ('everything', 'all', NULL, NULL), ('room', 'channel', 3, 'BUILDING'), ('other', 'channel', 7, 'MACHINERY')) s(name, scope, guild, channel) ON s.scope = 'all' OR (c_nationkey = s.guild AND c_mktsegment = s.channel)")
 def join_16_subscription_match(spark, d):
-    # A subscription list is configuration: a few rows.
-    subscriptions = spark.createDataFrame([("all", 0, 1000), ("small", 1, 10), ("large", 40, 50)], "name string, low int, high int")
-    return read(spark, d, "part").join(F.broadcast(subscriptions), F.col("p_size").between(F.col("low"), F.col("high"))).select("p_partkey", "name")
+    subscriptions = spark.createDataFrame([("everything", "all", None, None), ("room", "channel", 3, "BUILDING"), ("other", "channel", 7, "MACHINERY")], "name string, scope string, guild int, channel string")
+    return joins.subscribed(read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), subscriptions, "c_nationkey", "c_mktsegment").select("c_custkey", "name")
 
 
 @query("SELECT handle, count(DISTINCT c_custkey) AS n, CASE count(DISTINCT c_custkey) WHEN 1 THEN 'one' ELSE 'many' END AS verdict FROM (SELECT c_custkey, lower(c_mktsegment) || (c_custkey % 100) AS handle FROM customer WHERE c_acctbal >= 0) GROUP BY handle")
@@ -251,13 +250,13 @@ def agg_19_speakers(spark, d):
     return first.groupBy("meeting_id").agg(F.array_join(F.transform(ordered, lambda s: s["speaker"]), ", ").alias("speakers"))
 
 
-TOKENS = f"list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '')"
+TOKENS = f"list_filter(regexp_split_to_array(translate(regexp_replace(lower(text), '\\p{{Mn}}', '', 'g'), '{t.LATIN}', '{t.BARE}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 @query(f"WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len FROM w), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM w) GROUP BY term) SELECT term, df, n_docs, avg_len FROM df, s")
 def agg_22_corpus_stats(spark, d):
     docs = read(spark, d, "documents")
-    df = ranking.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    df = ranking.document_frequency(docs)
     return df.crossJoin(F.broadcast(ranking.corpus(docs).withColumn("avg_len", F.round("avg_len", 6))))  # one row
 
 
@@ -356,11 +355,13 @@ def top_11_manual_order(spark, d):
     return read(spark, d, "nation").join(manual, "n_nationkey", "left").select("n_name", F.coalesce("p", F.lit(1000000)).alias("place")).orderBy("place", "n_name")
 
 
-@query("SELECT user_id, arg_max(event_type, (loud, event_type)) AS dominant FROM (SELECT user_id, event_type, sum(value::DECIMAL(18,6))::DOUBLE AS loud FROM events GROUP BY ALL) GROUP BY user_id HAVING count(*) = 1 OR max(loud) >= 2 * list_sort(list(loud), 'DESC')[2]")
+@query("""WITH f AS (SELECT l_suppkey AS session, l_orderkey AS source, epoch_ms(l_shipdate::TIMESTAMP) // 86400000 AS at_ms, l_discount AS level FROM lineitem), g AS (SELECT session, source, max(at_ms) AS at_ms, max(level) AS level FROM f GROUP BY ALL),
+c AS (SELECT * FROM (SELECT *, max(at_ms) OVER (PARTITION BY session) AS newest FROM g) WHERE newest - at_ms <= 50), r AS (SELECT session, source, level, row_number() OVER (PARTITION BY session ORDER BY level DESC, source) AS nth, lead(level) OVER (PARTITION BY session ORDER BY level DESC, source) AS second FROM c)
+SELECT session, source FROM r WHERE nth = 1 AND (second IS NULL OR (level >= 0.01 AND level >= 2 * second))""")
 def top_15_dominant(spark, d):
-    loud = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("loud"))
-    most = loud.groupBy("user_id").agg(F.max_by("event_type", F.struct("loud", "event_type")).alias("dominant"), F.sort_array(F.collect_list("loud"), asc=False).alias("all"))
-    return most.filter((F.size("all") == 1) | (F.get("all", F.lit(0)) >= 2 * F.get("all", F.lit(1)))).select("user_id", "dominant")
+    at = F.floor(F.unix_millis(F.col("l_shipdate").cast("timestamp")) / 86400000)
+    frames = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("session"), F.col("l_orderkey").alias("source")).agg(F.max(at).alias("at_ms"), F.max("l_discount").alias("level"))
+    return folds.dominant_sources(frames, "session", "source", "at_ms", "level").select("session", "source")
 
 
 @query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents QUALIFY pos < 60), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id DESC) - 1 AS pos FROM documents WHERE lang = 'en' QUALIFY pos < 60) SELECT doc_id, round(sum(1.0 / (60 + pos + 1)), 9) AS score FROM (FROM a UNION ALL FROM b) GROUP BY doc_id")
@@ -418,7 +419,9 @@ def top_1_lexical(spark, d):
     return seen.orderBy(F.desc("score"), "doc_id").limit(60).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT doc_id, CASE WHEN p > 43 THEN '…' ELSE '' END || substr(text, greatest(p - 42, 1), p - greatest(p - 42, 1)) AS before, substr(text, p, 4) AS matched, substr(text, p + 4, 72) || CASE WHEN length(text) >= p + 76 THEN '…' ELSE '' END AS after FROM (SELECT doc_id, text, instr(translate(lower(text), 'áàäâéèëêíìïîóòöôúùüûñ', 'aaaaeeeeiiiioooouuuun'), 'tion') AS p FROM documents) WHERE p > 0")
+@query("""SELECT doc_id, CASE WHEN p > 43 THEN '…' ELSE '' END || trim(regexp_replace(l, '\\s+', ' ', 'g')) || CASE WHEN regexp_matches(l, '\\s$') AND trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '' THEN ' ' ELSE '' END AS before, substr(text, p, 4) AS matched,
+CASE WHEN regexp_matches(r, '^\\s') AND trim(regexp_replace(r, '\\s+', ' ', 'g')) <> '' THEN ' ' ELSE '' END || trim(regexp_replace(r, '\\s+', ' ', 'g')) || CASE WHEN length(text) >= p + 76 THEN '…' ELSE '' END AS after
+FROM (SELECT *, substr(text, greatest(p - 42, 1), p - greatest(p - 42, 1)) AS l, substr(text, p + 4, 72) AS r FROM (SELECT doc_id, text, instr(translate(lower(text), 'áàäâéèëêíìïîóòöôúùüûñ', 'aaaaeeeeiiiioooouuuun'), 'tion') AS p FROM documents) WHERE p > 0)""")
 def scl_t3_excerpt(spark, d):
     found = read(spark, d, "documents").select("doc_id", t.excerpt(F.col("text"), F.array(F.lit("tion"))).alias("x"))
     return found.filter("x IS NOT NULL").select("doc_id", "x.before", "x.matched", "x.after")
@@ -568,15 +571,18 @@ def view_10_readiness(spark, d):
 # More sources, filters, joins and views
 
 
-@query("SELECT page_id FROM pages WHERE regexp_full_match(url, 'https?://(www|m)\\.[a-z-]+\\.example\\.(com|org)/.*')")
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
 def flt_14_origin_allow_list(spark, d):
-    return read(spark, d, "pages").filter(F.col("url").rlike(r"^https?://(www|m)\.[a-z-]+\.example\.(com|org)/")).select("page_id")
+    key = F.col("c_custkey")
+    letters = F.translate(F.substring(F.md5(key.cast("string").cast("binary")), 1, 32), "0123456789abcdef", "abcdefghijklmnop")
+    origin = F.when(key % 3 == 0, F.concat(F.lit("chrome-extension://"), letters)).when(key % 3 == 1, F.concat(F.lit("https://"), letters)).otherwise(F.concat(F.lit("chrome-extension://"), letters, F.lit("q")))
+    return read(spark, d, "customer").filter(t.allowed_origin(origin)).select("c_custkey")
 
 
-@query("SELECT p_type, count(*) AS n FROM part WHERE contains(lower(p_type), 'steel') AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1 AND p_partkey % 5 = 0) GROUP BY 1 ORDER BY n DESC, p_type LIMIT 8")
+@query("SELECT p_type, count(*) AS n FROM part WHERE contains(lower(p_type), 'a') AND p_type NOT IN (SELECT p_type FROM part WHERE p_partkey < 3) GROUP BY 1 ORDER BY n DESC, p_type LIMIT 8")
 def flt_19_tag_suggestions(spark, d):
     p = read(spark, d, "part").select("p_type", "p_size", "p_partkey")
-    free = p.filter(F.contains(F.lower("p_type"), F.lit("steel"))).join(p.filter("p_size = 1 AND p_partkey % 5 = 0").select("p_type").distinct(), "p_type", "left_anti")
+    free = p.filter(F.contains(F.lower("p_type"), F.lit("a"))).join(p.filter("p_partkey < 3").select("p_type").distinct(), "p_type", "left_anti")
     return free.groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type").limit(8)
 
 
@@ -585,10 +591,11 @@ def flt_20_person_picker(spark, d):
     return read(spark, d, "customer").filter(F.contains(F.lower("c_name"), F.lit("00001"))).select("c_custkey", "c_name").orderBy("c_custkey").limit(75)
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' AND (props::JSON->>'$.k')::INT < 50 GROUP BY 1")
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' AND value >= 20 GROUP BY 1")
 def flt_21_roster_filter(spark, d):
-    e = read(spark, d, "events").filter("event_type = 'signup'")
-    return e.filter(F.get_json_object("props", "$.k").cast("int") < 50).groupBy("user_id").agg(F.count("*").alias("n"))
+    # A device: status 1 for signups; loud ones have no parent device.
+    e = read(spark, d, "events").select("user_id", F.when(F.col("event_type") == "signup", 1).otherwise(2).alias("status"), F.when(F.col("value") < 20, "parent").alias("parent"))
+    return e.filter((F.col("status") == 1) & (F.coalesce("parent", F.lit("")) == "")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0")
