@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,3 +242,29 @@ def first_json_object(text: Column) -> Column:
 def allowed_origin(origin: Column) -> Column:
     """An extension's origin: its id has 32 letters from a to p."""
     return origin.rlike("^chrome-extension://[a-p]{32}$")
+
+
+def searched(rows: DataFrame, haystack: str, question: str) -> DataFrame:
+    """Rows whose folded ``haystack`` has every folded term of the question; all rows if it has no term."""
+    has = F.forall(F.filter(F.split(folded(F.lit(question)), " "), lambda w: w != ""), lambda w: F.contains(F.col(haystack), w))
+    return rows.filter(has)
+
+
+def of_person(rows: DataFrame, owner: str, people: list[str] | None) -> DataFrame:
+    """Rows of the chosen people; "unassigned" stands for no owner, and None for all rows."""
+    if people is None:
+        return rows
+    return rows.filter(F.coalesce(F.when(F.trim(owner) != "", F.col(owner)), F.lit("unassigned")).isin(*people))
+
+
+def platform_label(slug: Column) -> Column:
+    return F.when(slug == "meet", PLATFORMS[0]).when(slug == "teams", PLATFORMS[1]).when(slug == "zoom", PLATFORMS[2]).otherwise("Reunión web")
+
+
+#: How much more a passage of a kind counts than one of a transcript (fixed values).
+KIND_WEIGHTS = {"decision": 1.15, "task": 1.15, "overview": 1.05, "key_point": 1.05, "note": 1.05, "question": 1.05}
+
+
+def kind_weight(kind: Column) -> Column:
+    """The weight of a kind; unknown kinds count as a transcript."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, w in KIND_WEIGHTS.items() for x in (k, w)]), kind), F.lit(1.0))

@@ -15,9 +15,15 @@ def spanish_date(ts: Column) -> Column:
     return F.concat_ws(" ", F.day(ts).cast("string"), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(ts)), F.year(ts).cast("string"))
 
 
-def date_renderings(ts: Column) -> Column:
-    """The seven ways in which a day can be searched."""
-    return F.concat_ws(" ", *[F.date_format(ts, p) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "HH:mm")], spanish_date(ts))
+def day_renderings(ts: Column, zone: str) -> Column:
+    """The day as it can be searched, three ways in UTC (the session's zone) and three in a local zone."""
+    both = (ts, F.from_utc_timestamp(ts, zone))
+    return F.concat_ws(" ", *[x for at in both for x in (F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "dd/MM/yyyy"), spanish_date(at))])
+
+
+def date_renderings(ts: Column, zone: str) -> Column:
+    """All seven renderings of a time: with its offset, and its day in both zones."""
+    return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx"), day_renderings(ts, zone))
 
 
 def day_bucket(ts: Column, today: dt.date) -> Column:
@@ -110,3 +116,16 @@ def first_field(variant: Column, names: list[str]) -> Column:
 
 def blank_to_null(text: Column) -> Column:
     return F.when(~F.lower(F.trim(text)).isin("", "null"), text)
+
+
+#: Ids of people in a browser have this in their upper 16 bits (a fixed value).
+BROWSER_TAG = 0x5745
+
+
+def is_browser_identifier(user_id: Column) -> Column:
+    return F.shiftrightunsigned(user_id, 48) == BROWSER_TAG
+
+
+def version_key(version: Column) -> Column:
+    """Numbers of a version, so that arrays of them sort as versions do; what is no number counts 0."""
+    return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.try_to_number(p, F.lit("999999999")).cast("long"), F.lit(0)))

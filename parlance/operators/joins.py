@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import ascii_key
+from parlance.functions.text import ascii_key, folded
 
 
 def for_audience(rows: DataFrame, visible: DataFrame, key: str) -> DataFrame:
@@ -70,3 +70,29 @@ def subscribed(meetings: DataFrame, subscriptions: DataFrame, guild: str, channe
     some = subscriptions.filter("scope <> 'all'").select("name", F.col("guild").alias(guild), F.col("channel").alias(channel))
     by_all = meetings.select("*", F.explode(F.array(F.lit(1))).alias("_one")).join(everything, "_one").drop("_one")
     return by_all.unionByName(meetings.join(some, [guild, channel]).select(*meetings.columns, "name"))
+
+
+def visible_meetings(meetings: DataFrame, attendance: DataFrame, guild: object | None = None, speaker: object | None = None) -> DataFrame:
+    """All meetings, or for a guild and speaker those that are attributable, of that guild, and attended, silently or not."""
+    if guild is None:
+        return meetings
+    mine = attendance.filter(F.col("speaker_id") == speaker).select("id")
+    return meetings.filter(F.col("attributable") & (F.col("guild_id") == guild)).join(mine, "id", "left_semi")
+
+
+def canonical_name(tasks: DataFrame, speakers: DataFrame, assignee: str) -> DataFrame:
+    """Tasks with the assignee as the first speaker's display name whose display name or username folds to the same; others stay."""
+    names = speakers.select(F.explode(F.array(folded(F.col("display_name")), folded(F.col("username")))).alias("_name"), F.struct("speaker_no", "display_name").alias("_speaker")).filter("_name <> ''")
+    best = names.groupBy("_name").agg(F.min("_speaker").alias("_speaker"))
+    joined = tasks.join(best, folded(F.col(assignee)) == F.col("_name"), "left")
+    return joined.withColumn(assignee, F.coalesce("_speaker.display_name", assignee)).select(*tasks.columns)
+
+
+def resolved(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """Rows whose source is known, with what is known of it; others drop out. ``rows`` may be a stream."""
+    return rows.join(owners, key)
+
+
+def first_spelling(names: DataFrame, name: str, place: str) -> DataFrame:
+    """(key, name): each name once whatever its case, blanks left out, in the spelling that comes first."""
+    return names.filter(F.trim(name) != "").groupBy(F.lower(name).alias("key")).agg(F.min_by(name, F.struct(place, name)).alias(name))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.plans import library  # noqa: F401  (adds its queries)
 from parlance.plans import queries as plans
 
 FLAGSHIP = "top_1_lexical"
