@@ -89,11 +89,13 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def clamped_title(text: Column, most: int = 60, least: int = 30) -> Column:
-    """At most ``most`` characters, cut at a word if that leaves ``least``."""
-    cut = F.left(collapsed(text), F.lit(most))
-    at_word = F.regexp_extract(cut, r"^(.*)\s\S*$", 1)
-    return F.when(F.length(collapsed(text)) <= most, collapsed(text)).when(F.length(at_word) >= least, at_word).otherwise(cut)
+def clamped_title(text: Column, most: int = 60) -> Column:
+    """At most ``most`` characters, the last an ellipsis where it is cut: at white space if half of them stay."""
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
+    cut = F.left(whole, F.lit(most - 1))
+    at_word = F.regexp_extract(cut, r"(?s)^(.*)\s\S*$", 1)
+    kept = F.when(F.length(at_word) >= most // 2, at_word).otherwise(cut)
+    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.regexp_replace(kept, "[ :-]+$", ""), F.lit("…")))
 
 
 def truncated(text: Column, most: int, whole: bool = True) -> Column:
@@ -157,10 +159,13 @@ def interpolated(template: Column, values: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.when(p.rlike(r"^\{\w+\}$"), named(p)), p)), "")
 
 
-def usable_name(name: Column) -> Column:
-    """A participant's name: collapsed, at most 100 characters, no bare id and no placeholder, else null."""
-    n = F.left(collapsed(name), F.lit(100))
-    return F.when((n != "") & ~n.rlike(r"^[0-9]+$") & ~n.rlike(r"(?i)^(participant|participante|unknown|desconocido)\b.*$"), n)
+def usable_name(name: Column, device: Column | None = None) -> Column:
+    """A participant's name, collapsed; null for over 100 characters, the device's own id, a device path or a placeholder."""
+    n = collapsed(name)
+    own = F.lower(F.trim(device)).eqNullSafe(F.lower(n)) if device is not None else F.lit(False)
+    path = n.rlike(r"(?i)^(?:spaces/[^/]+/)?devices(?:/[^/]+)?$")
+    placeholder = n.rlike(r"(?i)^(?:device|devices|participant|participants|participante|participantes|participante sin identificar|unknown participant)$")
+    return F.when((n != "") & (F.length(n) <= 100) & ~own & ~path & ~placeholder, n)
 
 
 def match_key(name: Column) -> Column:
@@ -184,8 +189,63 @@ def locale_of(tag: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes in the unit that suits: MB below 1000 MB, else GB with one digit."""
-    return F.when(size < 1_000_000_000, F.concat(F.round(size / 1e6).cast("long").cast("string"), F.lit(" MB"))).otherwise(F.concat(F.format_number(F.round(size / 1e9, 1), "0.0"), F.lit(" GB")))
+    """Bytes in MB, from 1e9 on in GB with one digit."""
+    whole = F.concat(F.floor(size / 1e6 + 0.5).cast("string"), F.lit(" MB"))
+    return F.when(size >= 1_000_000_000, F.concat(F.format_string("%.1f", size / 1e9), F.lit(" GB"))).otherwise(whole)
+
+
+def length_label(minutes: Column) -> Column:
+    """Minutes as "5 min", "2 h" or "2 h 5 min"; empty below one."""
+    h, rest = F.floor(minutes / 60), minutes % 60
+    return F.when(minutes < 1, "").when(minutes < 60, F.concat(minutes, F.lit(" min"))).when(rest == 0, F.concat(h, F.lit(" h"))).otherwise(F.concat(h, F.lit(" h "), rest, F.lit(" min")))
+
+
+def file_name(title: Column, started: Column, extension: str) -> Column:
+    """When it began and the title's letters and numbers, parted by hyphens; "reunion" for a title without any."""
+    slug = F.lower(F.regexp_replace(F.regexp_replace(title, r"[^\p{L}\p{N}]+", "-"), "^-|-$", ""))
+    return F.concat(F.date_format(started, "yyyyMMdd-HHmm"), F.lit("-"), F.when(slug == "", "reunion").otherwise(slug), F.lit(f".{extension}"))
+
+
+def meeting_of(url: Column, title: Column) -> Column:
+    """(platform, id) of a meeting's URL, by host, path or parameter; the title stands in for a missing id."""
+    host, path = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    filled = lambda c: F.when(c != "", c)
+    meet = F.struct(F.lit("google_meet").alias("platform"), F.coalesce(F.get(segments, F.lit(0)), title).alias("id"))
+    zoom = F.struct(F.lit("zoom").alias("platform"), F.coalesce(filled(F.regexp_extract(path, "/(?:wc|j|w)/([^/?#]+)", 1)), title).alias("id"))
+    teams = F.struct(F.lit("microsoft_teams").alias("platform"), F.coalesce(filled(query_parameter(url, "meetingId")), F.try_element_at(segments, F.lit(-1)), title).alias("id"))
+    return F.when(host == "meet.google.com", meet).when((host == "zoom.us") | host.endswith(".zoom.us"), zoom).otherwise(teams)
+
+
+#: The sentence that carries a vocabulary, by language (fixed values).
+CARRIERS = {"es": "En esta reunión hablamos de {0}.", "en": "In this meeting we talk about {0}."}
+
+
+def vocabulary_prompt(terms: Column, language: str, chars: int = 80, most: int = 64, total: int = 1024) -> Column:
+    """A sentence with the terms, cleaned, each once whatever its case, until one of the limits is reached; null without any."""
+    clean = F.filter(F.transform(terms, lambda x: F.left(collapsed(F.translate(x, "\0", " ")), F.lit(chars))), lambda x: x != "")
+    cost = lambda out: F.aggregate(out, F.lit(0), lambda n, x: n + F.length(x) + 2)
+
+    def add(out: Column, x: Column) -> Column:
+        full = (F.size(out) >= most) | (cost(out) >= total)
+        return F.when(full | F.exists(out, lambda o: F.lower(o) == F.lower(x)), out).otherwise(F.array_append(out, x))
+
+    kept = F.array_join(F.aggregate(clean, F.array().cast("array<string>"), add), ", ")
+    before, after = CARRIERS.get(language, "{0}.").split("{0}")
+    return F.when(kept != "", F.concat(F.lit(before), kept, F.lit(after)))
+
+
+def markdown_document(title: Column, started: Column, duration_ms: Column, people: Column, overview: Column, decisions: Column, utterances: Column) -> Column:
+    """A meeting as Markdown. ``utterances``: array of (start_ms, speaker, text) in order; a null overview means no summary."""
+    bullets = F.when(F.size(decisions) > 0, F.concat(F.lit("## Decisiones\n\n"), F.array_join(F.transform(decisions, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), F.lit("\n"))).otherwise("")
+    summary = F.when(F.trim(overview) != "", F.concat(F.lit("## Resumen\n\n"), F.trim(overview), F.lit("\n\n"))).otherwise("")
+    said = F.array_join(F.transform(utterances, lambda u: F.concat(F.lit("**["), timestamp(u["start_ms"]), F.lit("] "), u["speaker"], F.lit(":** "), F.trim(u["text"]), F.lit("\n\n"))), "")
+    return F.concat(
+        F.lit("# "), title, F.lit("\n\n**Fecha:** "), F.date_format(started, "yyyy-MM-dd HH:mm"), F.lit(" UTC  \n**Duración:** "), timestamp(duration_ms), F.lit("  \n"),
+        F.when(F.size(people) > 0, F.concat(F.lit("**Participantes:** "), F.array_join(people, ", "), F.lit("\n"))).otherwise(""), F.lit("\n"),
+        F.when(overview.isNull(), "> Todavía no hay resumen para esta reunión.\n\n").otherwise(F.concat(summary, bullets)),
+        F.lit("---\n\n## Transcripción\n\n"), F.when(F.size(utterances) > 0, said).otherwise("_No se transcribió nada._\n"),
+    )
 
 
 def title_of(display: Column, guild: Column, channel: Column) -> Column:
@@ -268,3 +328,30 @@ KIND_WEIGHTS = {"decision": 1.15, "task": 1.15, "overview": 1.05, "key_point": 1
 def kind_weight(kind: Column) -> Column:
     """The weight of a kind; unknown kinds count as a transcript."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, w in KIND_WEIGHTS.items() for x in (k, w)]), kind), F.lit(1.0))
+
+
+def summary_of(raw: Column) -> Column:
+    """The summary in a model's answer: (title, overview, key_points, decisions, open_questions, action_items, notes).
+
+    Names of fields have aliases; blank entries are dropped, blank values null, times parsed. Null where
+    there is no JSON object or nothing usable in it.
+    """
+    body = first_json_object(raw)
+    task = "struct<text:string,task:string,description:string,assignee:string,owner:string,due:string,deadline:string,timestamp:string,time:string>"
+    note = "struct<text:string,note:string,content:string,author:string,owner:string,speaker:string,timestamp:string,time:string>"
+    lists = "keyPoints array<string>, key_points array<string>, decisions array<string>, openQuestions array<string>, open_questions array<string>"
+    j = F.from_json(body, f"title string, meeting_title string, meetingTitle string, overview string, {lists}, actionItems array<{task}>, action_items array<{task}>, tasks array<{task}>, notes array<{note}>, meeting_notes array<{note}>, meetingNotes array<{note}>")
+    filled = lambda *cs: F.coalesce(*[F.when(~F.lower(F.trim(c)).isin("", "null"), F.trim(c)) for c in cs])
+    texts = lambda *cs: F.filter(F.transform(F.coalesce(*cs, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    entries = lambda kind, *cs: F.coalesce(*cs, F.array().cast(f"array<{kind}>"))
+    tasks = F.transform(entries(task, j["actionItems"], j["action_items"], j["tasks"]), lambda x: F.struct(filled(x["text"], x["task"], x["description"]).alias("text"), filled(x["assignee"], x["owner"]).alias("assignee"), filled(x["due"], x["deadline"]).alias("due"), parse_timestamp(F.coalesce(x["timestamp"], x["time"])).alias("source_ms")))
+    notes = F.transform(entries(note, j["notes"], j["meeting_notes"], j["meetingNotes"]), lambda x: F.struct(filled(x["text"], x["note"], x["content"]).alias("text"), filled(x["author"], x["owner"], x["speaker"]).alias("author"), parse_timestamp(F.coalesce(x["timestamp"], x["time"])).alias("source_ms")))
+    kept = lambda items: F.filter(items, lambda x: x["text"].isNotNull())
+    parts = [texts(j["keyPoints"], j["key_points"]), texts(j["decisions"]), texts(j["openQuestions"], j["open_questions"]), kept(tasks), kept(notes)]
+    overview = F.coalesce(F.trim(j["overview"]), F.lit(""))
+    usable = overview != ""
+    for p in parts:
+        usable = usable | (F.size(p) > 0)
+    names = ("key_points", "decisions", "open_questions", "action_items", "notes")
+    title = clamped_title(F.coalesce(j["title"], j["meeting_title"], j["meetingTitle"], F.lit("")))
+    return F.when(body.isNotNull() & usable, F.struct(title.alias("title"), overview.alias("overview"), *[p.alias(n) for p, n in zip(parts, names, strict=True)]))

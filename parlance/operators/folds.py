@@ -99,3 +99,19 @@ def dominant_sources(frames: DataFrame, session: str, source: str, at_ms: str, l
     best = two.groupBy(session).agg(F.min_by(F.struct(source, level), "_nth").alias("_best"), F.max(F.when(F.col("_nth") == 2, F.col(level))).alias("_second"))
     clear = F.col("_second").isNull() | ((F.col(f"_best.{level}") >= least) & (F.col(f"_best.{level}") >= F.col("_second") * times))
     return best.filter(clear).select(session, f"_best.{source}", f"_best.{level}")
+
+
+def context_tail(rows: DataFrame, by: str, order: list[str], most: int = 1200, reset_ms: int = 30_000) -> DataFrame:
+    """``rows`` (start_ms, end_ms, text) with context: the last ``most`` characters said before, from a word on.
+
+    A pause of more than ``reset_ms`` forgets what was said. Texts of a run of rows without such a pause
+    are gathered as far back as ``most`` rows, each of which brings a character at least, so a row's
+    frame is bounded however long the run.
+    """
+    w = Window.partitionBy(by).orderBy(*order)
+    run = F.sum((F.col("start_ms") - F.lag("end_ms").over(w) > reset_ms).cast("int")).over(w)
+    said = rows.withColumn("_run", F.coalesce(run, F.lit(0))).withColumn("_said", F.when(F.trim("text") != "", F.right(F.trim("text"), F.lit(most + 1))))
+    before = Window.partitionBy(by, "_run").orderBy(*order).rowsBetween(-most, -1)
+    whole = F.array_join(F.collect_list("_said").over(before), " ")
+    tail = F.when(F.length(whole) > most, F.regexp_replace(F.right(whole, F.lit(most)), r"^\S*\s", "")).otherwise(whole)
+    return said.withColumn("context", tail).drop("_run", "_said")

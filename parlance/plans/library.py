@@ -356,9 +356,9 @@ def snk_3_json(spark, d):
     return read(spark, d, "documents").filter("lang IS NOT NULL").select(F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("json"))
 
 
-@query(f"WITH {MEETINGS} SELECT id, strftime(started_at, '%Y-%m-%d') || '-' || trim(regexp_replace(lower(channel || ' ' || name), '[^a-z0-9]+', '-', 'g'), '-') || '.md' AS file FROM m")
+@query(f"WITH {MEETINGS} SELECT id, strftime(started_at, '%Y%m%d-%H%M') || '-' || trim(regexp_replace(lower(guild || ' · ' || name), '[^a-z0-9]+', '-', 'g'), '-') || '.md' AS file FROM m")
 def snk_4_file_name(spark, d):
-    return meetings(spark, d).select("id", F.concat(F.date_format("started_at", "yyyy-MM-dd"), F.lit("-"), t.slug(F.concat_ws(" ", "channel", "name")), F.lit(".md")).alias("file"))
+    return meetings(spark, d).select("id", t.file_name(F.concat_ws(" · ", "guild", "name"), F.col("started_at"), "md").alias("file"))
 
 
 @query(f"WITH {UTTERANCES} SELECT meeting_id, count(*) AS utterances, count(DISTINCT speaker) AS participants, greatest(max(end_ms) - 5000, 0) AS duration_ms FROM u GROUP BY 1")

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,3 +69,43 @@ def event_of(text: Column) -> Column:
     """kind, ts, speaker and text of a JSON event; null without kind or ts."""
     e = F.from_json(text, "kind string, ts double, speaker string, text string", {"mode": "PERMISSIVE"})
     return F.when(e["kind"].isNotNull() & e["ts"].isNotNull(), e)
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_frame(track: pd.Series, ts_ms: pd.Series, name: pd.Series, samples: pd.Series) -> pd.Series:
+    """Packets of frames; a null name makes an unnamed one."""
+    rows = zip(track.tolist(), ts_ms.tolist(), name.tolist(), samples.tolist(), strict=True)
+    return pd.Series([bytes_of(int(k), float(at), None if pd.isna(n) else n, x) for k, at, n, x in rows])
+
+
+@F.pandas_udf(T.BinaryType())
+def deflated(data: pd.Series) -> pd.Series:
+    """Raw DEFLATE, as inflated() reads it."""
+
+    def one(x: bytes | None) -> bytes | None:
+        if x is None:
+            return None
+        packer = zlib.compressobj(wbits=-15)
+        return packer.compress(bytes(x)) + packer.flush()
+
+    return data.map(one)
+
+
+def delta_text(body: Column) -> Column:
+    """(text, refused) of an event stream: the text of all deltas in order, and whether the answer was a refusal."""
+    data = F.filter(F.split(body, r"\r?\n"), lambda line: F.startswith(line, F.lit("data:")))
+    events = F.transform(data, lambda line: F.from_json(F.trim(F.substring(line, F.lit(6), F.length(line))), "type string, delta struct<type:string,text:string,stop_reason:string>"))
+    text = F.array_join(F.transform(events, lambda e: e["delta"]["text"]), "")
+    return F.struct(text.alias("text"), F.exists(events, lambda e: F.coalesce(e["delta"]["stop_reason"] == "refusal", F.lit(False))).alias("refused"))
+
+
+def catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored catalog; an empty one where there is none or it can't be read."""
+    try:
+        found = spark.read.schema(schema).parquet(path)
+        found.limit(1).count()
+    except Exception as error:  # Spark reports a missing path and a broken file by many classes
+        if not any(x in str(error) for x in ("PATH_NOT_FOUND", "CANNOT_READ", "FAILED_READ_FILE")):
+            raise
+        return spark.createDataFrame([], schema)
+    return found
