@@ -689,9 +689,14 @@ def str_31_live_state(spark, d):
     return read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("since"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS at_ms, round(value * 1000)::BIGINT AS ms, value AS energy, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, round(value * 1000), value) AS n FROM events WHERE round(value * 1000) > 0),
+r AS (SELECT key, n, 0::BIGINT AS segment, at_ms AS start, at_ms + ms AS voice, ms AS held, energy * ms AS loud FROM f WHERE n = 1
+UNION ALL SELECT key, n, segment + done, CASE done WHEN 1 THEN at_ms ELSE start END, CASE done WHEN 1 THEN at_ms + ms ELSE greatest(at_ms + ms, voice) END, CASE done WHEN 1 THEN ms ELSE held + least(greatest(at_ms - voice, 0), 1000) + ms END, CASE done WHEN 1 THEN 0 ELSE loud END + energy * ms
+FROM (SELECT f.*, r.segment, r.start, r.voice, r.held, r.loud, CASE WHEN f.at_ms - r.voice >= CASE WHEN r.held >= 60000 THEN 3600000 ELSE 21600000 END THEN 1 ELSE 0 END AS done FROM r JOIN f ON f.key = r.key AND f.n = r.n + 1))
+SELECT key, segment, max(start)::BIGINT AS start_ms, max(voice)::BIGINT AS end_ms FROM r GROUP BY key, segment HAVING max(held) >= 700 AND max(loud) / max(held) >= 0.0015""")
 def str_2_segments(spark, d):
-    return sessions.batch_segments(sessions.frames_of(read(spark, d, "events")), sessions.Pauses(short=3_600_000, enough=60_000, long=21_600_000, most=86_400_000))
+    pauses = sessions.Pauses(short=3_600_000, enough=60_000, long=21_600_000, most=864_000_000)
+    return sessions.batch_segments(sessions.frames_of(read(spark, d, "events")), pauses).select("key", "segment", "start_ms", "end_ms")
 
 
 @query("SELECT owner, count(*) AS n FROM (SELECT o_orderpriority AS owner FROM orders ORDER BY o_orderstatus = 'F', o_orderdate DESC, o_orderkey LIMIT 250) GROUP BY 1")

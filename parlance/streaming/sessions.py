@@ -68,7 +68,8 @@ class Segmenter:
         return self.start is not None and now - self.voice >= (self.pauses.short if self.held >= self.pauses.enough else self.pauses.long)
 
     def add(self, at: int, ms: int, energy: float) -> Iterator[tuple]:
-        if ms <= 0:
+        """Frames that begin before the open segment, which a cut may have moved on, are late and dropped."""
+        if ms <= 0 or (self.start is not None and at < self.start):
             return
         if self.is_done(at):
             yield from self.close()
@@ -151,12 +152,11 @@ def batch_segments(frames: DataFrame, pauses: Pauses = Pauses(), previews: bool
 def stream_segments(frames: DataFrame, pauses: Pauses = Pauses(), idle_ms: int = 50_000) -> DataFrame:
     """The same over a stream, previews too; frames of a micro-batch are put in order, and ``idle_ms`` without any ends a key.
 
-    A leave event (length 0, null energy) ends a key at once. Frames that begin before what the key has
-    already told are late and dropped.
+    A leave event (length 0, null energy) ends a key at once.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = Segmenter(pauses, tuple(x if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else None if pd.isna(x) else x for x in state.get) if state.exists else None)
+        fold = Segmenter(pauses, tuple(x if hasattr(x, "__len__") else None if pd.isna(x) else x for x in state.get) if state.exists else None)
         if state.hasTimedOut:
             out = list(fold.close())
             state.remove()
@@ -166,7 +166,7 @@ def stream_segments(frames: DataFrame, pauses: Pauses = Pauses(), idle_ms: int =
             for at, ms, energy in rows:
                 if energy < 0:
                     out += fold.close()
-                elif fold.end is None or at >= fold.end - ms:
+                else:
                     out += fold.add(at, ms, energy)
             state.update(fold.state)
             state.setTimeoutDuration(idle_ms)

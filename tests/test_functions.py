@@ -50,13 +50,13 @@ def test_excerpt(spark):
 
 
 def test_texts(spark):
-    assert one(spark, t.clamped_title(F.lit("word " * 30))) == ("word " * 12).strip()
+    assert one(spark, t.clamped_title(F.lit("word " * 30))) == ("word " * 11).strip() + "…"
     assert one(spark, t.truncated(F.lit("abcdef"), 3)) == "abc…"
     assert one(spark, t.truncated(F.lit("abcdef"), 3, whole=False)) == "ab…"
     assert one(spark, t.slug(F.lit("Mi Servidor: Sala 1"))) == "mi-servidor-sala-1"
     assert one(spark, t.markdown_escaped(F.lit("a*b_c"))) == r"a\*b\_c"
     assert one(spark, t.interpolated(F.lit("{a} {b}"), F.create_map(F.lit("a"), F.lit("x")))) == "x {b}"
-    assert one(spark, t.usable_name(F.lit("12345"))) is None
+    assert one(spark, t.usable_name(F.lit("12345"), F.lit(" 12345 "))) is None and one(spark, t.usable_name(F.lit("spaces/x/devices/7"))) is None
     assert one(spark, t.usable_name(F.lit("  Ana   B "))) == "Ana B"
     assert one(spark, t.query_parameter(F.lit("http://x/?a=1+2&b=%zz"), "a")) == "1 2"
 
@@ -152,3 +152,55 @@ def test_tags_of_whole_texts(spark, sf_dir, tmp_path):
     got = {r["doc_id"]: r["tags"] for r in registry.queries()["scl_a1_tags"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else tags(t) for i, t in rows}
     assert got[-1] == ["same", "other", "last"] and got[-2] == ["late", "word"]
+
+
+def test_questions_and_titles(spark):
+    ask = lambda q: one(spark, t.or_query(F.lit(q)))
+    assert ask("¿Qué decidimos sobre el despliegue de Kafka?") == '"decidimos" OR "despliegue" OR "kafka"'
+    assert ask("kafka kafka KAFKA despliegue") == '"kafka" OR "despliegue"'
+    assert ask("¿y eso?") is None and ask("   ") is None and ask("what was that") is None
+    title = lambda *n: one(spark, t.fallback_title(F.array(*map(F.lit, n)).cast("array<string>"), F.lit("Zoom"), F.lit("Sala")))
+    assert title() == "Reunión de Zoom" and title("Ana", " ") == "Sesión de Ana" and title("Ana", "Luis", "Eva") == "Ana, Luis y Eva" and title("Ana", "Luis", "Eva", "Sol") == "Ana, Luis y 2 más"
+    assert one(spark, t.fallback_title(F.array().cast("array<string>"), F.lit("Mi Servidor"), F.lit("Sala"))) == "Reunión en #Sala"
+
+
+def test_excerpts(spark):
+    said = F.array(F.struct(F.lit("nada").alias("text"), F.lit("Luis · 00:01").alias("source")), F.struct(F.lit("Hola, ¿cómo estás? Aquí hablamos de Kafka.").alias("text"), F.lit("Ángela · 01:02").alias("source")))
+    found = one(spark, t.first_match(said, F.array(F.lit("como"))))
+    assert tuple(found) == ("Hola, ¿", "cómo", " estás? Aquí hablamos de Kafka.", "Ángela · 01:02")
+    assert one(spark, t.first_match(said, F.array(F.lit("postgres")))) is None
+
+
+def test_broken_escapes_and_templates(spark):
+    assert one(spark, t.percent_decoded(F.lit("a%20b+c%zz%4"))) == "a b c%zz%4"
+    assert one(spark, t.query_parameter(F.lit("http://x/?a.b=1&axb=2"), "a.b")) == "1"
+    values = F.create_map(F.lit("a"), F.lit("{b}"), F.lit("b"), F.lit("2"))
+    assert one(spark, t.interpolated(F.lit("{a} {b} {c}"), values)) == "{b} 2 {c}"
+    assert one(spark, t.tokens(F.lit("Ça VÃ Ångström e\u0301"))) == ["ca", "va", "angstrom", "e"]
+
+
+def test_json_in_answers(spark):
+    found = lambda x: one(spark, t.first_json_object(F.lit(x)))
+    assert found('Sure: {"a": "}", "b": {"c": "\\\\\\"{"}} {') == '{"a": "}", "b": {"c": "\\\\\\"{"}}'
+    assert found("{ open") is None and found("none") is None
+    s = one(spark, t.summary_of(F.lit('x {"meeting_title": " T ", "key_points": ["a", " "], "tasks": [{"task": "do", "owner": "null", "time": "[1:02]"}, {"text": ""}]} y')))
+    assert (s["title"], s["key_points"], [tuple(x) for x in s["action_items"]]) == ("T", ["a"], [("do", None, None, 62000)])
+    assert one(spark, t.summary_of(F.lit('{"title": "only"}'))) is None
+
+
+def test_signatures(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    want = base64.b64encode(hmac.new(b"k" * 32, b"id.1.body", hashlib.sha256).digest()).decode()
+    assert one(spark, v.hmac_sha256(F.lit(b"k" * 32), F.lit(b"id.1.body"))) == want
+    ids = [0, 1, 80351110224678912, (0x5745 << 48) + 12345, 2**62]
+    want = [((i * 0x9E3779B97F4A7C15) % 2**64 >> 32) % 8 for i in ids]
+    assert [r["c"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(v.palette_index(F.col("id")).alias("c")).collect()] == want
+
+
+def test_overlap_of_turns(spark):
+    cut = lambda a, b: one(spark, t.without_overlap(F.lit(a).cast("string"), F.lit(b)))
+    assert cut("vamos con el despliegue", "El despliegue, ahora") == "ahora" and cut("de acuerdo", "acuerdo total") == "total"
+    assert cut("y si", "si eso") == "si eso" and cut(None, " hola ") == "hola" and cut("", "hola") == "hola"

@@ -36,12 +36,12 @@ def test_stream_is_the_batch(spark, sf_dir):
     assert query.awaitTermination(240)
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     batch = rows_of(sessions.batch_segments(frames))
-    streamed = rows_of(spark.table("segments"))
+    streamed = rows_of(spark.table("segments").filter("is_final"))
     assert streamed and set(streamed) <= set(batch)
     last = {}
     for r in batch:
         last[r[0]] = max(last.get(r[0], -1), r[1])
-    assert all(r[1] == last[r[0]] for r in set(batch) - set(streamed))
+    assert {r for r in set(batch) - set(streamed) if r[1] != last[r[0]]} == set()
 
 
 def test_frames(spark):
@@ -61,3 +61,37 @@ def test_payloads(spark):
     assert [r["x"] and bytes(r["x"]) for r in rows] == [b"hello", None, None]
     events = spark.createDataFrame([('{"kind": "a", "ts": 1}',), ('{"kind": "a"}',), ("{",)], "t string").select(wire.event_of(F.col("t")).alias("e")).collect()
     assert events[0]["e"]["kind"] == "a" and events[1]["e"] is None and events[2]["e"] is None
+
+
+def fold_of(frames, **options):
+    fold = sessions.Segmenter(sessions.Pauses(**{"short": 700, "enough": 3000, "long": 2500, "most": 5000, "least": 350} | options))
+    return [s for f in frames for s in fold.add(*f)] + list(fold.close())
+
+
+def voice(start, ms, energy=0.2):
+    return [(t, 20, energy) for t in range(start, start + ms, 20)]
+
+
+def test_a_cut_is_at_the_quietest_frame_and_overlaps():
+    frames = voice(0, 4800) + voice(4800, 20, 0.01) + voice(4820, 2180)
+    finals = [s for s in fold_of(frames) if s[-1]]
+    # The quiet frame ends at 4820; what follows begins 600 ms before it.
+    assert [(n, a, b, o) for n, a, b, _, _, o, _ in finals] == [(0, 0, 4820, False), (1, 4220, 7000, True)]
+
+
+def test_previews_share_the_number_of_their_final():
+    got = fold_of(voice(0, 4000), most=20000, preview=500)
+    assert {s[0] for s in got} == {0} and [s[-1] for s in got] == [False, False, False, True]
+
+
+def test_pauses_are_kept_up_to_a_second():
+    (only,) = [s for s in fold_of(voice(0, 400) + voice(2000, 400)) if s[-1]]
+    assert only[1:4] == (0, 2400, 41)  # 20 frames, a silent one, 20 frames
+    assert fold_of(voice(0, 300)) == [] and fold_of(voice(0, 2000, 0.0001)) == []
+
+
+def test_speakers_do_not_mix_and_leave(spark):
+    rows = [(k, *f) for k in range(64) for f in voice(k * 10, 600)] + [(3, 5000, 0, None)] + [(3, *f) for f in voice(5000, 600)]
+    frames = spark.createDataFrame(rows, "key long, at_ms long, ms long, energy double")
+    got = rows_of(sessions.batch_segments(frames, sessions.Pauses(least=350)).select("key", "start_ms", "end_ms"))
+    assert got == sorted([(k, k * 10, k * 10 + 600) for k in range(64)] + [(3, 5000, 5600)])
