@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import flat, mapped, pieces
 from .common import held_out
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bytes that the network reads in one go when it labels, and when it learns; then its states start anew.
 WINDOW, LESSON = 128, 64
 UNITS = 8
@@ -182,18 +182,19 @@ def probabilities(net: Network, texts: pa.Array, at_once: int = 4096) -> np.ndar
     return total / np.maximum(1, np.diff(offsets))[:, None]
 
 
-def lessons(docs: DataFrame, per_label: int, most_labels: int, doc_id: str, text: str, lang: str) -> DataFrame:
-    """(lang, lesson): pieces of LESSON bytes from training rows with a letter, some 3 a row, spread over its text.
+def lessons(docs: DataFrame, per_label: int, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(lang, lesson): the whole texts of training rows with a letter, in pieces of LESSON bytes.
 
-    About ``per_label`` rows of each of the ``most_labels`` most frequent labels are taken by a hash of
-    their id, so what is collected is bounded whatever the input.
+    About ``per_label`` rows of each label are taken by a hash of id and text, and equal rows of one id
+    count once, so what is collected is bounded by rows whatever the input. The last piece ends where
+    the text does; a text shorter than a piece is repeated to fill it.
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return known.select("lang", F.lit(b"").alias("lesson")).limit(0)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(per_label / r["n"]))])
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
+    drawn = known.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30)).dropDuplicates(["doc_id", "text", "lang"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +202,7 @@ def lessons(docs: DataFrame, per_label: int, most_labels: int, doc_id: str, text
             for t, l in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 raw = t.encode()
                 if LETTER.search(t):
-                    for at in {0, max(0, len(raw) - LESSON) // 2, max(0, len(raw) - LESSON)}:
+                    for at in [*range(0, len(raw) - LESSON, LESSON), max(0, len(raw) - LESSON)]:
                         piece = raw[at : at + LESSON]
                         out["lang"].append(l)
                         out["lesson"].append((piece * (-(-LESSON // len(piece))))[:LESSON])
@@ -210,9 +211,12 @@ def lessons(docs: DataFrame, per_label: int, most_labels: int, doc_id: str, text
     return mapped(drawn.select("text", "lang"), cut, "lang string, lesson binary")
 
 
-def fit(docs: DataFrame, per_label: int = 400, most_labels: int = 64, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
-    """Train on rows whose crc32(doc_id as text) is no multiple of 5; None if none has a label and a letter."""
-    rows = sorted((r["lang"], bytes(r["lesson"])) for r in lessons(docs, per_label, most_labels, doc_id, text, lang).collect())
+def fit(docs: DataFrame, per_label: int = 400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
+    """Train on rows whose crc32(doc_id as text) is no multiple of 5; None if none has a label and a letter.
+
+    The bound of the sample is ``per_label`` rows of each label, of which all bytes are lessons.
+    """
+    rows = sorted((r["lang"], bytes(r["lesson"])) for r in lessons(docs, per_label, doc_id, text, lang).collect())
     if not rows:
         return None
     labels = sorted({l for l, _ in rows})

@@ -60,8 +60,8 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 24, unlike: float = 0
     have similar statistics - the kinds of what follows them and their labelled share differ from the
     parent's pooled ones by at most ``unlike`` in total variation - are one. A branch is held against
     the pool, never against each other branch, so the work is linear in the branches. Where a branch
-    or the pool has no labels the kinds alone tell, so labels reach branches without any. What lies below ``depth``
-    segments is "**". ``urls``: host, path, label (1 to reject, 0 to keep, null unknown).
+    or the pool has no labels the kinds alone tell, so labels reach branches without any. What lies below
+    ``depth`` segments is told apart by its kinds and never merged. ``urls``: host, path, label (1 to reject, 0 to keep, null unknown).
 
     Counts are taken over distinct (host, path, label) with their numbers, and summed before they are
     shuffled; a host with a third of all rows is as many groups as it has branches.
@@ -69,7 +69,8 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 24, unlike: float = 0
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
     parts = F.split(F.col("path"), "/")
     kinds = F.transform(F.slice(parts, 2, depth), shape)
-    kinds = F.when(F.size(parts) - 1 > depth, F.array_append(kinds, F.lit("**"))).otherwise(kinds)
+    # What lies deeper is one last part, so paths that differ there only stay apart.
+    kinds = F.when(F.size(parts) - 1 > depth, F.array_append(kinds, F.array_join(F.transform(F.slice(parts, depth + 2, F.size(parts)), shape), "/"))).otherwise(kinds)
     at = written(paths.withColumn("kinds", kinds).withColumn("template", F.lit("")), "url-paths")
     for level in range(depth):
         here = at.withColumn("segment", F.get("kinds", F.lit(level))).withColumn("next", F.coalesce(F.get("kinds", F.lit(level + 1)), F.lit("$")))
@@ -85,12 +86,15 @@ def templates(urls: DataFrame, depth: int = 6, many: int = 24, unlike: float = 0
         rate = F.abs(F.col("bad") / F.nullif(F.col("known"), F.lit(0)) - F.col("all_bad") / F.nullif(F.col("all_known"), F.lit(0)))
         alike = (F.col("branches") > 1) & (1 - F.col("common") <= unlike) & F.coalesce(rate <= unlike, F.lit(True))
         fan = (F.col("branches") > many) & (F.col("n") * F.col("branches") <= F.col("all_n"))
-        wild = judged.select(*key, "segment", F.when(F.coalesce(alike | fan, F.lit(False)), F.lit(WILD)).otherwise(F.col("segment")).alias("as"))
-        grown = F.when(F.col("as").isNotNull(), F.concat(F.col("template"), F.lit("/"), F.col("as"))).otherwise(F.col("template"))
+        # Only the branches that merge are carried to their paths; a hot host is as many rows here as it has such branches.
+        wild = written(judged.filter(F.coalesce(alike | fan, F.lit(False))).select(*key, "segment", F.lit(WILD).alias("as")), f"url-wild{level}")
+        grown = F.when(F.col("segment").isNotNull(), F.concat(F.col("template"), F.lit("/"), F.coalesce("as", "segment"))).otherwise(F.col("template"))
         at = written(here.join(wild, [*key, "segment"], "left").select("host", "path", "n", "known", "bad", "kinds", grown.alias("template")), f"url-level{level}")
-        if level + 1 < depth and at.filter(F.size("kinds") > level + 1).isEmpty():
+        if at.filter(F.size("kinds") > level + 1).isEmpty():
             break
-    return at.select("host", "path", "template", "n", "known", "bad")
+    deeper = F.get("kinds", F.lit(depth))
+    whole = F.when(deeper.isNotNull(), F.concat(F.col("template"), F.lit("/"), deeper)).otherwise(F.col("template"))
+    return at.select("host", "path", whole.alias("template"), "n", "known", "bad")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labels: DataFrame | None = None, reject: float = 0.6, weight: float = 2.0, prior: float = 0.1, page_id: str = "page_id", url: str = "url") -> DataFrame:

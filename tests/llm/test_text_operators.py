@@ -128,3 +128,12 @@ def test_bands(spark):
     noise = " ".join("qzxjkvwqzxjkvw" for _ in range(60))
     rows = spark.createDataFrame([(1, words), (2, "\u2581\U0001f9ff\u16a0 " * 60), (3, noise)], "doc_id long, text string")
     assert {r["doc_id"]: r["kept"] for r in fertility.rules(rows, MODEL).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_what_is_a_letter(spark):
+    from parlance.llm import language
+
+    marks = ["²", "½ ①", "Ⅷ", "12 _", "\u0301", "", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*marks, "some words here", "more words there", "x"])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.language_id(docs).collect()}
+    assert all(got[i] == "und" for i in range(len(marks))) and all(got[i] == "en" for i in range(len(marks), len(marks) + 3))
