@@ -290,10 +290,10 @@ def src_6_reconciled(spark, d):
 # Updates
 
 
-@query(f"WITH {PASSAGES} SELECT meeting_id, chunk_id, text FROM p WHERE meeting_id % 4 <> 1 UNION ALL SELECT meeting_id, chunk_id, upper(text) FROM p WHERE meeting_id % 4 = 1 AND chunk_id > 0")
+@query(f"WITH {PASSAGES} SELECT meeting_id, chunk_id, text FROM p WHERE meeting_id % 4 <> 1 UNION ALL SELECT meeting_id, chunk_id, text || '!' FROM p WHERE meeting_id % 4 = 1 AND chunk_id > 0")
 def upd_1_upsert_meeting(spark, d):
     index = passages(spark, d).select("meeting_id", "chunk_id", "text")
-    new = index.filter("meeting_id % 4 = 1 AND chunk_id > 0").withColumn("text", F.upper("text"))
+    new = index.filter("meeting_id % 4 = 1 AND chunk_id > 0").withColumn("text", F.concat("text", F.lit("!")))
     changed = index.filter("meeting_id % 4 = 1").select("meeting_id").distinct()
     return updates.replaced_rows(index, new, changed, "meeting_id")
 

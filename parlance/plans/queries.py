@@ -355,12 +355,12 @@ def top_11_manual_order(spark, d):
     return read(spark, d, "nation").join(manual, "n_nationkey", "left").select("n_name", F.coalesce("p", F.lit(1000000)).alias("place")).orderBy("place", "n_name")
 
 
-@query("""WITH f AS (SELECT l_suppkey AS session, l_orderkey AS source, epoch_ms(l_shipdate::TIMESTAMP) // 86400000 AS at_ms, l_discount AS level FROM lineitem), g AS (SELECT session, source, max(at_ms) AS at_ms, max(level) AS level FROM f GROUP BY ALL),
+@query("""WITH f AS (SELECT l_orderkey AS session, l_suppkey AS source, epoch_ms(l_shipdate::TIMESTAMP) // 86400000 AS at_ms, l_discount AS level FROM lineitem), g AS (SELECT session, source, max(at_ms) AS at_ms, max(level) AS level FROM f GROUP BY ALL),
 c AS (SELECT * FROM (SELECT *, max(at_ms) OVER (PARTITION BY session) AS newest FROM g) WHERE newest - at_ms <= 50), r AS (SELECT session, source, level, row_number() OVER (PARTITION BY session ORDER BY level DESC, source) AS nth, lead(level) OVER (PARTITION BY session ORDER BY level DESC, source) AS second FROM c)
 SELECT session, source FROM r WHERE nth = 1 AND (second IS NULL OR (level >= 0.01 AND level >= 2 * second))""")
 def top_15_dominant(spark, d):
     at = F.floor(F.unix_millis(F.col("l_shipdate").cast("timestamp")) / 86400000)
-    frames = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("session"), F.col("l_orderkey").alias("source")).agg(F.max(at).alias("at_ms"), F.max("l_discount").alias("level"))
+    frames = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("session"), F.col("l_suppkey").alias("source")).agg(F.max(at).alias("at_ms"), F.max("l_discount").alias("level"))
     return folds.dominant_sources(frames, "session", "source", "at_ms", "level").select("session", "source")
 
 

@@ -99,10 +99,10 @@ def str_34_frame_pipeline(spark, d):
     return loud.select("vec_id", F.size(v.resampled(F.col("mono"), 8000, 16000)).alias("samples"))
 
 
-@query("SELECT ts::DATE AS day, any_value(user_id) AS user_id FROM events WHERE value > 95 GROUP BY 1 HAVING count(DISTINCT user_id) = 1")
+@query("SELECT date_trunc('hour', ts) AS hour, any_value(user_id) AS user_id FROM events WHERE value > 60 GROUP BY 1 HAVING count(DISTINCT user_id) = 1")
 def str_35_single_source(spark, d):
-    frames = told(spark, d).filter("value > 95").groupBy(F.to_date("ts").alias("day")).agg(F.collect_set("user_id").alias("sources"))
-    return frames.filter(F.size("sources") == 1).select("day", F.get("sources", F.lit(0)).alias("user_id"))
+    frames = told(spark, d).filter("value > 60").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.collect_set("user_id").alias("sources"))
+    return frames.filter(F.size("sources") == 1).select("hour", F.get("sources", F.lit(0)).alias("user_id"))
 
 
 @query("SELECT user_id, event_type = 'signup' AS gone FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1)")
