@@ -365,14 +365,13 @@ def rare_prefixes(posted: DataFrame, classes: DataFrame, counted: int, percent:
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """(key, root, block) for the rows (shingle, key, root, n) of classes that are still to be compared.
+    """(key, root, block) for the rows (shingle, often, key, root, n) of classes that are still to be compared.
 
     Each component goes to the block of the most frequent of its shingles, so those that share much meet
     in one; components and shingles with more than BLOCK classes, or BLOCK_SHINGLES shingles in these,
     are cut by hash.
     """
-    often = rest.groupBy("shingle").agg(F.count("*").alias("often"))
-    anchor = rest.join(often, "shingle").groupBy("root").agg(F.max(F.struct("often", "shingle")).alias("at")).select("root", F.col("at.shingle").alias("anchor"))
+    anchor = rest.groupBy("root").agg(F.max(F.struct("often", "shingle")).alias("at")).select("root", F.col("at.shingle").alias("anchor"))
     member = rest.select("key", "root", "n").distinct().join(anchor, "root")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     own = member.groupBy("root").agg(parts.alias("own"))
@@ -422,7 +421,7 @@ def links_of(docs: DataFrame, active: DataFrame, k: int, percent: int, doc_id: s
     roots = components(star, "join-roots").withColumnsRenamed({"node": "b"})
     # Classes that share a prefix shingle and are of different components yet.
     rest = near.select("shingle", "b", "n").join(roots, "b", "left").select("shingle", F.col("b").alias("key"), F.coalesce("root", "b").alias("root"), "n")
-    mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
+    mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("often")).filter("low <> high").select("shingle", "often")
     rest = written(rest.join(mixed, "shingle"), "join-rest")
     member = written(_blocks(rest), "join-blocks")
     # Blocks meet if they share a shingle that classes of different components have.
