@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +64,48 @@ def stable_channels(rows: DataFrame, device: str, source: str, order: str) -> Da
     """
     first = rows.groupBy(device).agg(F.min_by(source, order).alias(source), F.min(order).alias("_first"))
     return first.withColumn("channel", (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).select(source, device, "channel")
+
+
+def rebound(rows: DataFrame, channel: str, row_id: str, person: str, order: list[str], votes: int = 3, most_held: int = 16) -> DataFrame:
+    """(channel, row_id, held, owner): whose each row of a channel is when one active person at a time is a vote.
+
+    ``person`` is null where not exactly one is active: such a row goes out if the channel has an owner. A
+    vote for the owner clears the others; ``votes`` for another in a row, not counting rows without one,
+    make that one the owner. Until then rows are held and belong to the next owner (null if there is none);
+    with ``most_held`` of them the track itself becomes the owner for the time being. Rows without a
+    channel are left out. Partitions are sorted by Spark, and the fold holds a few values of one channel.
+    """
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (channel, row_id))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = owner = voter = None
+        count = held = nth = 0
+        for batch in batches:
+            out = []
+            for at, row, who in zip(batch[channel].tolist(), batch[row_id].tolist(), batch[person].tolist(), strict=True):
+                if at != now:
+                    now, owner, voter, count, held, nth = at, None, None, 0, 0, 0
+                bound = None
+                if pd.isna(who):
+                    sent = owner is not None
+                elif who == owner:
+                    sent, voter, count = True, None, 0
+                else:
+                    voter, count = who, count + 1 if who == voter else 1
+                    sent = count >= votes
+                    if sent:
+                        bound, voter, count = who, None, 0
+                held += not sent
+                if held >= most_held and not bound and owner != f"track:{at}":
+                    bound = f"track:{at}"
+                if bound:
+                    owner, held = bound, 0
+                nth += 1
+                out.append((at, row, nth, not sent, bound))
+            yield pd.DataFrame(out, columns=[channel, row_id, "_nth", "held", "_bound"])
+
+    clean = rows.filter(F.col(channel).isNotNull()).select(channel, row_id, F.col(person).cast("string").alias(person), *[c for c in order if c not in (channel, row_id, person)])
+    folded = clean.repartition(channel).sortWithinPartitions(channel, *order).select(channel, row_id, person).mapInPandas(run, f"{kinds}, _nth long, held boolean, _bound string")
+    w = Window.partitionBy(channel).orderBy("_nth")
+    next_one = F.first("_bound", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return folded.select(channel, row_id, "held", F.when(F.col("held"), next_one).otherwise(F.last("_bound", True).over(w)).alias("owner"))

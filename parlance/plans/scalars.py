@@ -9,7 +9,7 @@ from parlance.functions import text as t
 from parlance.functions import values as v
 from parlance.operators import folds
 from parlance.plans.queries import FOLD, TODAY, TOKENS, UTTERANCES, query
-from parlance.sources import wire
+from parlance.sources import rosters, wire
 from parlance.sources.tables import read, utterances
 
 SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -321,6 +321,52 @@ def src_16_event_lines(spark, d):
     return body.select("conv_id", wire.delta_text(F.col("body")).alias("r")).select("conv_id", "r.text", "r.refused")
 
 
+@query("SELECT c_custkey, unnest([1, 4, 60])::BIGINT AS number, unnest([2, 0, 5])::INTEGER AS wire, unnest([NULL, c_custkey, NULL])::BIGINT AS value, unnest([hex(c_name), NULL, '00000000']) AS data FROM customer")
+def src_12_protobuf(spark, d):
+    unknown = F.unhex(F.lit("E50300000000"))
+    message = F.concat(rosters.field_bytes(1, F.col("c_name")), rosters.field_bytes(4, F.col("c_custkey"), True), unknown)
+    found = read(spark, d, "customer").select("c_custkey", F.explode(rosters.protobuf_fields(message)).alias("f"))
+    return found.select("c_custkey", "f.number", "f.wire", "f.value", F.hex("f.data").alias("data"))
+
+
+def _user(device, name, text, status):
+    """A user's message."""
+    return F.concat(rosters.field_bytes(1, device), rosters.field_bytes(2, name), rosters.field_bytes(29, text), rosters.field_bytes(4, status, True), rosters.field_bytes(34, (status == 0).cast("long"), True))
+
+
+@query("""SELECT conv_id, 'd' || turn AS device_id, role AS full_name, coalesce(text, '') AS display_name, turn::BIGINT AS status, turn = 0 AS is_host, NULL AS stream_id, NULL::BOOLEAN AS disabled FROM conversations
+UNION ALL SELECT conv_id, 'd' || turn, NULL, NULL, NULL, NULL, 's' || turn, turn % 2 = 1 FROM conversations""")
+def src_13_rosters(spark, d):
+    device = F.concat(F.lit("d"), "turn")
+    status = rosters.field_bytes(1, F.col("turn") % 2, True)
+    output = F.concat(rosters.field_bytes(4, F.concat(F.lit("s"), "turn")), rosters.field_bytes(6, device), rosters.field_bytes(10, status))
+    user = rosters.field_bytes(2, _user(device, F.col("role"), F.col("text"), F.col("turn")))
+    said = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(user).alias("users"), F.collect_list(rosters.field_bytes(2, output)).alias("outputs"))
+    body = F.concat(rosters.field_bytes(3, rosters.joined_bytes(F.col("outputs"))), rosters.field_bytes(13, rosters.field_bytes(1, rosters.joined_bytes(F.col("users")))))
+    found = said.select("conv_id", rosters.roster(rosters.field_bytes(1, rosters.field_bytes(2, body))).alias("r"))
+    users = found.select("conv_id", F.inline("r.users")).select("conv_id", "device_id", "full_name", "display_name", "status", "is_host")
+    outputs = found.select("conv_id", F.inline("r.outputs")).select("conv_id", "device_id", "stream_id", "disabled")
+    return users.unionByName(outputs, allowMissingColumns=True)
+
+
+@query("SELECT c_custkey, c_name AS full_name, c_mktsegment AS display_name, c_nationkey = 0 AS is_host FROM customer")
+def src_15_first_roster(spark, d):
+    user = rosters.field_bytes(2, _user(F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")))
+    text = F.base64(rosters.field_bytes(2, rosters.field_bytes(2, user)))
+    return read(spark, d, "customer").select("c_custkey", F.inline(rosters.first_roster(text))).select("c_custkey", "full_name", "display_name", "is_host")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+def src_19_wav(spark, d):
+    # A chunk of an odd size before the sound, which a frame's bytes are after its head of 12.
+    frame = wire.encode_frame(F.lit(1), F.lit(0.0), F.lit(None).cast("string"), F.col("embedding"))
+    rows = read(spark, d, "embeddings").select("vec_id", F.expr("size(embedding) * 4").alias("n"), frame.alias("f"))
+    size = F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright("n", 8 * i).bitwiseAND(255)), 2, "0")) for i in range(4)])
+    head = F.concat(F.lit("RIFF....WAVELIST").cast("binary"), F.unhex(F.lit("0300000061626300")), F.lit("data").cast("binary"), size)
+    samples = rows.select("vec_id", rosters.wav_samples(F.concat(head, F.expr("substring(f, 13)"))).alias("s"))
+    return samples.select("vec_id", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
 @query("SELECT count(*) AS regions, 0::BIGINT AS missing FROM region")
 def src_4_catalog(spark, d):
     there = wire.catalog(spark, f"{d}/region.parquet", "r_regionkey int, r_name string")

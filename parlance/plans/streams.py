@@ -109,3 +109,40 @@ def str_35_single_source(spark, d):
 def str_37_departed(spark, d):
     last = told(spark, d).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
     return last.select("user_id", (F.col("last") == "signup").alias("gone"))
+
+
+VOICES = """SELECT user_id AS key, event_type = 'signup' AS leaves, epoch_us(ts) // 1000 AS at_ms, round(value * 1000)::BIGINT AS ms FROM events"""
+#: Only what the query is about ends a segment.
+ENDLESS = sessions.Pauses(short=1 << 50, enough=1 << 50, long=1 << 51, most=1 << 50, least=1, quiet=0.0, preview=1 << 50)
+
+
+@query(f"""WITH v AS ({VOICES}), i AS (SELECT *, max(at_ms + ms) OVER (PARTITION BY key ORDER BY at_ms, ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM v WHERE ms > 0)
+SELECT key, min(at_ms) AS start_ms, max(at_ms + ms) AS end_ms, count(*) + count_if(at_ms > ended) AS frames FROM i GROUP BY key""")
+def str_5_gaps(spark, d):
+    # Each pause is a frame of silence.
+    frames = sessions.frames_of(told(spark, d))
+    return sessions.batch_segments(frames, ENDLESS).select("key", "start_ms", "end_ms", "frames")
+
+
+@query(f"""WITH v AS ({VOICES}), i AS (SELECT *, count_if(leaves) OVER (PARTITION BY key ORDER BY at_ms, NOT leaves RANGE UNBOUNDED PRECEDING) AS island FROM v), s AS (SELECT key, island, min(at_ms) AS start_ms, max(at_ms + ms) AS end_ms FROM i WHERE NOT leaves AND ms > 0 GROUP BY ALL)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY island) - 1 AS segment, start_ms, end_ms FROM s""")
+def str_6_left(spark, d):
+    leaves = F.col("event_type") == "signup"
+    said = told(spark, d)
+    frames = sessions.frames_of(said.filter(~leaves)).unionByName(sessions.frames_of(said.filter(leaves)).withColumn("ms", F.lit(0).cast("long")).withColumn("energy", F.lit(None).cast("double")))
+    return sessions.batch_segments(frames, ENDLESS).select("key", "segment", "start_ms", "end_ms")
+
+
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, CASE WHEN value > 20 THEN event_type END AS person, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::VARCHAR AS owner, NULL::VARCHAR AS voter, 0 AS votes, 0 AS waits, false AS held, NULL::VARCHAR AS bound FROM events
+UNION ALL SELECT user_id, i, coalesce(bound, owner), voter, votes, CASE WHEN bound IS NULL THEN waits ELSE 0 END, held, bound FROM (
+SELECT *, CASE WHEN won THEN person WHEN waits >= 16 AND owner IS DISTINCT FROM 'track:' || user_id THEN 'track:' || user_id END AS bound, CASE WHEN won THEN NULL ELSE v END AS voter, CASE WHEN won THEN 0 ELSE c END AS votes FROM (
+SELECT *, waited + held::INT AS waits FROM (
+SELECT *, CASE WHEN person IS NULL THEN owner IS NULL ELSE person IS DISTINCT FROM owner AND c < 3 END AS held, person IS NOT NULL AND c >= 3 AS won FROM (
+SELECT n.user_id, n.i, n.person, f.owner, f.waits AS waited,
+CASE WHEN person IS NULL THEN f.voter WHEN person IS DISTINCT FROM f.owner THEN person END AS v,
+CASE WHEN person IS NULL THEN f.votes WHEN person IS NOT DISTINCT FROM f.owner THEN 0 WHEN person = f.voter THEN f.votes + 1 ELSE 1 END AS c FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)))))
+SELECT f.user_id, event_id, held, CASE WHEN held THEN first_value(bound IGNORE NULLS) OVER (PARTITION BY f.user_id ORDER BY f.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE last_value(bound IGNORE NULLS) OVER (PARTITION BY f.user_id ORDER BY f.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS owner FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i""")
+def str_17_rebound(spark, d):
+    rows = told(spark, d).withColumn("person", F.when(F.col("value") > 20, F.col("event_type")))
+    return live.rebound(rows, "user_id", "event_id", "person", ["ts", "event_id"])

@@ -6,7 +6,8 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from parlance.sources import wire
+from parlance.operators import live
+from parlance.sources import rosters, wire
 from parlance.streaming import sessions
 
 
@@ -95,3 +96,47 @@ def test_speakers_do_not_mix_and_leave(spark):
     frames = spark.createDataFrame(rows, "key long, at_ms long, ms long, energy double")
     got = rows_of(sessions.batch_segments(frames, sessions.Pauses(least=350)).select("key", "start_ms", "end_ms"))
     assert got == sorted([(k, k * 10, k * 10 + 600) for k in range(64)] + [(3, 5000, 5600)])
+
+
+def test_protobuf_fields_by_hand():
+    message = bytes.fromhex("0a02c3b1" "20ac02" "e503ffffffff" "090102030405060708")
+    assert list(rosters.fields(message)) == [(1, 2, "ñ".encode()), (4, 0, 300), (60, 5, b"\xff" * 4), (1, 1, bytes(range(1, 9)))]
+    assert list(rosters.fields(bytes.fromhex("0a0561"))) == [(1, 2, b"a")]  # cut off
+    assert list(rosters.fields(bytes.fromhex("20ffffffffffffffffff01" "2001"))) == [(4, 0, (1 << 35) - 1), (4, 0, 1)]
+    assert list(rosters.fields(bytes.fromhex("00" "2001"))) == [] and list(rosters.fields(b"")) == []
+
+
+def test_rosters_by_hand(spark):
+    user = bytes.fromhex("0a0164" "120141" "3a0131" "2003" "900201")
+    assert rosters.user_of(user) == {"device_id": "d", "full_name": "A", "display_name": "", "picture": None, "status": 3, "parent_device_id": None, "is_current": True, "is_host": True}
+    assert rosters.user_of(bytes.fromhex("120141")) is None
+    body = bytes.fromhex("6a12" "0a10" "120e") + user[:14]
+    whole = bytes([0x0A, len(body) + 2, 0x12, len(body)]) + body
+    rows = spark.createDataFrame([(1, whole), (2, b""), (3, b"\x0b"), (4, None)], "i int, p binary").select("i", rosters.roster("p").alias("r")).orderBy("i").collect()
+    assert [u["device_id"] for u in rows[0]["r"]["users"]] == ["d"] and rows[0]["r"]["outputs"] == []
+    assert rows[1]["r"]["users"] == [] and rows[2]["r"]["users"] is None and rows[3]["r"]["users"] is None
+    texts = spark.createDataFrame([("!",), (None,), ("",)], "t string").select(rosters.first_roster(F.col("t")).alias("u")).collect()
+    assert [r["u"] for r in texts] == [None, None, []]
+
+
+def test_numbers_as_bytes(spark):
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, (1 << 28) - 1, 1 << 28, (1 << 35) - 1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", rosters.protobuf_fields(rosters.field_bytes(9, F.col("n"), True)).alias("f")).collect()
+    assert all([(f["number"], f["value"]) for f in r["f"]] == [(9, r["n"])] for r in rows)
+
+
+def test_sound_is_found_behind_other_chunks(spark):
+    data = b"RIFF....WAVE" + b"LIST" + bytes.fromhex("0100000061" "00") + b"data" + bytes.fromhex("08000000" "0000803f" "00000040")
+    rows = spark.createDataFrame([(1, data), (2, data[:20]), (3, None), (4, data[:-1])], "i int, p binary").orderBy("i").select(rosters.wav_samples("p").alias("s")).collect()
+    assert [r["s"] for r in rows] == [[1.0, 2.0], None, None, [1.0]]
+
+
+def test_three_votes_rebind_and_many_held_rows_get_a_track(spark):
+    votes = [(1, i, p) for i, p in enumerate(["a", None, "a", "b", "a", "a", "a", "b", None, "b", "a", "b", "b", "b"])]
+    votes += [(2, i, "ab"[i % 2]) for i in range(17)] + [(3, 0, "a"), (None, 1, "a")]
+    got = live.rebound(spark.createDataFrame(votes, "c long, i long, p string"), "c", "i", "p", ["i"])
+    of = {(r["c"], r["i"]): (r["held"], r["owner"]) for r in got.collect()}
+    held = {0, 1, 2, 3, 4, 5, 7, 9, 11, 12}
+    assert {i: v for (c, i), v in of.items() if c == 1} == {i: (i in held, "a" if i < 7 or i in (8, 10) else "b") for i in range(14)}
+    assert {v for (c, i), v in of.items() if c == 2 and i < 16} == {(True, "track:2")} and of[2, 16] == (True, None)
+    assert of[3, 0] == (True, None) and len(of) == 32
