@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fertility, language, media, mixing, ngram_join, pii, toxicity, url_filters
+from . import bpe, chat, fertility, language, media, mixing, ngram_join, pii, piece_bpe, toxicity, url_filters
 from .common import read
 
 
@@ -51,10 +51,15 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of documents, and the text decoded from them; see piece_bpe.digest()."""
+    return piece_bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_language_id, op5_chat_formatting, op6_ngram_join, op7_pii, op8_bpe, op9_quality_rules, op10_url_filters)
+        for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_language_id, op5_chat_formatting, op6_ngram_join, op7_pii, op8_bpe, op9_quality_rules, op10_url_filters, op13_sentencepiece)
     }
 
 
