@@ -321,6 +321,16 @@ class Encoder:
         return [",".join(map(here.__getitem__, ps)) for ps in found]
 
 
+#: The encoder of the last vocabulary of this process: a worker that runs one task after another goes on with what it knows.
+_kept: list[Encoder] = []
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    if not _kept or _kept[0].vocabulary is not vocabulary:
+        _kept[:] = [Encoder(vocabulary)]
+    return _kept[0]
+
+
 def _one_mark_a_byte(error: UnicodeDecodeError) -> tuple[str, int]:
     return "�" * (error.end - error.start), error.end
 
@@ -359,7 +369,7 @@ def encode_column(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in pieces(batches, "text", PIECE):
             lists = [_numbers(x) for x in encoder.encode(batch.column("text").to_pylist())]
             offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
@@ -399,7 +409,7 @@ def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     hexed = lambda values: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in values], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in pieces(batches, "text", PIECE):
             joined = encoder.encode(batch.column("text").to_pylist())
             lists = [_numbers(x) for x in joined]
