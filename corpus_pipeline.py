@@ -11,41 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import bpe, mixing, ngram_join, pii, toxicity
-from parlance.llm.common import read, written
+from parlance.llm.common import freed, read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows whose whole text scores below one half, each judged by itself."""
+    """The rows whose whole text scores below one half, each judged by itself.
+
+    Null and empty texts have the score of no hits; equal texts stay or go together, whatever their ids;
+    repeated rows stay repeated; an empty table gives an empty one. Other columns are kept as they are.
+    """
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.keep(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the Jaccard join links (5-word shingles, 0.8): that with the smallest id.
+    """One row of each group that the Jaccard join links (5-word shingles, 0.8): that with the smallest id.
 
-    Of several rows with one id the one with the first text stays. Documents without words link with
-    nothing and stay, as do rows without an id.
+    Decisions are made for rows, not ids: rows of one id whose texts are no near copies all stay, and of
+    near copies without an id one stays; a row with an id goes before those without. Texts without words
+    link with nothing, so such rows all stay. An empty table gives an empty one; other columns are kept as
+    they are, whatever their names.
     """
-    found = written(ngram_join.ngram_join(docs.select("doc_id", "text"), k=5, percent=80), "pipeline-groups")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    again = written(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "pipeline-repeated")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept["doc_id"] == again["_id"], "left_anti")
-    several = kept.join(again, kept["doc_id"] == again["_id"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return once.unionByName(several)
+    # Rows get their numbers once: a table that is read again has the same.
+    rows = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "pipeline-rows")
+    found = written(ngram_join.ngram_join(rows.select("number", F.col("row.text").alias("text")), k=5, percent=80, doc_id="number"), "pipeline-groups")
+    linked = found.filter("n_shingles > 0").select(F.col("doc_id").alias("number"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text"), "number")
+    first = linked.join(rows.select("number", order.alias("order")), "number").groupBy("component_id").agg(F.min("order").alias("first")).select("first.number")
+    gone = written(linked.select("number").join(first, "number", "left_anti"), "pipeline-gone")
+    return rows.join(gone, "number", "left_anti").select("row.*")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced; n_chars counts anew."""
+    """All documents, personal data in their texts replaced; n_chars counts anew.
+
+    Null and empty texts stay as they are, with n_chars null and 0; repeated rows stay repeated and are
+    changed alike; an empty table gives an empty one. Other columns are kept as they are.
+    """
     new = pii.replaced(docs)
     columns = [F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return new.select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes of it: none, or up to three.
+    """As many copies of each document as the mix takes of it: none, or up to three, whatever its size.
 
     Null texts have size 0 and go with their place; repeated rows and rows of one id stay or go together;
     an empty table gives an empty one.
@@ -74,8 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, over documents."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages, one after another, over documents. What a stage has written for itself is freed once its result is."""
+    docs, last = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with freed(spark) as tables:
+            after = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            # The result stays for the next stage; what that stage read goes with this one's own tables.
+            mine = tables.pop()
+            tables += last
+            docs, last = after, [mine]
     return STAGES[-1][1](spark, docs, sf_dir)

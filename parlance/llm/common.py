@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +45,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage as checkpoint() does, so lost executors cost no recomputation, and Spark
     knows the size of what it reads back. The files stay until the cluster clears the folder of the
-    application.
+    application, or until freed() takes them away.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in _open:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: The tables written within each freed() that is open.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[list[str]]:
+    """Frees the tables that written() makes within, at the end: the list of their paths, which may be changed.
+
+    A freed table is empty afterwards, so nothing may still need its rows. Where the block fails all stay.
+    """
+    tables: list[str] = []
+    _open.append(tables)
+    try:
+        yield tables
+    finally:
+        _open.remove(tables)
+    for path in tables:
+        spark.range(0).write.mode("overwrite").parquet(path)

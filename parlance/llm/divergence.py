@@ -43,14 +43,15 @@ def _counted(docs: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                terms = TERM.findall(text.encode().lower())
+                raw = text.encode().lower()
+                terms = TERM.findall(raw)
                 if not terms:
                     continue
                 counts, docs_with = held.setdefault((lang, source), (Counter(), Counter()))
-                different = set(terms)
-                size += sum(ENTRY_BYTES + 2 * len(t) for t in different.difference(counts))
+                before = len(counts)
                 counts.update(terms)
-                docs_with.update(different)
+                docs_with.update(set(terms))
+                size += (len(counts) - before) * (ENTRY_BYTES + 2 * len(raw) // len(terms))
                 if size > HELD_BYTES:
                     yield from out(held)
                     held, size = {}, 0
@@ -61,10 +62,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _share(count: Column | int, total: Column, terms: Column) -> Column:
-    """1 + floor(PARTS * (count + 1) / (total + terms)), exactly: the product may be beyond a long."""
-    count = F.lit(count) if isinstance(count, int) else count
+    """1 + floor(PARTS * (count + 1) / (total + terms)), exactly: in longs where the product is one, else in decimals."""
+    count = F.lit(count).cast("long") if isinstance(count, int) else count
+    whole = F.call_function("div", (count + 1) * PARTS, total + terms)
     product = F.lit(PARTS).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    return F.expr("1L") + F.call_function("div", product, (total + terms).cast("decimal(20,0)"))
+    large = F.call_function("div", product, (total + terms).cast("decimal(20,0)"))
+    return F.when(count < 9_000_000_000, whole).otherwise(large) + F.expr("1L")
 
 
 def _divergence(p: Column, q: Column) -> Column:

@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
 
     Returns one row for each row of ``docs``: doc_id, size (words), source_size, target (its source's),
     copies, taken (size * copies). A source with a target of r times its size gives floor(r) copies of
-    every document and one more of those below its hash threshold. Null text: size 0. A null source is
+    every document and one more of those below its hash threshold, but never more than ``ceiling``. Null text: size 0. A null source is
     a source of its own, the last. Rows of one id, and all rows without an id, stand at one place and
     are taken together. Where all sizes are 0 every target is 0. Other columns of ``docs`` are not used
     or returned. The size of every document is computed once and written to the shared folder; what
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float
     """
     sized = _sized(docs, seed, doc_id, text, source)
     d, p = sized.alias("d"), plan(sized, weights, ceiling).alias("p")
-    copies = F.col("p.whole") + F.when(F.col("d.at") < F.col("p.threshold"), 1).otherwise(0)
+    copies = F.col("p.whole") + F.when((F.col("d.at") < F.col("p.threshold")) & (F.col("p.whole") < ceiling), 1).otherwise(0)
     joined = d.join(p, _same(F.col("d.source"), F.col("p.source")))
     return joined.select("d.doc_id", "d.size", "p.source_size", "p.target", copies.alias("copies"), (F.col("d.size") * copies).alias("taken"))
 
@@ -120,7 +120,7 @@ def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: floa
     """The rows of ``docs``, with all their columns, as often as mix() takes them. No text is shuffled."""
     p = plan(_sized(docs, seed, doc_id, text, source), weights, ceiling).alias("p")
     d = docs.alias("d")
-    copies = F.col("p.whole") + F.when(place(f"d.{doc_id}", seed) < F.col("p.threshold"), 1).otherwise(0)
+    copies = F.col("p.whole") + F.when((place(f"d.{doc_id}", seed) < F.col("p.threshold")) & (F.col("p.whole") < ceiling), 1).otherwise(0)
     chosen = d.join(p, _same(F.col(f"d.{source}"), F.col("p.source"))).filter(copies > 0)
     return chosen.select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("nth")).select("row.*")
 
@@ -147,7 +147,7 @@ u AS (
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE UNBOUNDED PRECEDING) AS upto,
          sum(d.size) OVER (PARTITION BY d.source, d.place) AS here
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, (whole + CASE WHEN upto - here / 2.0 > budget THEN 0 ELSE 1 END)::BIGINT AS copies,
-       (size * (whole + CASE WHEN upto - here / 2.0 > budget THEN 0 ELSE 1 END))::BIGINT AS taken
+SELECT doc_id, size, source_size, target, (whole + CASE WHEN upto - here / 2.0 > budget OR whole >= 3 THEN 0 ELSE 1 END)::BIGINT AS copies,
+       (size * (whole + CASE WHEN upto - here / 2.0 > budget OR whole >= 3 THEN 0 ELSE 1 END))::BIGINT AS taken
 FROM u
 """

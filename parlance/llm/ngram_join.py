@@ -15,6 +15,7 @@ after that only with classes of other components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ PAIRS_A_BUCKET, HELD = 250_000, 1_000_000
 BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Bytes of text that a task looks at together: some 50 times that in memory.
 PIECE = 1 << 19
-#: Bits of the sieve, as a power of 2: half a megabyte, good for some 500,000 ids.
-SIEVE_BITS = 22
+#: Bits of the sieve for each id, and the most it may have: 16 megabytes, for 8 million ids. With more ids texts are chosen by a join.
+SIEVE_BITS_AN_ID, MOST_SIEVE_BITS = 16, 1 << 27
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -314,18 +315,18 @@ def _between(percent: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _places(column: str) -> list[Column]:
+def _places(column: str, bits: int) -> list[Column]:
     """Places of a value in the sieve."""
-    return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(1 << SIEVE_BITS)) for i in range(2)]
+    return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in range(2)]
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids (doc_id), of a fixed size: with far more ids than it was made for it lets all pass."""
-    places = ids.select(F.explode(F.array(*_places("doc_id"))).alias("p"))
+def _sieve(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the ids (doc_id)."""
+    places = ids.select(F.explode(F.array(*_places("doc_id", bits))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
-    sieve = np.zeros(1 << SIEVE_BITS - 6, np.int64)
-    for r in words.collect():
-        sieve[r["word"]] = r["bits"]
+    found = words.toArrow()
+    sieve = np.zeros(bits >> 6, np.int64)
+    sieve[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return sieve.view(np.uint64)
 
 
@@ -333,26 +334,34 @@ def class_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id
     """(key, n, set, p0, p1, ...) of each of ``classes`` (key, hash, hash2, doc_id: a text that has it).
 
     set: sorted 64-bit shingles, packed; p0 and so on: the prefixes under the further orders. Texts are
-    chosen by a sieve of their ids, which is sent to all tasks; what it lets pass beside them has other
-    hashes or is a copy.
+    chosen by a sieve of their ids, which is sent to all tasks and has bits in proportion to them; where
+    it would get too large, by a join of the ids. What is let through beside them has other hashes or is
+    a copy.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_sieve(classes))
+    wanted = classes.count() * SIEVE_BITS_AN_ID
+    bits = 1 << max(16, (wanted - 1).bit_length())
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    shared = None
+    if bits <= MOST_SIEVE_BITS:
+        shared = docs.sparkSession.sparkContext.broadcast(_sieve(classes, bits))
+        chosen = named.select("text", *[p.alias(f"s{i}") for i, p in enumerate(_places("doc_id", bits))])
+    else:
+        ids = classes.select(F.col("doc_id").alias("_id"))
+        chosen = named.join(ids, named["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     names = [f"p{i}" for i in range(len(ORDERS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for whole in batches:
             keep = np.ones(whole.num_rows, bool)
-            for c in ("s0", "s1"):
+            for c in ("s0", "s1") if shared else ():
                 p = whole.column(c).to_numpy()
-                keep &= bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) == 1
+                keep &= shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) == 1
             for batch in pieces([whole.select(["text"]).filter(pa.array(keep))], "text", PIECE):
                 values, offsets = shingle_sets(batch.column("text"), k)
                 prefixes = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(p)) for p, ends in order_prefixes(values, offsets, percent)]
                 keys = [pa.array(set_keys(values, offsets, half)) for half in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(offsets)), binary(values.view(np.uint8), offsets * 8), *prefixes], ["hash", "hash2", "n", "set", *names])
 
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("text", *[p.alias(f"s{i}") for i, p in enumerate(_places("doc_id"))])
     found = mapped(chosen, run, "hash long, hash2 long, n long, set binary, " + ", ".join(f"{c} array<int>" for c in names))
     return found.join(classes.select("hash", "hash2", "key"), ["hash", "hash2"]).select("key", "n", "set", *names).dropDuplicates(["key"])
 
@@ -364,22 +373,25 @@ def rare_prefixes(posted: DataFrame, classes: DataFrame, counted: int, percent:
     return shared.groupBy(dealt).cogroup(classes.select("key", "n", "counted").groupBy(dealt)).applyInArrow(lambda s, c: _rarest(percent, counted, keys_only, c, s), "shingle long, key long, n long")
 
 
-def _blocks(rest: DataFrame) -> DataFrame:
-    """(key, root, block) for the rows (shingle, often, key, root, n) of classes that are still to be compared.
+def _blocks(rest: DataFrame, percent: int) -> DataFrame:
+    """(key, root, bin, block) for the rows (shingle, often, key, root, n) of classes that are still to be compared.
 
     Each component goes to the block of the most frequent of its shingles, so those that share much meet
     in one; components and shingles with more than BLOCK classes, or BLOCK_SHINGLES shingles in these,
-    are cut by hash.
+    are cut by hash. The classes of a block are of one bin of sizes: classes whose bins aren't the same
+    or next to each other differ too much in size to be similar.
     """
     anchor = rest.groupBy("root").agg(F.max(F.struct("often", "shingle")).alias("at")).select("root", F.col("at.shingle").alias("anchor"))
-    member = rest.select("key", "root", "n").distinct().join(anchor, "root")
+    # Similar sizes differ by a factor of 100 / percent at most; rounding must not part them by more than a bin.
+    sizes = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.0001 if percent < 100 else 1.0)).cast("int").alias("bin")
+    member = rest.select("key", "root", "n", sizes).distinct().join(anchor, "root")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    own = member.groupBy("root").agg(parts.alias("own"))
-    size = member.groupBy("anchor").agg(parts.alias("all"))
-    cut = member.join(own, "root").join(size, "anchor")
+    own = member.groupBy("root", "bin").agg(parts.alias("own"))
+    size = member.groupBy("anchor", "bin").agg(parts.alias("all"))
+    cut = member.join(own, ["root", "bin"]).join(size, ["anchor", "bin"])
     large = F.col("own") > 1
     part = F.when(large, F.pmod(F.xxhash64("key"), F.col("own"))).otherwise(F.pmod(F.xxhash64("root"), F.col("all")))
-    return cut.select("key", "root", F.xxhash64("anchor", part, F.when(large, F.col("root"))).alias("block"))
+    return cut.select("key", "root", "bin", F.xxhash64("anchor", "bin", part, F.when(large, F.col("root"))).alias("block"))
 
 
 def _buckets(pairs: int | None) -> int:
@@ -423,10 +435,10 @@ def links_of(docs: DataFrame, active: DataFrame, k: int, percent: int, doc_id: s
     rest = near.select("shingle", "b", "n").join(roots, "b", "left").select("shingle", F.col("b").alias("key"), F.coalesce("root", "b").alias("root"), "n")
     mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("often")).filter("low <> high").select("shingle", "often")
     rest = written(rest.join(mixed, "shingle"), "join-rest")
-    member = written(_blocks(rest), "join-blocks")
+    member = written(_blocks(rest, percent), "join-blocks")
     # Blocks meet if they share a shingle that classes of different components have.
-    at = rest.select("shingle", "key").join(member, "key").select("shingle", "block").distinct()
-    pairs = at.alias("x").join(at.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
+    at = rest.select("shingle", "key").join(member, "key").select("shingle", "bin", "block").distinct()
+    pairs = at.alias("x").join(at.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.bin") - F.col("y.bin")) <= 1)).select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
     sides = F.array_distinct(F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.when(F.col("p") == F.col("q"), 0).otherwise(1).alias("side"))))
     work = pairs.select("p", "q", F.explode(sides).alias("of")).select("p", "q", "of.block", "of.side").join(member, "block").join(sets, "key")
     later = work.select("p", "q", "side", "key", "root", "set").groupBy("p", "q").applyInArrow(lambda t: _between(percent, t), "a long, b long")

@@ -16,6 +16,7 @@ import functools
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -47,8 +48,8 @@ COUNTED = 100_000
 class Automaton:
     """Words within a small distance of a lexicon's terms.
 
-    ``terms`` are words, or stems that end in "*" and match words they begin. A term of fewer than 5
-    characters allows no edit, fewer than 10 one, else two; stems, which any ending fits, allow one from 7
+    ``terms`` are words, or stems that end in "*" and match words they begin. A term of fewer than 4
+    characters allows no edit, fewer than 10 one, else two; stems, which any ending fits, allow one from 5
     on, and terms of over LONGEST characters none.
     """
 
@@ -77,8 +78,8 @@ class Automaton:
     @staticmethod
     def edits(term: str) -> int:
         if term.endswith("*"):
-            return int(len(term) > 7)
-        return 0 if len(term) < 5 or len(term) > LONGEST else 1 if len(term) < 10 else 2
+            return int(len(term) > 5)
+        return 0 if len(term) < 4 or len(term) > LONGEST else 1 if len(term) < 10 else 2
 
     def match(self, words: list[str]) -> np.ndarray:
         """term * 4 + distance + 1 of each word's nearest term, of several the first, or 0."""
@@ -151,20 +152,40 @@ class Automaton:
 
 
 FEATURES = ("whole", "stems", "fuzzy", "window", "rate", "quoted", "length")
+#: A hit never lowers a score and a quoted one never raises it beyond that: the least and greatest coefficients.
+LEAST = np.array([0, 0, 0, 0, 0, -np.inf, -np.inf, -np.inf])
+GREATEST = np.array([np.inf, np.inf, np.inf, np.inf, np.inf, 0, np.inf, np.inf])
 
 
 @dataclass
-class Model:
+class Lexicon:
+    """Terms, what they weigh as they are and misspelled, and the usual words, which are no misspelling of a term."""
+
     terms: list[str]
-    weights: np.ndarray  # of the terms
+    weights: np.ndarray
+    misspelled: np.ndarray
+    automaton: Automaton
+    usual: dict[str, int] = field(default_factory=dict)  # the match of each word: itself a term, begun by a stem, or none
+
+    @staticmethod
+    def of(terms: list[str], weights: np.ndarray) -> Lexicon:
+        return Lexicon(terms, weights, weights, Automaton(terms))
+
+
+@dataclass
+class Model:
+    lexicon: Lexicon
     mean: np.ndarray
     scale: np.ndarray
     coefficients: np.ndarray
     bias: float
-    automaton: Automaton
+
+    @property
+    def terms(self) -> list[str]:
+        return self.lexicon.terms
 
     def reader(self) -> Reader:
-        return Reader(self.terms, self.weights, automaton=self.automaton)
+        return Reader(self.lexicon)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         z = (features - self.mean) / self.scale @ self.coefficients + self.bias
@@ -194,20 +215,42 @@ def quotations(text: str) -> list[tuple[int, int]]:
 class Reader:
     """Features of texts under a lexicon; remembers the words that it has met."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, remembered: int = 500_000, automaton: Automaton | None = None):
-        self.automaton, self.terms, self.weights, self.remembered = automaton or Automaton(terms), terms, weights, remembered
-        self.known: dict[str, int] = {}
+    def __init__(self, lexicon: Lexicon, remembered: int = 500_000):
+        self.lexicon, self.terms, self.remembered = lexicon, lexicon.terms, remembered
+        self.known = dict(lexicon.usual)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Matches the words that were not met before."""
+        if len(self.known) > self.remembered:
+            self.known = dict(self.lexicon.usual)
+        new = list(set(words).difference(self.known))
+        self.known.update(zip(new, self.lexicon.automaton.match(new).tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         lowered = [(t or "").lower() for t in texts]
         words = [WORDS.findall(t) for t in lowered]
-        if len(self.known) > self.remembered:
-            self.known = {}
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        self.known.update(zip(new, self.automaton.match(new).tolist(), strict=True))
+        self.learn({w for ws in words for w in ws})
         look = self.known.__getitem__
         return np.array([self._one(t, ws, list(map(look, ws))) for t, ws in zip(lowered, words, strict=True)]).reshape(len(texts), len(FEATURES))
 
+    def misspelled(self, text: str | None) -> str | None:
+        """The text with one letter of each hit doubled, dropped or replaced, by a hash of the word; None without a hit."""
+        lowered, changed = (text or "").lower(), False
+        self.learn(WORDS.findall(lowered))
+
+        def edit(m: re.Match) -> str:
+            nonlocal changed
+            word = m.group()
+            if self.known[word] % 4 != 1:
+                return word
+            changed = True
+            how = zlib.crc32(word.encode()) if len(word) > 1 else 0
+            at = how // 3 % len(word)
+            return word[:at] + (word[at] * 2, "", "x")[how % 3] + word[at + 1 :]
+
+        new = WORDS.sub(edit, lowered)
+        return new if changed else None
+
     def _one(self, text: str, words: list[str], found: list[int]) -> list[float]:
         hits = np.flatnonzero(np.array(found, np.int64)) if any(found) else ()
         length = math.log1p(len(words))
@@ -219,7 +262,7 @@ class Reader:
         at, value = [], []
         for i in hits.tolist():
             term, distance = divmod(found[i] - 1, 4)
-            w = float(self.weights[term])
+            w = float((self.lexicon.misspelled if distance else self.lexicon.weights)[term])
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
             before = bisect.bisect(quoted_spans, (places[i],)) - 1
             if (before >= 0 and places[i] < quoted_spans[before][1]) or not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i]):
@@ -228,7 +271,7 @@ class Reader:
             if not ADDRESS.isdisjoint(near):
                 w *= 1.3
             if distance:
-                w *= 0.6**distance
+                w *= 0.8 ** (distance - 1)
                 fuzzy += w
             elif self.terms[term].endswith("*"):
                 stems += w
@@ -425,15 +468,58 @@ def lexicon(sample: DataFrame, most: int = 300, support: float = 0.002, level: f
     return list(chosen), np.array(list(chosen.values()))
 
 
-def _with_features(docs: DataFrame, terms: list[str], weights: np.ndarray, automaton: Automaton, keep: list[str]) -> DataFrame:
+def _with_features(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """toxic and the features of each row of the sample, and again of each toxic row with its terms misspelled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms, weights, automaton=automaton)
+        reader = Reader(lexicon)
         for batch in pieces(batches, "text"):
-            values = reader.features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v) for v in values.T)], [*keep, *FEATURES])
+            texts, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
+            again = [new for t, y in zip(texts, toxic, strict=True) if y and (new := reader.misspelled(t))]
+            values = reader.features([*texts, *again])
+            yield pa.RecordBatch.from_arrays([pa.array([*toxic, *[1] * len(again)], pa.int32()), *(pa.array(v) for v in values.T)], ["toxic", *FEATURES])
+
+    return mapped(sample.select("text", "toxic"), run, ", ".join(["toxic int", *(f"{f} double" for f in FEATURES)]))
+
+
+def usual_words(sample: DataFrame, automaton: Automaton, support: float = 0.001, least: int = 5, most: int = 100_000) -> dict[str, int]:
+    """The words that clean rows of the sample have in common (``least`` rows and a share of ``support``), with their exact matches.
+
+    These are spelled as they are meant. They are as many as the sample gives, ``most`` at the utmost.
+    """
+    clean = sample.filter("toxic = 0")
+    rows = clean.count()
+    words = _mapped(clean, lambda words, _: ((w,) for w in words), {"word": "string"}, counted=True).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(least, support * rows))
+    found = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return {w: c if c % 4 == 1 else 0 for w, c in zip(found, automaton.match(found).tolist(), strict=True)}
+
 
-    schema = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{f} double" for f in FEATURES])
-    return mapped(docs.select(*keep, "text"), run, schema)
+def learned_misspellings(sample: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """What a term weighs where it is met by an edit: by how many toxic rows have it, and how many clean rows meet it so.
+
+    A term near which many clean words are thus weighs little or nothing: its log odds less their
+    standard error, but never more than the term itself and never less than 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, counts = Reader(lexicon), Counter()
+        for batch in batches:
+            words = [set(WORDS.findall((t or "").lower())) for t in batch.column("text").to_pylist()]
+            reader.learn(set().union(*words))
+            for ws, toxic in zip(words, batch.column("toxic").to_pylist(), strict=True):
+                codes = {reader.known[w] for w in ws} - {0}
+                counts.update({((c - 1) // 4, toxic) for c in codes if (c % 4 == 1) == bool(toxic)})
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.int32()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "toxic", "n"])
+
+    rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = np.zeros(len(lexicon.terms), int), np.zeros(len(lexicon.terms), int)
+    for r in mapped(sample.select("text", "toxic"), run, "term int, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n")).collect():
+        (bad if r["toxic"] else good)[r["term"]] = r["n"]
+    out = np.zeros(len(lexicon.terms))
+    for t, (a, b) in enumerate(zip(bad.tolist(), good.tolist(), strict=True)):
+        odds = math.log((a + 0.5) / (rows.get(1, 0) + 1)) - math.log((b + 0.5) / (rows.get(0, 0) + 1))
+        out[t] = min(max(0.0, odds - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))), lexicon.weights[t])
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
@@ -460,12 +546,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str
         share = F.when(F.col("toxic") == 1, sample_rows / max(1, rows.get(1, 0))).otherwise(sample_rows / max(1, rows.get(0, 0)))
         sample = written(sample.filter(F.pmod(F.xxhash64(F.lit("rows"), "_id", "text"), F.lit(1 << 30)) < share * (1 << 30)), "toxicity-sample")
     sample = sample.select("text", "toxic")
-    terms, weights = lexicon(sample)
-    automaton = Automaton(terms)
-    rows = _with_features(sample, terms, weights, automaton, ["toxic"]).toPandas() if total else None
+    found = Lexicon.of(*lexicon(sample))
     base = total.get(1, 0) / max(1, sum(total.values()))
-    flat = Model(terms, weights, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), math.log((base + 1e-3) / (1 - base + 1e-3)), automaton)
-    if rows is None or rows["toxic"].nunique() < 2:
+    flat = Model(found, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), math.log((base + 1e-3) / (1 - base + 1e-3)))
+    if not found.terms:
+        return flat
+    found.usual = usual_words(sample, found.automaton)
+    found.misspelled = learned_misspellings(sample, found)
+    rows = _with_features(sample, found).toPandas()
+    if rows["toxic"].nunique() < 2:
         return flat
     x, y = rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(float)
     order = np.lexsort((*x.T, y))
@@ -474,15 +563,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, doc_id: str
     weight = np.where(y == 1, total[1] / y.sum(), total[0] / (1 - y).sum())
     weight /= weight.mean()
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    design = np.c_[(x - mean) / scale, np.ones(len(x))]
-    theta = np.zeros(design.shape[1])
-    ridge = np.r_[np.full(len(FEATURES), 1.0), 1e-6]
-    for _ in range(30):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        gradient = design.T @ (weight * (p - y)) + ridge * theta
-        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(ridge), gradient)
-        theta -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-    return Model(terms, weights, mean, scale, theta[:-1], float(theta[-1]), automaton)
+    theta = regression(np.c_[(x - mean) / scale, np.ones(len(x))], y, weight, np.r_[np.full(len(FEATURES), 1.0), 1e-6])
+    return Model(found, mean, scale, theta[:-1], float(theta[-1]))
+
+
+def regression(design: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Logistic regression whose coefficients stay between LEAST and GREATEST: one at a time by Newton's method."""
+    theta, z = np.zeros(design.shape[1]), np.zeros(len(design))
+    for _ in range(rounds):
+        before = theta.copy()
+        for j in range(len(theta)):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            gradient = design[:, j] @ (weight * (p - y)) + ridge[j] * theta[j]
+            curve = (design[:, j] ** 2) @ (weight * p * (1 - p)) + ridge[j]
+            new = np.clip(theta[j] - np.clip(gradient / max(curve, 1e-9), -1, 1), LEAST[j], GREATEST[j])
+            z += design[:, j] * (new - theta[j])
+            theta[j] = new
+        if np.abs(theta - before).max() < 1e-6:
+            break
+    return theta
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,3 +57,49 @@ def test_odd_rows_and_empty_tables(spark, rows, sf_dir, name):
         assert got[4]["n_tokens"] == 0 and got[0]["decoded_sha256"] == hashlib.sha256(rows[0][1].encode()).hexdigest()
     else:
         assert out.filter(F.col("doc_id") == 0).count() > 0
+
+
+def test_rows_and_not_ids_decide(spark, sf_dir):
+    """Clashing names, one id with several texts, copies without an id, ties, and a very long text."""
+    long = " ".join(f"long{i % 977} {i}" for i in range(60_000))
+    copy = " ".join(f"same{i}" for i in range(40))
+    rows = [(1, copy, "a"), (1, "something else altogether is said here by someone", "b"), (None, "no id but words enough to be compared", "c"), (None, "no id but words enough to be compared", "d"), (2, copy, "e"), (None, copy, "f"), (3, long, "g"), (4, long + " end", "h"), (5, None, "i"), (5, None, "j"), (6, "", "k"), (0, "x y", "l"), (7, "x y", "m")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, number string, row string, component_id string"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, tag, "r", "c") for i, t, tag in rows], schema)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    tags = {r["number"] for r in kept.collect()}
+    assert len(tags & {"c", "d"}) == 1 and tags - {"c", "d"} == set("abgijkl")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_clashing_columns_stay(spark, sf_dir, name):
+    columns = "number string, row string, size long, score double, at long, threshold long, label int, key string"
+    docs = spark.createDataFrame([(i, "w " * i + f"unlike {i} other", "en", "ab"[i % 2], 9, "n", "r", i, 0.5, 1, 2, 3, "k") for i in range(1, 30)], f"{SCHEMA}, {columns}")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+    assert out.columns == docs.columns and {(r["number"], r["key"], r["threshold"]) for r in out.collect()} == {("n", "k", 2)}
+
+
+def test_three_copies_at_most(spark, sf_dir):
+    rows = [(i, "", "en", "a", 0) for i in range(40)] + [(100, "one word", "en", "a", 8)] + [(200 + i, "many words are here " * 30, "en", "b", 1) for i in range(40)]
+    out = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), sf_dir)
+    assert max(r["count"] for r in out.groupBy("doc_id").count().collect()) == 3
+
+
+def test_what_a_stage_wrote_is_freed(spark, sf_dir, monkeypatch):
+    from parlance.llm import common
+
+    counts = {}
+
+    def stage(name, read):
+        def run(spark, docs, sf_dir):
+            counts[name] = [t.count() for t in read]
+            read.append(common.written(docs.limit(5), name))
+            return docs.filter("doc_id % 3 > 0")
+
+        return run
+
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage("one", seen)), ("two", stage("two", seen)), ("last", lambda spark, docs, sf_dir: docs)])
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0 and counts == {"one": [], "two": [0]}

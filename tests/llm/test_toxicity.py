@@ -51,7 +51,7 @@ def test_automaton_over_short_words():
 
 
 def test_quotation_counts_less():
-    reader = toxicity.Reader(["idiot"], np.array([5.0]))
+    reader = toxicity.Reader(toxicity.Lexicon.of(["idiot"], np.array([5.0])))
     plain, quoted, said = reader.features(["you are an idiot and a fool", 'they wrote "an idiot" in the paper', "the word idiot is old"])
     window = toxicity.FEATURES.index("window")
     assert plain[window] > quoted[window] and plain[window] > said[window] and quoted[toxicity.FEATURES.index("quoted")] > 0
@@ -138,3 +138,54 @@ def test_long_words_and_terms():
     automaton = toxicity.Automaton([term, "wordword*", "y" * 60])
     words = [term, term + "x", "wordword" + "z" * 200, "wordxword" + "z" * 100, "y" * 62, "y" * 63, "y" * 58, "", "é"]
     assert automaton.match(words).tolist() == [1, 0, 5, 6, 11, 0, 11, 0, 0] and automaton.match([]).tolist() == []
+
+
+def edited(text, terms, how):
+    """Each word that a term matches, with one letter changed in its middle."""
+    words, stems = {t for t in terms if not t.endswith("*")}, tuple(t[:-1] for t in terms if t.endswith("*"))
+
+    def change(m):
+        w, k = m.group(), len(m.group()) // 2
+        if w.lower() in words or w.lower().startswith(stems):
+            return {"doubled": w[:k] + w[k] * 2 + w[k + 1 :], "dropped": w[:k] + w[k + 1 :], "replaced": w[:k] + "q" + w[k + 1 :]}[how]
+        return w
+
+    return toxicity.WORDS.sub(change, text)
+
+
+def test_misspelled_texts_are_caught(spark):
+    """Held-out toxic texts with one edit in every term are still caught, and clean and quoting ones left alone."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").filter(held_out()).select("text", "toxic").collect()
+    bad, good = ([r["text"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    caught = lambda texts: (model.scores(model.reader().features(texts)) >= 0.5).mean()
+    assert caught(bad) > 0.85 and caught(good) < 0.02
+    for how in ("doubled", "dropped", "replaced"):
+        assert caught([edited(t, model.terms, how) for t in bad]) > 0.8
+    quoting = [" ".join(good[i % len(good)].split()[:60] + ["“" + w + "”" for w in ("idiot", "moron")] + good[i % len(good)].split()[60:200]) for i in range(40)]
+    assert caught(quoting) < 0.1
+    # No hit lowers a score.
+    assert (model.coefficients[:5] >= 0).all() and model.coefficients[toxicity.FEATURES.index("quoted")] <= 0
+    assert (model.lexicon.misspelled <= model.lexicon.weights + 1e-12).all() and (model.lexicon.misspelled >= 0).all()
+
+
+def test_usual_words_are_no_misspellings():
+    lexicon = toxicity.Lexicon.of(["idiot", "moro*"], np.array([3.0, 3.0]))
+    lexicon.usual = {"idiom": 0, "moroso": 5}
+    reader = toxicity.Reader(lexicon)
+    whole, stems, fuzzy = reader.features(["an idiom", "an idiox", "moroso", "idiot"])[:, :3].T
+    assert (whole > 0).tolist() == [False, False, False, True] and (stems > 0).tolist() == [False, False, True, False] and (fuzzy > 0).tolist() == [False, True, False, False]
+
+
+def test_bounded_regression():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 7))
+    y = (x[:, 0] - x[:, 2] + x[:, 5] + rng.normal(size=400) > 0).astype(float)
+    theta = toxicity.regression(np.c_[x, np.ones(400)], y, np.ones(400), np.full(8, 0.1))
+    assert (theta >= toxicity.LEAST).all() and (theta <= toxicity.GREATEST).all() and theta[0] > 0.5 and theta[2] == 0 and theta[5] == 0
+    # At a free coefficient the gradient is zero, at a bound it points beyond.
+    p = 1 / (1 + np.exp(-(np.c_[x, np.ones(400)] @ theta)))
+    gradient = np.c_[x, np.ones(400)].T @ (p - y) + 0.1 * theta
+    assert abs(gradient[[0, 6, 7]]).max() < 1e-3 and gradient[2] > 0 and gradient[5] < 0
