@@ -86,25 +86,22 @@ def audit(docs: DataFrame, at_least: int = 3, ranks: int = 200) -> DataFrame:
     language without kept terms gives pairs of value 0.
 
     Terms are counted in the tasks that read them, so a source with a third of all rows shuffles no more
-    than its different terms a task. Postings are grouped by (lang, term), of which a source has one row
-    each. The pairs are as many as the result itself has.
+    than its different terms a task. That is the one shuffle of terms. A posting list, one row, has a
+    language's sources that have the term; the result itself has every pair of these.
     """
-    occurrences = _counted(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
-    of_term = Window.partitionBy("lang", "term")
-    kept = occurrences.withColumn("within", F.sum("docs").over(of_term)).filter(F.col("within") >= at_least)
-    postings = written(kept.select("lang", "source", "term", "count", F.sum("count").over(of_term).alias("overall")), "divergence-postings")
+    occurrences = _counted(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    lists = occurrences.groupBy("lang", "term").agg(F.sum("docs").alias("within"), F.sum("count").alias("overall"), F.collect_list(F.struct("source", "count")).alias("list"))
+    postings = written(lists.filter(F.col("within") >= at_least).select("lang", "term", "overall", "list"), "divergence-postings")
 
     sources = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    in_source = postings.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    # A language's terms: each posting stands for its part of one.
-    vocabularies = postings.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
-    in_lang = in_source.groupBy("lang").agg(F.sum("total").alias("lang_total")).join(vocabularies, "lang")
+    in_source = postings.select("lang", F.inline("list")).groupBy("lang", "source").agg(F.sum("count").alias("total"))
+    in_lang = postings.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("overall").alias("lang_total"))
     groups = written(
         sources.join(in_source, ["lang", "source"], "left").join(in_lang, "lang", "left").select("lang", "source", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("total", "lang_total", "terms"))),
         "divergence-groups",
     )
-    known = postings.join(groups, ["lang", "source"])
-    pairs = _pairs(known, groups)
+    pairs = written(_pairs(postings, groups), "divergence-pairs")
+    known = postings.select("lang", "term", "overall", F.inline("list")).join(groups, ["lang", "source"])
     terms = known.select("lang", "source", F.col("term").cast("string").alias("item"), _share(F.col("count"), F.col("total"), F.col("terms")).alias("p"), _share(F.col("overall"), F.col("lang_total"), F.col("terms")).alias("q"))
     terms = terms.filter("p > q").select("lang", "source", F.lit("term").alias("part"), "item", _divergence(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item"))
@@ -113,7 +110,7 @@ def audit(docs: DataFrame, at_least: int = 3, ranks: int = 200) -> DataFrame:
     return pairs.select(*columns, rank).unionByName(terms.select(*columns, rank).filter(F.col("rank") <= ranks))
 
 
-def _pairs(known: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """The baseline of each ordered pair of sources, and the corrections that the postings emit.
 
     With f(p, q) of a term's shares in the pair's sources, p0 and q0 being those of a count of 0, the sum
@@ -122,7 +119,8 @@ def _pairs(known: DataFrame, groups: DataFrame) -> DataFrame:
         + sum of f(p, q0) - f(p0, q0) over the first source's terms,
         + sum of f(p0, q) - f(p0, q0) over the second one's,
         + sum of f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0) over the terms that both have.
-    The first two sums need only how many terms have each count.
+    The first two sums need only how many terms have each count; the last one is emitted by each posting
+    list for the pairs of its sources, in one direction, and summed before it is shuffled.
     """
     a = groups.select("lang", "terms", F.col("source").alias("a"), F.col("total").alias("a_total"))
     b = groups.select("lang", F.col("source").alias("b"), F.col("total").alias("b_total"))
@@ -132,18 +130,19 @@ def _pairs(known: DataFrame, groups: DataFrame) -> DataFrame:
     base = both.select("lang", "a", "b", F.when(n > 0, n * _divergence(zero_a, zero_b)).otherwise(0).alias("value"))
 
     # How many terms of a source have each count.
-    times = known.groupBy("lang", "source", "count").agg(F.count("*").alias("times"))
+    times = postings.select("lang", F.inline("list")).groupBy("lang", "source", "count").agg(F.count("*").alias("times"))
     one = both.filter("terms > 0").withColumn("zero", _divergence(zero_a, zero_b))
     first = one.join(times.withColumnRenamed("source", "a"), ["lang", "a"]).select("lang", "a", "b", (F.col("times") * (_divergence(_share(F.col("count"), total_a, n), zero_b) - F.col("zero"))).alias("value"))
     second = one.join(times.withColumnRenamed("source", "b"), ["lang", "b"]).select("lang", "a", "b", (F.col("times") * (_divergence(zero_a, _share(F.col("count"), total_b, n)) - F.col("zero"))).alias("value"))
 
     # Terms that both have: each two sources meet once, and the correction is that of both directions.
-    left = known.select("lang", "term", "terms", F.col("source").alias("a"), F.col("total").alias("a_total"), F.col("count").alias("a_count"))
-    right = known.select("lang", "term", F.col("source").alias("b"), F.col("total").alias("b_total"), F.col("count").alias("b_count"))
-    shared = left.join(right, ["lang", "term"]).filter("a < b")
-    shared = shared.select("lang", "a", "b", _share(F.col("a_count"), total_a, n).alias("p"), _share(F.col("b_count"), total_b, n).alias("q"), zero_a.alias("p0"), zero_b.alias("q0"))
+    left = postings.select("lang", "list", F.inline("list")).select("lang", "list", F.col("source").alias("a"), F.col("count").alias("a_count"))
+    met = left.select("lang", "a", "a_count", F.explode(F.filter("list", lambda x: x["source"] > F.col("a"))).alias("x")).select("lang", "a", "a_count", F.col("x.source").alias("b"), F.col("x.count").alias("b_count"))
+    met = met.groupBy("lang", "a", "b", "a_count", "b_count").agg(F.count("*").alias("times"))
+    shared = met.join(both.filter("a < b"), ["lang", "a", "b"])
+    shared = shared.select("lang", "a", "b", "times", _share(F.col("a_count"), total_a, n).alias("p"), _share(F.col("b_count"), total_b, n).alias("q"), zero_a.alias("p0"), zero_b.alias("q0"))
     p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
-    correction = lambda p, q, p0, q0: _divergence(p, q) - _divergence(p, q0) - _divergence(p0, q) + _divergence(p0, q0)
+    correction = lambda p, q, p0, q0: F.col("times") * (_divergence(p, q) - _divergence(p, q0) - _divergence(p0, q) + _divergence(p0, q0))
     shared = shared.groupBy("lang", "a", "b").agg(F.sum(correction(p, q, p0, q0)).alias("there"), F.sum(correction(q, p, q0, p0)).alias("back"))
     shared = shared.select("lang", F.explode(F.array(F.struct("a", "b", F.col("there").alias("value")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("value")))).alias("x")).select("lang", "x.a", "x.b", "x.value")
 

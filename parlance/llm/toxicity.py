@@ -38,6 +38,8 @@ ADDRESS = frozenset("you your youre u ur yourself du dich dir dein ihr euch tu t
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", '"': '"'}
 MARKS = re.compile(r"(?<!\w)[‘’]|[‘’](?!\w)|[“”„«»\"\n]")
 STEM = range(4, 9)
+#: What remains of a misspelling's weight where the word is a usual one.
+USUAL = 0.001
 #: Longer terms allow no edit: the automaton of a word is a row of 64 bits. So many words are read together.
 LONGEST, AT_ONCE = 60, 1 << 14
 #: A task sends on its counts when they are of so many different things.
@@ -165,7 +167,7 @@ class Lexicon:
     weights: np.ndarray
     misspelled: np.ndarray
     automaton: Automaton
-    usual: dict[str, int] = field(default_factory=dict)  # the match of each word: itself a term, begun by a stem, or none
+    usual: dict[str, int] = field(default_factory=dict)  # with the match of each
 
     @staticmethod
     def of(terms: list[str], weights: np.ndarray) -> Lexicon:
@@ -271,7 +273,7 @@ class Reader:
             if not ADDRESS.isdisjoint(near):
                 w *= 1.3
             if distance:
-                w *= 0.8 ** (distance - 1)
+                w *= 0.8 ** (distance - 1) * (USUAL if words[i] in self.lexicon.usual else 1)
                 fuzzy += w
             elif self.terms[term].endswith("*"):
                 stems += w
@@ -483,15 +485,16 @@ def _with_features(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def usual_words(sample: DataFrame, automaton: Automaton, support: float = 0.001, least: int = 5, most: int = 100_000) -> dict[str, int]:
-    """The words that clean rows of the sample have in common (``least`` rows and a share of ``support``), with their exact matches.
+    """The words that clean rows of the sample have in common (``least`` rows and a share of ``support``), with their matches.
 
-    These are spelled as they are meant. They are as many as the sample gives, ``most`` at the utmost.
+    These are spelled as they are meant, so near a term they weigh next to nothing. They are as many as the
+    sample gives, ``most`` at the utmost.
     """
     clean = sample.filter("toxic = 0")
     rows = clean.count()
     words = _mapped(clean, lambda words, _: ((w,) for w in words), {"word": "string"}, counted=True).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(least, support * rows))
     found = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
-    return {w: c if c % 4 == 1 else 0 for w, c in zip(found, automaton.match(found).tolist(), strict=True)}
+    return dict(zip(found, automaton.match(found).tolist(), strict=True))
 
 
 def learned_misspellings(sample: DataFrame, lexicon: Lexicon) -> np.ndarray:
@@ -507,7 +510,7 @@ def learned_misspellings(sample: DataFrame, lexicon: Lexicon) -> np.ndarray:
             words = [set(WORDS.findall((t or "").lower())) for t in batch.column("text").to_pylist()]
             reader.learn(set().union(*words))
             for ws, toxic in zip(words, batch.column("toxic").to_pylist(), strict=True):
-                codes = {reader.known[w] for w in ws} - {0}
+                codes = {c for w in ws if (c := reader.known[w]) % 4 == 1 or (c and w not in lexicon.usual)}
                 counts.update({((c - 1) // 4, toxic) for c in codes if (c % 4 == 1) == bool(toxic)})
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.int32()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "toxic", "n"])
 

@@ -89,17 +89,13 @@ def test_three_copies_at_most(spark, sf_dir):
 def test_what_a_stage_wrote_is_freed(spark, sf_dir, monkeypatch):
     from parlance.llm import common
 
-    counts = {}
+    paths, counts = [], []
+    held = lambda: [spark.read.schema("doc_id long").parquet(p).count() for p in paths]
 
-    def stage(name, read):
-        def run(spark, docs, sf_dir):
-            counts[name] = [t.count() for t in read]
-            read.append(common.written(docs.limit(5), name))
-            return docs.filter("doc_id % 3 > 0")
+    def stage(spark, docs, sf_dir):
+        counts.append(held())
+        paths.append(common.written(docs.limit(5), "mine").inputFiles()[0].rpartition("/")[0])
+        return docs.filter("doc_id % 3 > 0")
 
-        return run
-
-    seen = []
-    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage("one", seen)), ("two", stage("two", seen)), ("last", lambda spark, docs, sf_dir: docs)])
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and counts == {"one": [], "two": [0]}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("last", lambda spark, docs, sf_dir: docs)])
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0 and counts == [[], [0]] and held() == [0, 0]
