@@ -1,37 +1,19 @@
-"""Ranking of passages: postings and BM25, vectors, fusion, neighbours."""
+"""Ranking of passages: BM25 of one question without an index, and fusion of two rankings."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import query_terms, tokens
-from parlance.functions.values import dot
-from parlance.operators.joins import for_audience, neighbours
+from parlance.functions.text import tokens
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 DAMPING = 60
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, len): the terms of each text with their counts, made within the row without a shuffle."""
-    bag = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("len"), "_t", F.explode(F.array_distinct("_t")).alias("term"))
-    return bag.select(key, "len", "term", F.size(F.filter("_t", lambda t: t == F.col("term"))).alias("tf"))
-
-
-def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): each text sends a term once, and sums are taken before they are shuffled."""
-    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def corpus(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(n_docs, avg_len) of the whole table, whatever the audience: one pass without a shuffle of texts."""
-    return docs.select(F.size(tokens(F.col(text))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-
-
 def _equals(word: str) -> Callable[[Column], Column]:
     return lambda t: t == F.lit(word)
 
@@ -58,50 +40,7 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     return matched.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
 
 
-def ranked(rows: DataFrame, score: str, key: str, most: int) -> DataFrame:
-    """The ``most`` best rows with pos, from 0. The window is over those few."""
-    top = rows.orderBy(F.desc(score), key).limit(most)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)
-
-
-def nearest(vectors: DataFrame, query: Column, key: str, vector: str, most: int) -> DataFrame:
-    """(key, score): exhaustive, by dot product; vectors of another width and results that aren't finite drop out."""
-    scored = vectors.select(key, vector).withColumn("score", dot(F.col(vector), query))
-    fine = scored.filter((F.size(vector) == F.size(query)) & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
-    return fine.select(key, "score").orderBy(F.desc("score"), key).limit(most)
-
-
 def fused(lexical: DataFrame, semantic: DataFrame, key: str, damping: int = DAMPING) -> DataFrame:
     """(key, score): sum of 1 / (damping + pos + 1) over two ranked lists."""
     both = lexical.select(key, "pos").unionByName(semantic.select(key, "pos"))
     return both.groupBy(key).agg(F.sum(F.lit(1.0) / (F.col("pos") + damping + 1)).alias("score"))
-
-
-def terms_of(question: str, docs: DataFrame) -> list[str]:
-    """The folded search terms of a question, one row on the driver."""
-    row = docs.sparkSession.range(1).select(F.flatten(F.transform(query_terms(F.lit(question)), tokens)).alias("t")).first()
-    return list(dict.fromkeys(row["t"]))
-
-
-def retrieve(docs: DataFrame, vectors: DataFrame, links: DataFrame, visible: DataFrame, terms: list[str], query_vector: list[float], most: int = 20, depth: int = 60, seeds: int = 3, near: int = 4, decay: float = 0.55) -> DataFrame:
-    """(doc_id, score, origin): what the audience may see for a question, best first.
-
-    Lexical and semantic hits are fused by rank; if one list is empty the other stays as it is. The
-    first ``seeds`` channels' best passages lead to ``near`` neighbours by shared links, whose own
-    lexical scores count ``decay`` times. ``docs``: doc_id, text; ``vectors``: doc_id, embedding. The lists
-    are ``depth`` rows at most; only they meet in one place.
-    """
-    hits = for_audience(bm25(docs, terms), visible, "doc_id")
-    lexical = ranked(hits, "score", "doc_id", depth)
-    close = for_audience(vectors, visible, "doc_id")
-    semantic = ranked(nearest(close, F.lit(query_vector), "doc_id", "embedding", depth), "score", "doc_id", depth)
-    both = lexical.select("doc_id", "score", F.lit(1).alias("list"), "pos").unionByName(semantic.select("doc_id", "score", F.lit(2).alias("list"), "pos"))
-    lists = both.agg(F.count_distinct("list").alias("lists"))
-    merged = both.groupBy("doc_id").agg(F.sum(F.lit(1.0) / (F.col("pos") + DAMPING + 1)).alias("rrf"), F.max("score").alias("plain"), F.min(F.struct("list", "pos")).alias("place"))
-    direct = merged.crossJoin(F.broadcast(lists)).select("doc_id", F.when(F.col("lists") > 1, F.col("rrf")).otherwise(F.col("plain")).alias("score"), "place")  # one row
-    first = direct.orderBy("place").limit(seeds).select("doc_id")
-    around = neighbours(links, first, visible, near).select("doc_id")
-    reached = hits.join(around, "doc_id", "left_semi").select("doc_id", (F.col("score") * decay).alias("score"), F.lit("neighbour").alias("origin"))
-    found = direct.select("doc_id", "score", F.lit("direct").alias("origin")).unionByName(reached)
-    best = found.groupBy("doc_id").agg(F.max_by(F.struct("score", "origin"), "score").alias("b")).select("doc_id", "b.score", "b.origin")
-    return best.orderBy(F.desc("score"), "doc_id").limit(most)

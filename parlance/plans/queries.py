@@ -7,6 +7,7 @@ what the audience may see are documents of good quality; tasks are orders; voice
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as t
 from parlance.functions import values as v
-from parlance.operators import folds, joins, ranking
+from parlance.operators import folds, index, joins, ranking, retrieval, vectors
+from parlance.sources.stored import passage_index, scratch_dir, written
 from parlance.sources.tables import links, read, utterances, visible
 from parlance.streaming import sessions
 
@@ -22,7 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 TODAY = dt.date(1998, 8, 2)
-QUESTION = "que the and of with tion reer"
 FOLD = "trim(regexp_replace(translate(lower({0}), 'áàäâéèëêíìïîóòöôúùüûñ', 'aaaaeeeeiiiioooouuuun'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 UTTERANCES = "u AS (SELECT conv_id AS meeting_id, turn AS seq, CASE WHEN role = 'system' THEN 'user' ELSE role END AS speaker, turn * 1000 AS start_ms, turn * 1000 + strlen(text) AS end_ms, text FROM conversations)"
 LINKS = "links AS (SELECT doc_id, 'channel' AS kind, source AS key FROM documents UNION ALL SELECT doc_id, 'folder', lang FROM documents), visible AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)"
@@ -255,9 +256,9 @@ TOKENS = f"list_filter(regexp_split_to_array(translate(regexp_replace(lower(text
 
 @query(f"WITH w AS (SELECT doc_id, {TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len FROM w), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM w) GROUP BY term) SELECT term, df, n_docs, avg_len FROM df, s")
 def agg_22_corpus_stats(spark, d):
-    docs = read(spark, d, "documents")
-    df = ranking.document_frequency(docs)
-    return df.crossJoin(F.broadcast(ranking.corpus(docs).withColumn("avg_len", F.round("avg_len", 6))))  # one row
+    found = passage_index(spark, d)
+    n_docs, average = index.totals(spark, found)
+    return index.document_frequency(spark, found).select("term", "df", F.lit(n_docs).cast("long").alias("n_docs"), F.round(F.lit(average), 6).alias("avg_len"))
 
 
 @query("SELECT count(*) FILTER (event_type <> 'error') AS separate, count(*) FILTER (event_type = 'error') AS mixed FROM events")
@@ -315,16 +316,14 @@ def win_14_pages(spark, d):
 # Top-k and sets
 
 
-@query("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 60")
-def top_2_semantic(spark, d):
-    e = read(spark, d, "embeddings")
-    return _nearest_to(e, 0, 60).withColumn("score", F.round("score", 6))
+NEAREST = "near AS (SELECT q.vec_id AS question, e.vec_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0)"
 
 
-def _nearest_to(e: DataFrame, vec_id: int, most: int) -> DataFrame:
-    row = e.filter(F.col("vec_id") == vec_id).select("embedding").first()
-    query_vector = F.lit([float(x) for x in row["embedding"]] if row else [])
-    return ranking.nearest(e, query_vector, "vec_id", "embedding", most)
+@query(f"WITH {NEAREST} SELECT question, vec_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) - 1)::INTEGER AS pos FROM near QUALIFY pos < 60")
+def top_2_semantic(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    asked = e.filter("key % 50 = 0").withColumnRenamed("key", "question")
+    return vectors.nearest_many(e, asked, 60).select("question", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "pos")
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS nth FROM documents) WHERE nth <= 3")
@@ -409,14 +408,54 @@ bm AS (SELECT doc_id, sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
 def scl_t2_bm25(spark, d):
-    return ranking.bm25(read(spark, d, "documents"), ["the", "of", "ererst", "tion"]).withColumn("score", F.round("score", 6))
+    return index.scores(passage_index(spark, d), _asked(spark)).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY bm.score DESC, doc_id LIMIT 60")
 def top_1_lexical(spark, d):
-    hits = ranking.bm25(read(spark, d, "documents"), ["the", "of", "ererst", "tion"])
-    seen = joins.for_audience(hits, visible(read(spark, d, "labels")), "doc_id")
-    return seen.orderBy(F.desc("score"), "doc_id").limit(60).withColumn("score", F.round("score", 6))
+    audience = visible(read(spark, d, "labels")).withColumnRenamed("doc_id", "key")
+    return index.search(passage_index(spark, d), _asked(spark), 60, audience).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, ["the", "of", "ererst", "tion"])], "question long, terms array<string>")
+
+
+# Each passage whose id is divisible by 50 asks with its own text; ties of scores are broken by ids at nine places.
+STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
+MANY = f"""w AS (SELECT doc_id, {TOKENS} AS t FROM {{docs}}),
+bag AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM w) GROUP BY ALL), dl AS (SELECT doc_id, len(t) AS dl FROM w),
+s AS (SELECT count(*) AS n, avg(dl) AS avg_len FROM dl), df AS (SELECT term, count(*) AS df FROM bag GROUP BY term),
+raw AS (SELECT doc_id AS question, generate_subscripts(p, 1) AS place, unnest(p) AS word FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS p FROM documents WHERE doc_id % 50 = 0)),
+firsts AS (SELECT question, word, min(place) AS place FROM raw WHERE length(word) >= 3 AND word NOT IN ({STOP}) GROUP BY question, word QUALIFY row_number() OVER (PARTITION BY question ORDER BY min(place)) <= 24),
+q AS (SELECT DISTINCT question, unnest({TOKENS.replace("text", "word")}) AS term FROM firsts),
+bm AS (SELECT question, doc_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 9) AS score FROM q JOIN bag USING (term) JOIN df USING (term) JOIN dl USING (doc_id), s GROUP BY ALL)"""
+
+
+def own_questions(docs: DataFrame) -> DataFrame:
+    """(question, terms): the search terms of each passage whose id is divisible by 50."""
+    return docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("question"), F.array_distinct(F.flatten(F.transform(t.query_terms(F.col("text")), t.tokens))).alias("terms"))
+
+
+@query(f"WITH {MANY.replace('{docs}', 'documents')} SELECT question, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) - 1)::INTEGER AS pos FROM bm WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) QUALIFY pos < 60")
+def top_1_many_questions(spark, d):
+    asked = own_questions(read(spark, d, "documents"))
+    audience = visible(read(spark, d, "labels")).withColumnRenamed("doc_id", "key")
+    return index.search(passage_index(spark, d), asked, 60, audience).select("question", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
+
+
+CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || ' Nachtrag ' || doc_id ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+@query(f"WITH {MANY.replace('{docs}', CHANGED)} SELECT question, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) - 1)::INTEGER AS pos FROM bm QUALIFY pos < 60")
+def upd_1_index_segments(spark, d):
+    """The search after an update: changed and removed passages are a segment of their own."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    grown = index.Index(f"{scratch_dir(spark)}/grown-{uuid.uuid4().hex}")
+    index.add_segment(grown, docs)
+    changed = docs.filter("doc_id % 7 <> 3 AND doc_id % 4 = 1").withColumn("text", F.concat("text", F.lit(" Nachtrag "), "doc_id"))
+    index.add_segment(grown, changed, docs.filter("doc_id % 7 = 3 OR doc_id % 4 = 1"))
+    return index.search(grown, own_questions(docs), 60).select("question", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
 
 
 @query("""SELECT doc_id, CASE WHEN p > 43 THEN '…' ELSE '' END || trim(regexp_replace(l, '\\s+', ' ', 'g')) || CASE WHEN regexp_matches(l, '\\s$') AND trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '' THEN ' ' ELSE '' END AS before, substr(text, p, 4) AS matched,
@@ -712,11 +751,45 @@ def view_6_owner_groups(spark, d):
     return n.join(read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("owner")), "n_nationkey").select("owner", "n", "pending")
 
 
-@query()
+# Four passages are a meeting; a meeting's links are its channels and folders, and its day is for ties.
+WEIGHT = "CASE {0} WHEN 'decision' THEN 1.15 WHEN 'task' THEN 1.15 WHEN 'transcript' THEN 1.0 ELSE 1.05 END::DOUBLE"
+KINDS = ("decision", "transcript", "overview", "transcript", "key_point", "task")
+ANSWERS = f"""WITH {MANY.replace("{docs}", "documents")}, {NEAREST},
+vis AS (SELECT DISTINCT doc_id // 4 AS meeting FROM labels WHERE quality = 1),
+cards AS (SELECT doc_id AS key, doc_id // 4 AS meeting, {list(KINDS)}[doc_id % 6 + 1] AS kind, doc_id * 1000 AS start_ms, doc_id // 4 % 30 AS started_at, sha256(coalesce(text, '')) AS said FROM documents WHERE doc_id // 4 IN (FROM vis)),
+lex AS (SELECT question, key, b.score, row_number() OVER (PARTITION BY question ORDER BY b.score DESC, key) - 1 AS pos, 1 AS list FROM bm b JOIN cards c ON c.key = b.doc_id QUALIFY pos < 60),
+sem AS (SELECT question, key, n.score, row_number() OVER (PARTITION BY question ORDER BY n.score DESC, key) - 1 AS pos, 2 AS list FROM near n JOIN cards c ON c.key = n.vec_id WHERE question IN (SELECT doc_id FROM documents) QUALIFY pos < 60),
+lists AS (SELECT *, list * 1000 + pos AS place, 1 + (min(list) OVER (PARTITION BY question) <> max(list) OVER (PARTITION BY question))::INTEGER AS n FROM (FROM lex UNION ALL FROM sem) JOIN cards USING (key)),
+one AS (SELECT question, meeting, said, n, min(place) AS place, arg_min(key, place) AS key, arg_min(kind, place) AS kind, arg_min(score, place) AS raw, arg_min(list, place) AS list, arg_min(started_at, place) AS started_at, sum(1e0 / (60 + pos + 1)) AS ranks FROM lists GROUP BY question, meeting, said, n, CASE WHEN n = 1 THEN key END),
+direct AS (SELECT question, meeting, said, key, started_at, place, round(CASE WHEN n > 1 THEN ranks * {WEIGHT.format("kind")} WHEN list = 1 THEN raw * {WEIGHT.format("kind")} ELSE raw END, 9) AS score, 'direct' AS origin FROM one),
+seeds AS (SELECT question, meeting FROM direct WHERE question IN (SELECT question FROM q) GROUP BY question, meeting QUALIFY row_number() OVER (PARTITION BY question ORDER BY min(place)) <= 3),
+best AS (SELECT question, arg_min(score, place) AS best FROM direct GROUP BY question),
+lk AS (SELECT DISTINCT doc_id // 4 AS meeting, 'channel' AS kind, source AS link FROM documents WHERE source IS NOT NULL UNION ALL SELECT DISTINCT doc_id // 4, 'folder', lang FROM documents WHERE lang IS NOT NULL),
+nb AS (SELECT s.question, o.meeting, row_number() OVER (PARTITION BY s.question ORDER BY count(*) DESC, o.meeting) AS nth FROM seeds s JOIN lk a ON a.meeting = s.meeting JOIN lk o ON o.kind = a.kind AND o.link = a.link
+  WHERE o.meeting IN (FROM vis) AND (s.question, o.meeting) NOT IN (SELECT (question, meeting) FROM seeds) GROUP BY s.question, o.meeting QUALIFY nth <= 4),
+theirs AS (SELECT * FROM nb JOIN cards USING (meeting)),
+matched AS (SELECT h.question, meeting, said, key, started_at, 1000 * (nth + 2) + row_number() OVER (PARTITION BY h.question, meeting ORDER BY b.score DESC, key) AS place, round(b.score * {WEIGHT.format("kind")} * 0.55, 9) AS score, 'neighbour' AS origin
+  FROM theirs h JOIN bm b ON b.question = h.question AND b.doc_id = h.key QUALIFY row_number() OVER (PARTITION BY h.question, meeting ORDER BY b.score DESC, key) <= 3),
+ranked AS (SELECT *, CASE kind WHEN 'overview' THEN 0 WHEN 'decision' THEN 1 WHEN 'key_point' THEN 2 WHEN 'transcript' THEN 3 END AS rank FROM theirs h WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.question = h.question AND m.meeting = h.meeting)),
+told AS (SELECT *, row_number() OVER (PARTITION BY question, meeting ORDER BY rank, CASE WHEN rank = 3 THEN start_ms END NULLS FIRST, key) AS mth FROM ranked WHERE rank IS NOT NULL),
+context AS (SELECT question, meeting, said, key, started_at, 1000 * (nth + 2) + mth AS place, round(best * 0.25, 9) AS score, 'context' AS origin FROM told JOIN best USING (question) WHERE mth <= 3 AND (rank < 3 OR mth = 1)),
+kept AS (SELECT *, lag((meeting, said)) OVER o IS DISTINCT FROM (meeting, said) AS new FROM (FROM direct UNION ALL BY NAME FROM matched UNION ALL BY NAME FROM context) WINDOW o AS (PARTITION BY question ORDER BY score DESC, started_at DESC, place, key))
+SELECT question, (row_number() OVER (PARTITION BY question ORDER BY score DESC, started_at DESC, place, key) - 1)::INTEGER AS pos, key AS doc_id, meeting, round(score, 6) AS score, origin FROM kept WHERE new QUALIFY pos < 20"""
+
+
+def _cards(docs: DataFrame) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("doc_id") % 6)
+    meeting = F.floor(F.col("doc_id") / 4).cast("long")
+    return docs.select(F.col("doc_id").alias("key"), meeting.alias("meeting"), kind.alias("kind"), (F.col("doc_id") * 1000).alias("start_ms"), (meeting % 30).alias("started_at"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("said"))
+
+
+@query(ANSWERS)
 def retrieve_full(spark, d):
     docs = read(spark, d, "documents")
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    row = e.filter("doc_id = 0").first()
-    question = [float(x) for x in row["embedding"]] if row else []
-    found = ranking.retrieve(docs, e, links(docs), visible(read(spark, d, "labels")), ranking.terms_of(QUESTION, docs), question)
-    return found.withColumn("score", F.round("score", 6))
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    asked = own_questions(docs).join(e.withColumnRenamed("key", "question"), "question", "left")
+    meeting = F.floor(F.col("doc_id") / 4).cast("long").alias("meeting")
+    of_meeting = links(docs).select(meeting, "kind", "key").distinct()
+    seen = visible(read(spark, d, "labels")).select(meeting).distinct()
+    found = retrieval.retrieve(passage_index(spark, d), written(_cards(docs), "cards"), e, of_meeting, seen, asked)
+    return found.select("question", "pos", F.col("key").alias("doc_id"), "meeting", F.round("score", 6).alias("score"), "origin")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import library, scalars, streams  # noqa: F401  (they add their queries)
+from parlance.plans import library, more, scalars, streams, timers  # noqa: F401  (they add their queries)
 from parlance.plans import queries as plans
 
 FLAGSHIP = "top_1_lexical"

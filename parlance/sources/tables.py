@@ -31,3 +31,9 @@ def links(documents: DataFrame) -> DataFrame:
 def visible(labels: DataFrame) -> DataFrame:
     """Ids that the audience may see."""
     return labels.filter("quality = 1").select("doc_id").distinct()
+
+
+def installed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, bytes) of the files in a folder and those below it. Their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
