@@ -48,10 +48,11 @@ def items(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
     A list (ul, ol) has an item for each line; a paragraph (p) has one, its lines trimmed and joined by
     spaces. Texts are cut within their rows; nothing is shuffled.
     """
-    found = runs(rows, text, *keep).select(*keep, F.posexplode("runs").alias("block", "r")).select(*keep, "block", "r.kind", F.transform("r.lines", lambda x: x["line"]).alias("lines"))
+    # Outer generators: Spark would put a filter on what an inner one takes below, and make that anew for it.
+    found = runs(rows, text, *keep).select(*keep, F.posexplode_outer("runs").alias("block", "r")).filter("block IS NOT NULL").select(*keep, "block", "r.kind", F.transform("r.lines", lambda x: x["line"]).alias("lines"))
     bare = F.transform("lines", lambda x: F.regexp_replace(x, F.when(F.col("kind") == "ul", BULLET).otherwise(NUMBER), F.lit("")))
     texts = F.when(F.col("kind") == "p", F.array(F.array_join(F.transform("lines", _trimmed), " "))).otherwise(bare)
-    return found.select(*keep, "block", "kind", F.posexplode(texts).alias("item", "text")).select(*keep, "block", "kind", "item", inline(F.col("text")).alias("nodes"))
+    return found.select(*keep, "block", "kind", F.posexplode_outer(texts).alias("item", "text")).select(*keep, "block", "kind", "item", inline(F.col("text")).alias("nodes"))
 
 
 def blocks(rows: DataFrame, text: Column, key: str) -> DataFrame:

@@ -53,7 +53,8 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     # Used twice each, so that they are evaluated once a row and not in the lambdas.
     starts = words.select("key", "_w", F.filter(F.sequence(F.lit(0), F.size("_w")), lambda i: (i < F.size("_w")) & ((i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))).alias("_s"))
     runs = F.transform("_s", lambda i, k: F.struct(F.get("_w", i).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_w")) - i).alias("tf")))
-    return starts.select("key", F.size("_w").alias("len"), F.inline(runs))
+    # Outer: Spark would put a filter on what an inner generator takes below, and make that anew for it.
+    return starts.select("key", F.size("_w").alias("len"), F.inline_outer(runs)).filter("term IS NOT NULL")
 
 
 def lengths(docs: DataFrame, text: str) -> DataFrame:

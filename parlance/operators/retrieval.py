@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import kind_weight
 from parlance.operators import index, vectors
 from parlance.operators.ranking import DAMPING
+from parlance.sources.stored import written
 
 PLACES = index.PLACES
 
@@ -78,16 +79,18 @@ def retrieve(words: index.Index, cards: DataFrame, embedded: DataFrame, links: D
     weight = kind_weight(F.col("first.kind"))
     alone = F.when(F.col("first.list") == 1, F.col("first.score") * weight).otherwise(F.col("first.score"))
     direct = one.select("question", "meeting", "said", "place", "first.key", "first.started_at", F.round(F.when(F.col("lists") > 1, F.col("ranks") * weight).otherwise(alone), PLACES).alias("score"))
+    # Used several times below; written, so that both rankings are made once.
+    direct = written(direct, "direct")
 
     meetings = direct.groupBy("question", "meeting").agg(F.min("place").alias("place"))
     seeds = _first(meetings, ["question"], ["place"], limits.seeds).join(asked.select("question"), "question", "left_semi").select("question", "meeting")
     best = direct.groupBy("question").agg(F.min_by("score", "place").alias("best"))
-    around = neighbours(links, seeds, visible, limits.near, limits.seeds)
+    around = written(neighbours(links, seeds, visible, limits.near, limits.seeds), "around")
 
     theirs = around.join(cards, "meeting")
     scored = index.scores(words, asked, theirs.select("question", "key"))
     matched = _first(theirs.join(scored, ["question", "key"]), ["question", "meeting"], [F.desc("score"), "key"], limits.of_neighbour, "mth")
-    matched = matched.withColumn("score", F.col("score") * kind_weight(F.col("kind")) * limits.decay)
+    matched = written(matched.withColumn("score", F.col("score") * kind_weight(F.col("kind")) * limits.decay), "matched")
     silent = theirs.join(matched.select("question", "meeting"), ["question", "meeting"], "left_anti")
     # What was distilled, in this order; where there is nothing, how the meeting began.
     rank = F.when(F.col("kind") == "overview", 0).when(F.col("kind") == "decision", 1).when(F.col("kind") == "key_point", 2).when(F.col("kind") == "transcript", 3)
