@@ -117,10 +117,10 @@ class _Processor(StatefulProcessor):
         for name, value in after.items():
             if before.get(name) != value:
                 self.kept.updateValue((name,), (value,))
-        if len(ready):
+        if len(ready) and len(rest):
+            self.waiting.put(list(rest.itertuples(index=False, name=None)))
+        elif len(ready):
             self.waiting.clear()
-            if len(rest):
-                self.waiting.put(list(rest.itertuples(index=False, name=None)))
         wakings = [int(t) for t in [rest["at_ms"].min() if len(rest) else None, fold.due()] if t is not None]
         if wakings:
             self.handle.registerTimer(min(wakings))

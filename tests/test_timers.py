@@ -41,15 +41,18 @@ SCHEMA = "key long, at_ms long, row_id long, present boolean"
 
 def test_liveness_and_grace_step_with_the_watermark(spark):
     rows = [(1, 0, 1, True), (1, 30_000, 2, False), (1, 79_000, 3, True), (1, 140_000, 4, False), (2, 1_000, 5, True), (2, 2_000, 6, False), (2, 4_000, 7, True), (2, 9_000, 8, False), (9, 10_000_000, 9, True)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert rows_of(batch_fold(df.filter("key < 9"), timers.Liveness, ["row_id"], timers.LIVENESS)) == [(1, 0, 0, 129_000, 3), (1, 1, 140_000, 190_000, 1), (2, 0, 1_000, 59_000, 4)]
-    assert rows_of(batch_fold(df.filter("key < 9"), timers.Grace, ["row_id"], timers.GRACE)) == [(1, 30_000, 33_500), (1, 140_000, 143_500), (2, 9_000, 12_500)]
+    # A stream's watermark begins at 0, and what isn't beyond it is late.
+    first = 1_000_000
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("at_ms", F.col("at_ms") + first)
+    back = lambda df, *times: rows_of(df.select(*[(F.col(c) - first).alias(c) if c in times else F.col(c) for c in df.columns]))
+    assert back(batch_fold(df.filter("key < 9"), timers.Liveness, ["row_id"], timers.LIVENESS), "started_ms", "ended_ms") == [(1, 0, 0, 129_000, 3), (1, 1, 140_000, 190_000, 1), (2, 0, 1_000, 59_000, 4)]
+    assert back(batch_fold(df.filter("key < 9"), timers.Grace, ["row_id"], timers.GRACE), "absent_ms", "stop_ms") == [(1, 30_000, 33_500), (1, 140_000, 143_500), (2, 9_000, 12_500)]
     # The second micro-batch brings rows that are older than some of the first, within the delay.
     steps = ["row_id IN (1, 5, 7)", "row_id IN (6, 2)", "row_id IN (8, 3, 4)", "row_id = 9"]
     got = streamed(spark, df, steps, timers.Grace, ["row_id"], timers.GRACE, "60 seconds")
-    assert rows_of(got.filter("key < 9")) == [(1, 30_000, 33_500), (1, 140_000, 143_500), (2, 9_000, 12_500)]
+    assert back(got.filter("key < 9"), "absent_ms", "stop_ms") == [(1, 30_000, 33_500), (1, 140_000, 143_500), (2, 9_000, 12_500)]
     got = streamed(spark, df, steps, timers.Liveness, ["row_id"], timers.LIVENESS, "60 seconds")
-    assert rows_of(got.filter("key < 9")) == [(1, 0, 0, 129_000, 3), (1, 1, 140_000, 190_000, 1), (2, 0, 1_000, 59_000, 4)]
+    assert back(got.filter("key < 9"), "started_ms", "ended_ms") == [(1, 0, 0, 129_000, 3), (1, 1, 140_000, 190_000, 1), (2, 0, 1_000, 59_000, 4)]
 
 
 def test_previews_by_hand(spark):
