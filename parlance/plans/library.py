@@ -78,10 +78,10 @@ def flt_3_empty_query(spark, d):
 MATCH = "translate(lower({0}), 'áàäâéèëêíìïîóòöôúùüûñ', 'aaaaeeeeiiiioooouuuun')"
 
 
-@query(f"""WITH u AS (SELECT conv_id, turn, text, role || ' · 00:' || lpad((turn % 60)::VARCHAR, 2, '0') AS source, instr({MATCH.format('text')}, 'that') AS p FROM conversations WHERE turn < 60)
+@query(f"""WITH u AS (SELECT conv_id, turn, text, role || ' · ' || CASE WHEN turn >= 3600 THEN lpad((turn // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((turn // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((turn % 60)::VARCHAR, 2, '0') AS source, instr({MATCH.format('text')}, 'that') AS p FROM conversations)
 SELECT conv_id, arg_min(source, turn) AS source, arg_min(substr(text, p, 4), turn) AS matched FROM u WHERE p > 0 GROUP BY 1""")
 def scl_t4_match_source(spark, d):
-    c = read(spark, d, "conversations").filter("turn < 60")
+    c = read(spark, d, "conversations")
     said = c.select("conv_id", "turn", F.struct(F.col("text"), F.concat(F.col("role"), F.lit(" · "), t.timestamp(F.col("turn") * 1000)).alias("source")).alias("c"))
     all_ = said.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda x: x["c"]).alias("c"))
     return all_.select("conv_id", t.first_match(F.col("c"), F.array(F.lit("that"))).alias("m")).filter("m IS NOT NULL").select("conv_id", "m.source", "m.matched")
@@ -159,9 +159,9 @@ def flt_6_without_bots(spark, d):
     return rows.select("conv_id", F.filter("s", lambda s: ~s["is_bot"])["name"].alias("people"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE trim(text) <> '' AND turn % 2 = 0")
+@query("SELECT conv_id, turn FROM conversations WHERE trim(text) <> ''")
 def flt_8_blank_text(spark, d):
-    return read(spark, d, "conversations").filter("turn % 2 = 0").filter(F.trim("text") != "").select("conv_id", "turn")
+    return read(spark, d, "conversations").filter(F.trim("text") != "").select("conv_id", "turn")
 
 
 @query(f"WITH {MEETINGS} SELECT id FROM m WHERE NOT (id % 2 = 0) OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = id AND o_orderkey % 10 = 3)")
@@ -408,9 +408,9 @@ def win_10_rank_position(spark, d):
     return read(spark, d, "documents").select("source", "doc_id", (F.row_number().over(w) - 1).cast("long").alias("pos"))
 
 
-@query("SELECT conv_id, regexp_extract(min(s), '[0-9:]+$') AS first, regexp_extract(max(s), '[0-9:]+$') AS last FROM (SELECT conv_id, lpad(turn::VARCHAR, 6, '0') || ' ' || lpad((turn // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((turn % 60)::VARCHAR, 2, '0') AS s FROM conversations WHERE turn < 3600) GROUP BY 1")
+@query("SELECT conv_id, regexp_extract(min(s), '[0-9:]+$') AS first, regexp_extract(max(s), '[0-9:]+$') AS last FROM (SELECT conv_id, lpad(turn::VARCHAR, 9, '0') || ' ' || CASE WHEN turn >= 3600 THEN lpad((turn // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((turn // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((turn % 60)::VARCHAR, 2, '0') AS s FROM conversations) GROUP BY 1")
 def win_15_page_span(spark, d):
-    lines = read(spark, d, "conversations").filter("turn < 3600").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), t.timestamp(F.col("turn") * 1000), F.lit("] x")).alias("line")))).alias("l"))
+    lines = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), t.timestamp(F.col("turn") * 1000), F.lit("] x")).alias("line")))).alias("l"))
     stamps = F.regexp_extract_all(F.array_join("l.line", "\n"), F.lit(r"\[([0-9:]+)\]"), F.lit(1))
     return lines.select("conv_id", F.element_at(stamps, 1).alias("first"), F.element_at(stamps, -1).alias("last"))
 
@@ -436,9 +436,9 @@ def top_4_neighbours(spark, d):
     return joins.neighbours(docs, seeds, read(spark, d, "documents").select("doc_id"))
 
 
-@query(f"WITH {MEETINGS} SELECT id FROM m ORDER BY started_at DESC LIMIT 100")
+@query(f"WITH {MEETINGS} SELECT id, epoch_us(started_at) // 1000000 AS started_s FROM m")
 def top_7_newest_first(spark, d):
-    return meetings(spark, d).orderBy(F.desc("started_at")).select("id").limit(100)
+    return meetings(spark, d).orderBy(F.desc("started_at"), "id").select("id", F.unix_seconds("started_at").alias("started_s"))
 
 
 @query("SELECT n_name, n_nationkey % 5 = 0 AS unassigned FROM nation ORDER BY unassigned, lower(n_name)")
@@ -451,11 +451,11 @@ def top_12_flush_order(spark, d):
     return read(spark, d, "events").filter("event_type = 'click'").orderBy("ts", "event_id").select("user_id", "event_id")
 
 
-@query("SELECT p_partkey, (p_partkey % 7) || '.' || (p_partkey % 13) || '.' || p_partkey AS version FROM part ORDER BY p_partkey % 7 DESC, p_partkey % 13 DESC, p_partkey DESC LIMIT 50")
+@query("SELECT p_partkey, (p_partkey % 7) || '.' || (p_partkey % 13) || '.' || p_partkey AS version FROM part")
 def top_16_versions(spark, d):
     k = F.col("p_partkey")
     p = read(spark, d, "part").select("p_partkey", F.concat_ws(".", k % 7, k % 13, k).alias("version"))
-    return p.orderBy(F.desc(v.version_key(F.col("version")))).limit(50)
+    return p.orderBy(F.desc(v.version_key(F.col("version"))))
 
 
 @query("SELECT doc_id, 'direct' AS origin FROM documents WHERE doc_id < 10 UNION ALL SELECT doc_id, 'neighbour' FROM documents WHERE doc_id % 9 = 0")

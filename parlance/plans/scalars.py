@@ -183,9 +183,9 @@ def scl_m2_pcm(spark, d):
     return read(spark, d, "embeddings").select("vec_id", v.to_pcm(F.transform("embedding", lambda x: x.cast("double") * 2)).alias("pcm"))
 
 
-@query("SELECT vec_id, round(CASE WHEN i % 2 = 0 THEN e[i // 2 + 1]::DOUBLE ELSE (e[i // 2 + 1]::DOUBLE + e[least(i // 2 + 2, 64)]::DOUBLE) / 2 END, 6) AS x, i::INTEGER AS i FROM (SELECT vec_id, embedding AS e, unnest(range(128)) AS i FROM embeddings WHERE vec_id % 10 = 0)")
+@query("SELECT vec_id, round(CASE WHEN i % 2 = 0 THEN e[i // 2 + 1]::DOUBLE ELSE (e[i // 2 + 1]::DOUBLE + e[least(i // 2 + 2, 64)]::DOUBLE) / 2 END, 6) + 0.0 AS x, i::INTEGER AS i FROM (SELECT vec_id, embedding AS e, unnest(range(128)) AS i FROM embeddings)")
 def scl_m3_resampled(spark, d):
-    e = read(spark, d, "embeddings").filter("vec_id % 10 = 0")
+    e = read(spark, d, "embeddings")
     return e.select("vec_id", F.posexplode(v.resampled(F.col("embedding"), 8000, 16000)).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
