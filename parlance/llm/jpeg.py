@@ -7,6 +7,7 @@ intervals of all files at once, a code in each step.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,56 +105,109 @@ def _sizes(values: np.ndarray) -> np.ndarray:
     return BITS_OF[np.abs(values)]
 
 
+def _or_into(words: np.ndarray, at: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
+    """Set the ``bits`` (up to 64) of each value from bit ``at`` on, which rises; bit 0 is the first word's highest."""
+    if not len(at):
+        return
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    left = value << (64 - bits).astype(np.uint64)
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    words[word[first]] |= np.bitwise_or.reduceat(left >> shift, first)
+    last = np.r_[first[1:] - 1, len(at) - 1]  # only these reach into the next word
+    words[word[last] + 1] |= left[last] << (np.uint64(64) - shift[last])
+
+
 class _Bits:
-    """Collects (row, value, bits) items and packs them per row, padded with ones to whole bytes."""
+    """Collects the coded items of blocks and packs them by row (restart interval), padded with ones to whole bytes.
+
+    The items of a block come either by add_blocks(), as many for each of the blocks, or by add().
+    """
+
+    def __init__(self, row: np.ndarray):
+        self.row = row  # of each block
+        self.dense: list[tuple[np.ndarray, ...]] = []
+        self.sparse: list[tuple[np.ndarray, ...]] = []
 
-    def __init__(self):
-        self.rows, self.order, self.values, self.bits = [], [], [], []
+    def add(self, block: np.ndarray, order: np.ndarray, values: np.ndarray, bits: np.ndarray) -> None:
+        """Items in any order; ``order`` tells it for all of them."""
+        self.sparse.append(tuple(np.broadcast_to(x, np.shape(block)).astype(np.int64) for x in (block, order, values, bits)))
 
-    def add(self, rows: np.ndarray, order: np.ndarray, values: np.ndarray, bits: np.ndarray) -> None:
-        for kept, new in ((self.rows, rows), (self.order, order), (self.values, values), (self.bits, bits)):
-            kept.append(np.broadcast_to(new, np.shape(rows)).astype(np.int64))
+    def add_blocks(self, block: np.ndarray, values: np.ndarray, bits: np.ndarray) -> None:
+        """A line of items for each of the (rising) blocks."""
+        self.dense.append((block, values.astype(np.uint64), bits.astype(np.int64)))
 
     def packed(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, offsets): 0xFF is followed by a stuffed 0."""
-        row, order, value, bits = (np.concatenate(x) for x in (self.rows, self.order, self.values, self.bits))
-        by = np.argsort(row * (int(order.max(initial=0)) + 1) + order, kind="stable")
-        row, value, bits = row[by], value[by], bits[by]
-        total = np.bincount(row, weights=bits, minlength=rows).astype(np.int64)
+        """(bytes, offsets), without the zeros that are stuffed after 0xFF."""
+        size = np.zeros(len(self.row), np.int64)
+        items = []
+        for block, values, bits in self.dense:
+            ends = np.cumsum(bits, 1)
+            size[block] = ends[:, -1]
+            items.append((block[:, None], ends - bits, values, bits))
+        if self.sparse:
+            block, order, values, bits = (np.concatenate(x) for x in zip(*self.sparse, strict=True))
+            by = np.argsort(order, kind="stable")
+            block, values, bits = block[by], values[by].astype(np.uint64), bits[by]
+            own = np.bincount(block, weights=bits, minlength=len(size)).astype(np.int64)
+            size += own
+            items.append((block, np.cumsum(bits) - bits - (np.cumsum(own) - own)[block], values, bits))
+        total = np.bincount(self.row, weights=size, minlength=rows).astype(np.int64)
         pad = -total % 8
         whole = (total + pad) // 8
-        begins = (np.cumsum(whole) - whole) * 8
-        ends = np.cumsum(bits)
-        at = begins[row] + ends - bits - (np.cumsum(total) - total)[row]
-        # Padding is one more item of each row.
-        at, value, bits = np.r_[at, begins + total], np.r_[value, (1 << pad) - 1], np.r_[bits, pad]
-        word, shift = at >> 5, 64 - (at & 31) - bits
-        wide = value.astype(np.uint64) << shift.astype(np.uint64)
-        n = int(whole.sum()) // 4 + 3
-        # Items share no bit, so sums are unions; below 2^53 they are exact in float64.
-        out = np.bincount(word, weights=(wide >> np.uint64(32)).astype(np.float64), minlength=n)
-        out[1:] += np.bincount(word, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[: n - 1]
-        data = out.astype(np.uint32).astype(">u4").view(np.uint8)[: int(whole.sum())]
-        full = data == 0xFF
-        grown = np.r_[0, np.cumsum(full)]
         edges = np.r_[0, np.cumsum(whole)]
-        places = np.arange(len(data)) + grown[:-1]
-        stuffed = np.zeros(len(data) + int(grown[-1]), np.uint8)
-        stuffed[places] = data
-        return stuffed, edges + grown[edges]
-
-
-def _first_dc(coefficients: np.ndarray, order: np.ndarray, row: np.ndarray, fresh: np.ndarray, scan: Scan, out: _Bits) -> None:
-    """``order``: blocks in scan order; ``row``: their interval; ``fresh``: place in ``order`` of the last block of the component, or -1."""
-    value = coefficients[order, 0] >> scan.low
+        begins = edges[:-1] * 8
+        at = np.cumsum(size) - size + (begins - (np.cumsum(total) - total))[self.row]
+        words = np.zeros(int(edges[-1]) // 8 + 2, np.uint64)
+        for block, inside, values, bits in items:
+            _or_into(words, (at[block] + inside).ravel(), values.ravel(), bits.ravel())
+        _or_into(words, begins + total, ((1 << pad) - 1).astype(np.uint64), pad)
+        return words.astype(">u8").view(np.uint8)[: int(edges[-1])], edges
+
+
+@functools.cache
+def _codes(low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code and bits of each payload byte that is not zero without its ``low`` last bits, alone and (65,536) with the next."""
+    value = np.arange(256) - 128
+    value = np.sign(value) * (np.abs(value) >> low)
+    size = _sizes(value)
+    code, bits = (AC_CODE[0][size] << size) | np.where(value < 0, value + (1 << size) - 1, value), AC_CODE[1][size] + size
+    return code, bits, ((code[None, :] << bits[:, None]) | code[:, None]).ravel(), (bits[None, :] + bits[:, None]).ravel()
+
+
+def _dense_first_ac(band: np.ndarray, block: np.ndarray, scan: Scan, out: _Bits) -> None:
+    """Blocks of payload bytes in which no value is zero: a code each, four of them an item (44 bits at most)."""
+    code, bits, pair_code, pair_bits = _codes(scan.low)
+    n, width = band.shape
+    pairs = width // 2
+    codes, sizes = np.zeros((n, -(-width // 4) * 2), np.uint64), np.zeros((n, -(-width // 4) * 2), np.uint8)
+    two = np.ascontiguousarray(band[:, : 2 * pairs]).view("<u2")
+    codes[:, :pairs], sizes[:, :pairs] = pair_code[two], pair_bits[two]
+    if width % 2:
+        codes[:, pairs], sizes[:, pairs] = code[band[:, -1]], bits[band[:, -1]]
+    out.add_blocks(block, codes[:, ::2] << sizes[:, 1::2] | codes[:, 1::2], sizes[:, ::2] + sizes[:, 1::2])
+
+
+def _dense_refine_ac(band: np.ndarray, block: np.ndarray, scan: Scan, out: _Bits) -> None:
+    """Blocks of payload bytes in which every value is known: the end of the block, then a correction bit each."""
+    n, width = band.shape
+    wide = np.zeros((n, 64), np.uint8)
+    wide[:, 64 - width :] = band & 1  # the last bit of byte - 128 and of its absolute value, which a second pass adds
+    values = np.full((n, 2), AC_CODE[0][0], np.uint64)
+    values[:, 1] = np.packbits(wide, axis=1).view(">u8")[:, 0]
+    out.add_blocks(block, values, np.broadcast_to(np.array([AC_CODE[1][0], width]), (n, 2)))
+
+
+def _first_dc(value: np.ndarray, fresh: np.ndarray, scan: Scan, out: _Bits) -> None:
+    """``value``: of the blocks in scan order; ``fresh``: place among them of the last block of the component, or -1."""
+    value = value >> scan.low
     diff = value - np.where(fresh >= 0, value[fresh], 0)
     size = _sizes(diff)
-    nth = np.arange(len(order))
-    out.add(row, nth, (DC_CODE[0][size] << size) | np.where(diff < 0, diff + (1 << size) - 1, diff), DC_CODE[1][size] + size)
+    code = (DC_CODE[0][size] << size) | np.where(diff < 0, diff + (1 << size) - 1, diff)
+    out.add_blocks(np.arange(len(value)), code[:, None], (DC_CODE[1][size] + size)[:, None])
 
 
-def _first_ac(coefficients: np.ndarray, order: np.ndarray, row: np.ndarray, scan: Scan, out: _Bits) -> None:
-    band = coefficients[order, scan.first : scan.last + 1]
+def _first_ac(band: np.ndarray, row: np.ndarray, scan: Scan, out: _Bits) -> None:
+    """``band``: values of blocks; ``row``: the blocks' numbers for ``out``."""
     band = np.sign(band) * (np.abs(band) >> scan.low)
     width = band.shape[1]
     block, k = np.nonzero(band)
@@ -168,14 +222,14 @@ def _first_ac(coefficients: np.ndarray, order: np.ndarray, row: np.ndarray, scan
     for n in range(1, int(run16.max(initial=0)) + 1):
         long = run16 >= n
         out.add(row[block[long]], place[long], AC_CODE[0][0xF0], AC_CODE[1][0xF0])
-    last = np.full(len(order), -1)
+    last = np.full(len(band), -1)
     last[block] = k  # the largest k is written last
     short = np.flatnonzero(last < width - 1)
     out.add(row[short], (short * (width + 1) + width) * 2, AC_CODE[0][0], AC_CODE[1][0])
 
 
-def _refine_ac(coefficients: np.ndarray, order: np.ndarray, row: np.ndarray, scan: Scan, out: _Bits) -> None:
-    band = coefficients[order, scan.first : scan.last + 1]
+def _refine_ac(band: np.ndarray, row: np.ndarray, scan: Scan, out: _Bits) -> None:
+    """``band``: values of blocks; ``row``: the blocks' numbers for ``out``."""
     size, width = np.abs(band) >> scan.low, band.shape[1]
     old, new = size > 1, size == 1
     # A symbol stands before each new value, before the sixteenth zero of a longer run, and at the end of a
@@ -230,8 +284,10 @@ def encode(payloads: np.ndarray, blocks: np.ndarray) -> list[bytes]:
     widths, heights = (np.array(x) for x in zip(*shapes, strict=True))
     each = 6 * widths * heights
     starts = np.cumsum(each) - each
-    coefficients = np.zeros((int(each.sum()), 64), np.int32)
-    coefficients[gather(np.arange(len(coefficients)), starts, blocks)] = payloads.reshape(-1, 64).astype(np.int32) - 128
+    stored = np.full((int(each.sum()), 64), 128, np.uint8)
+    stored[gather(np.arange(len(stored)), starts, blocks)] = payloads.reshape(-1, 64)
+    # Blocks without values from -1 to 1 (zero in a first pass, or new in the second) are coded by tables, those of zeros alone are ends.
+    small = (np.abs(np.arange(256) - 128) < 2)[stored]
     components = _layout(widths, heights, starts)
     file_of = np.arange(len(blocks))
     orders = {shape: _unit_order(*shape) for shape in set(shapes)}
@@ -243,39 +299,46 @@ def encode(payloads: np.ndarray, blocks: np.ndarray) -> list[bytes]:
         else:
             c = scan.components[0]
             count, unit = widths * heights * BLOCKS_A_UNIT[c], 1
-            order = gather(np.arange(len(coefficients)), components[c], count)
+            order = gather(np.arange(len(stored)), components[c], count)
         intervals = -(-count // INTERVAL)
         base = np.cumsum(intervals) - intervals
         owner = np.repeat(file_of, count)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         row = np.repeat(base[owner] + nth // INTERVAL, unit)
-        bits = _Bits()
+        bits = _Bits(row)
         if scan.first == 0:
+            value = stored[order, 0].astype(np.int64) - 128
             if scan.high == 0:
                 at = np.arange(len(order))
                 inside = at % 6
                 back = np.where(inside == 0, 3, np.where(inside < 4, 1, 6))  # to the last block of the component
                 fresh = at - back
                 same = (fresh >= 0) & (row[np.maximum(fresh, 0)] == row)
-                _first_dc(coefficients, order, row, np.where(same, fresh, -1), scan, bits)
+                _first_dc(value, np.where(same, fresh, -1), scan, bits)
             else:
-                bits.add(row, np.arange(len(order)), coefficients[order, 0] >> scan.low & 1, np.ones(len(order)))
-        elif scan.high == 0:
-            _first_ac(coefficients, order, row, scan, bits)
+                bits.add_blocks(np.arange(len(order)), (value >> scan.low & 1)[:, None], np.ones((len(order), 1)))
         else:
-            _refine_ac(coefficients, order, row, scan, bits)
+            band = stored[order, scan.first : scan.last + 1]
+            hard = small[order, scan.first : scan.last + 1].any(1)
+            empty = np.zeros(len(order), bool)
+            empty[hard] = (band[hard] == 128).all(1)
+            hard &= ~empty
+            ends, dense, rest = np.flatnonzero(empty), np.flatnonzero(~hard & ~empty), np.flatnonzero(hard)
+            bits.add_blocks(ends, np.full((len(ends), 1), AC_CODE[0][0]), np.full((len(ends), 1), AC_CODE[1][0]))
+            (_dense_refine_ac if scan.high else _dense_first_ac)(band if len(dense) == len(band) else band[dense], dense, scan, bits)
+            if len(rest):
+                (_refine_ac if scan.high else _first_ac)(band[rest].astype(np.int32) - 128, rest, scan, bits)
         data, offsets = bits.packed(int(intervals.sum()))
-        # Markers RST0 to RST7 stand between the intervals of a file.
-        size = np.diff(offsets)
+        # A 0 is stuffed after 0xFF, and markers RST0 to RST7 stand between the intervals of a file.
         rows_owner = np.repeat(file_of, intervals)
-        index = np.arange(len(size)) - base[rows_owner]
-        ends = index < intervals[rows_owner] - 1
-        places = offsets[:-1] + 2 * (np.cumsum(ends) - ends)
-        out = np.zeros(len(data) + 2 * int(ends.sum()), np.uint8)
-        out[gather(np.arange(len(out)), places, size)] = data
-        marks = (places + size)[ends]
-        out[marks], out[marks + 1] = 0xFF, 0xD0 + index[ends] % 8
-        edges = np.r_[places[base], len(out)]
+        index = np.arange(len(rows_owner)) - base[rows_owner]
+        between = index < intervals[rows_owner] - 1
+        stuffed, marks = np.flatnonzero(data == 0xFF) + 1, offsets[1:][between]
+        marker = np.stack([np.full(len(marks), 0xFF), 0xD0 + index[between] % 8], 1).ravel()
+        places = np.r_[stuffed, np.repeat(marks, 2)]
+        out = np.insert(data, places, np.r_[np.zeros(len(stuffed), np.int64), marker].astype(np.uint8))
+        edges = offsets[np.r_[base, len(rows_owner)]]
+        edges = edges + np.searchsorted(np.sort(places), edges, side="right")
         head = _segment(0xDA, bytes([len(scan.components), *(x for c in scan.components for x in (c + 1, 0)), scan.first, scan.last, scan.high << 4 | scan.low]))
         whole = out.tobytes()
         for f in file_of:
@@ -304,7 +367,7 @@ def _lookup(table: bytes) -> np.ndarray:
     """For each 16 bits that may come next: symbol << 5 | bits of its code; 0 if there is none."""
     out = np.zeros(1 << 16, np.int32)
     code, at = 0, 16
-    for bits in range(1, 17):
+    for bits in range(1, 17) if table else ():
         for _ in range(table[bits - 1]):
             out[code << 16 - bits : code + 1 << 16 - bits] = table[at] << 5 | bits
             code, at = code + 1, at + 1
@@ -312,29 +375,40 @@ def _lookup(table: bytes) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(8)
+def _values(table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_lookup() of an AC table, and for each 16 bits that hold a whole value: its bits in all (else 0), itself, and its run of zeros plus 1."""
+    symbols = _lookup(table)
+    bits, run, size = symbols & 31, symbols >> 9, symbols >> 5 & 15
+    whole = (bits > 0) & (bits + size <= 16) & ((size > 0) | (run == 15))
+    raw = np.arange(1 << 16) >> np.maximum(16 - bits - size, 0) & (1 << size) - 1
+    return symbols, np.where(whole, bits + size, 0).astype(np.uint8), np.where(whole, _extended(raw, size), 0).astype(np.int16), np.where(whole, run + 1, 1).astype(np.uint8)
+
+
 class _Lanes:
     """Bit positions in many intervals at once."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
-        padded = np.r_[data, np.full(16, 0xFF, np.uint8)].astype(np.uint64)
-        n = len(data) + 8
-        self.window = np.zeros(n, np.uint64)  # the 8 bytes from each byte on
-        for i in range(8):
-            self.window |= padded[i : i + n] << np.uint64(56 - 8 * i)
-        self.at = starts.astype(np.int64) * 8
+    def __init__(self, window: np.ndarray, at: np.ndarray):
+        self.window = window  # the 4 bytes from each byte on
+        self.at = at.astype(np.int64)
 
-    def peek(self, lanes: np.ndarray, bits: int) -> np.ndarray:
-        at = self.at[lanes]
-        return ((self.window[np.minimum(at >> 3, len(self.window) - 1)] << (at & 7).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    def word(self, at: np.ndarray) -> np.ndarray:
+        """The 64 bits from each position on."""
+        byte, shift = np.minimum(at >> 3, len(self.window) - 9), (at & 7).astype(np.uint64)
+        wide = self.window[byte].astype(np.uint64) << np.uint64(32) | self.window[byte + 4]
+        return wide << shift | self.window[byte + 8] >> np.uint64(24) >> (np.uint64(8) - shift)
+
+    def peek16(self, at: np.ndarray) -> np.ndarray:
+        return self.window[np.minimum(at >> 3, len(self.window) - 9)] >> (16 - (at & 7)).astype(np.uint32) & np.uint32(0xFFFF)
 
     def take(self, lanes: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """The next ``bits`` (0 to 16) of each lane."""
-        value = self.peek(lanes, 16) >> (16 - bits)
+        value = self.peek16(self.at[lanes]).astype(np.int64) >> (16 - bits)
         self.at[lanes] += bits
         return value
 
     def symbol(self, lanes: np.ndarray, table: np.ndarray) -> np.ndarray:
-        found = table[self.peek(lanes, 16)]
+        found = table[self.peek16(self.at[lanes])]
         if (found == 0).any():
             raise ValueError("a code that the table doesn't have")
         self.at[lanes] += found & 31
@@ -345,10 +419,53 @@ def _extended(value: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where((size > 0) & (value < (1 << np.maximum(size, 1) - 1)), value - (1 << size) + 1, value)
 
 
-def _read_scan(scan: Scan, data: np.ndarray, starts: np.ndarray, order: np.ndarray, firsts: np.ndarray, counts: np.ndarray, coefficients: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> None:
-    """Add a scan to the coefficients. Lane i reads ``counts[i]`` blocks, order[firsts[i]] and so on."""
-    bits = _Lanes(data, starts)
-    lanes = np.arange(len(starts))
+def _read_first_ac(scan: Scan, bits: _Lanes, begins: np.ndarray, counts: np.ndarray, coefficients: np.ndarray, table: bytes) -> None:
+    """Lane i reads ``counts[i]`` blocks from number ``begins[i]`` on, a value in each step."""
+    symbols, total, values, moves = _values(table)
+    flat = coefficients.reshape(-1)
+    width = scan.last - scan.first + 1
+    on = counts > 0
+    at, place = bits.at[on], begins[on] * 64 + scan.first
+    end = place + width  # of the block's band; ``last`` of the last block's
+    last = end + (counts[on] - 1) * 64
+    while len(at):
+        ahead = bits.peek16(at)
+        used, moved = total[ahead], moves[ahead]
+        place += moved
+        flat[place - 1] = values[ahead] << scan.low
+        at += used
+        odd = np.flatnonzero(used == 0)
+        if len(odd):  # the end of a block or of several, or a long value
+            lane = _Lanes(bits.window, at[odd])
+            every = np.arange(len(odd))
+            symbol = lane.symbol(every, symbols)
+            run, size = symbol >> 4, symbol & 15
+            place[odd] += run  # 1 is counted already
+            value = _extended(lane.take(every, size), size)
+            has = size > 0
+            flat[place[odd[has]] - 1] = value[has] << scan.low
+            ends = ~has & (run < 15)
+            run = run[ends]
+            end[odd[ends]] += ((1 << run) - 1 + lane.take(every[ends], run)) * 64
+            place[odd[ends]] = end[odd[ends]]
+            at[odd] = lane.at
+        full = place >= end
+        if full.any():
+            stays = ~full | (end < last)
+            place = np.where(full, end + 64 - width, place)
+            end = end + 64 * full
+            if not stays.all():
+                at, place, end, last = at[stays], place[stays], end[stays], last[stays]
+
+
+def _corrected(band: np.ndarray, bits: np.ndarray, low: int) -> np.ndarray:
+    """Values with a bit of 0 or 1 more, away from zero."""
+    return band + (((band >> 15) | 1) * bits << low)
+
+
+def _read_scan(scan: Scan, bits: _Lanes, order: np.ndarray, firsts: np.ndarray, counts: np.ndarray, coefficients: np.ndarray, dc: np.ndarray, ac_table: bytes, ac: np.ndarray) -> None:
+    """Add a scan to the coefficients. Lane i reads ``counts[i]`` blocks, order[firsts[i]] and so on; of one component they are neighbours."""
+    lanes = np.arange(len(firsts))
     if scan.first == 0:
         kind = np.array([0, 0, 0, 0, 1, 2]) if len(scan.components) > 1 else np.array([scan.components[0]])
         last = np.zeros((len(lanes), 3), np.int64)
@@ -356,41 +473,21 @@ def _read_scan(scan: Scan, data: np.ndarray, starts: np.ndarray, order: np.ndarr
             on = lanes[counts > step]
             block = order[firsts[on] + step]
             if scan.high:
-                coefficients[block, 0] |= bits.take(on, np.int64(1)).astype(np.int32) << scan.low
+                coefficients[block, 0] |= bits.take(on, np.int64(1)).astype(np.int16) << scan.low
                 continue
             size = bits.symbol(on, dc)
             c = kind[step % len(kind)]
             last[on, c] += _extended(bits.take(on, size), size)
             coefficients[block, 0] = last[on, c] << scan.low
         return
+    if scan.high == 0:
+        _read_first_ac(scan, bits, order[firsts], counts, coefficients, ac_table)
+        return
     done = np.zeros(len(lanes), np.int64)  # blocks read
     skip = np.zeros(len(lanes), np.int64)  # blocks still in a run of ends
-    k = np.full(len(lanes), scan.first, np.int64)
+    k = np.zeros(len(lanes), np.int64)
     on = lanes[counts > 0]
-    if scan.high == 0:
-        flat = coefficients.reshape(-1)
-        while len(on):
-            symbol = bits.symbol(on, ac)
-            run, size = symbol >> 4, symbol & 15
-            at = k[on] + run
-            value = _extended(bits.take(on, size), size)
-            has = size > 0
-            put = on[has]
-            flat[order[firsts[put] + done[put]] * 64 + at[has]] = value[has] << scan.low
-            k[on] = at + 1  # also after 16 zeros
-            end = on[~has & (run < 15)]
-            if len(end):
-                run = run[~has & (run < 15)]
-                done[end] += (1 << run) - 1 + bits.take(end, run)
-                k[end] = scan.last + 1
-            full = on[k[on] > scan.last]
-            if len(full):
-                done[full] += 1
-                k[full] = scan.first
-                on = on[done[on] < counts[on]]
-        return
     width = scan.last - scan.first + 1
-    k[:] = 0
     column = np.arange(width)
     while len(on):
         # A symbol, unless the block is in a run of ends.
@@ -406,20 +503,32 @@ def _read_scan(scan: Scan, data: np.ndarray, starts: np.ndarray, order: np.ndarr
         block = order[firsts[on] + done[on]]
         band = coefficients[block, scan.first : scan.last + 1]
         known = band != 0
-        ahead = column >= k[on][:, None]
-        # The place after which the symbol ends: that of its last zero, or the block's end.
-        zeros = np.cumsum(~known & ahead, 1)
-        stop = np.where(ends, width, (zeros <= run[:, None]).sum(1))
-        correct = known & ahead & (column < stop[:, None])
-        nth = np.cumsum(correct, 1)
-        number = nth[:, -1]
-        low, high = bits.peek(on, 32), None
-        bits.at[on] += np.minimum(number, 32)
-        high = bits.peek(on, 32)
-        bits.at[on] += np.maximum(number - 32, 0)
-        index = nth - 1
-        bit = np.where(index < 32, low[:, None] >> (31 - np.clip(index, 0, 31)), high[:, None] >> (31 - np.clip(index - 32, 0, 31))) & 1
-        band = band + np.where(correct & (bit == 1), np.sign(band) << scan.low, 0).astype(band.dtype)
+        # Whole blocks of known values have a bit for each.
+        whole = ends & (k[on] == 0) & known.all(1)
+        simple = np.flatnonzero(whole)
+        if len(simple):
+            each = bits.word(bits.at[on[simple]]).astype(">u8").view(np.uint8).reshape(-1, 8)
+            new_band = _corrected(band[simple], np.unpackbits(each, axis=1, count=width).astype(np.int16), scan.low)
+            if len(simple) == len(on):
+                band = new_band
+            else:
+                band[simple] = new_band
+            bits.at[on[simple]] += width
+        stop = np.full(len(on), width)
+        hard = np.flatnonzero(~whole)
+        if len(hard):
+            these = on[hard]
+            part, is_known = band[hard], known[hard]
+            ahead = column >= k[these][:, None]
+            # The place after which the symbol ends: that of its last zero, or the block's end.
+            zeros = np.cumsum(~is_known & ahead, 1, dtype=np.int16)
+            stop[hard] = np.where(ends[hard], width, (zeros <= run[hard][:, None]).sum(1))
+            correct = is_known & ahead & (column < stop[hard][:, None])
+            nth = np.cumsum(correct, 1, dtype=np.int16)
+            each = np.unpackbits(bits.word(bits.at[these]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            bit = np.take_along_axis(each, np.maximum(nth - 1, 0).astype(np.int64), 1) * correct
+            bits.at[these] += nth[:, -1]
+            band[hard] = _corrected(part, bit.astype(np.int16), scan.low)
         new = np.flatnonzero((size > 0) & (stop < width))
         band[new, stop[new]] = np.where(sign[new] == 1, 1, -1) << scan.low
         coefficients[block, scan.first : scan.last + 1] = band
@@ -481,11 +590,17 @@ def decode(files: list[bytes]) -> tuple[np.ndarray, list[_File]]:
                 head.height, head.width, head.start = (body[1] << 8 | body[2]) // 16, (body[3] << 8 | body[4]) // 16, blocks
                 blocks += 6 * head.width * head.height
         heads.append(head)
-    coefficients = np.zeros((blocks, 64), np.int32)
+    coefficients = np.zeros((blocks, 64), np.int16)
+    # A 0 after 0xFF is stuffing, which is left out of what the scans read.
+    stuffing = full[whole[full + 1] == 0] + 1
+    kept = np.ones(len(whole), bool)
+    kept[stuffing] = False
+    read = np.r_[whole[kept], np.full(16, 0xFF, np.uint8)]
+    window = np.ndarray(len(read) - 3, ">u4", read, 0, (1,)).astype(np.uint32)
     everything = np.arange(blocks)
     shapes = np.array([(h.width, h.height, h.start) for h in heads])
     orders: dict[tuple[int, int], np.ndarray] = {}
-    lookups: dict[bytes, np.ndarray] = {b"": np.zeros(1 << 16, np.int32)}
+    lookups: dict[bytes, np.ndarray] = {}
     for together in scans:
         for (body, dc, ac), entries in together.items():
             n = body[0]
@@ -510,15 +625,11 @@ def decode(files: list[bytes]) -> tuple[np.ndarray, list[_File]]:
             end = gather(marks, stops[stop] - lanes + 1, lanes)
             begin = np.r_[0, end[:-1] + 2]
             begin[nth_lane == 0] = first_at
-            raw = gather(whole, begin, end - begin)
-            # A 0 after 0xFF is stuffing.
-            stuffing = np.r_[False, (raw[:-1] == 0xFF) & (raw[1:] == 0)]
-            starts = np.cumsum(end - begin) - (end - begin)
-            starts -= np.r_[0, np.cumsum(stuffing)][starts]
+            starts = begin - np.searchsorted(stuffing, begin)
             for t in (dc, ac):
                 if t not in lookups:
                     lookups[t] = _lookup(t)
-            _read_scan(scan, raw[~stuffing], starts, order, firsts, counts, coefficients, lookups[dc], lookups[ac])
+            _read_scan(scan, _Lanes(window, starts * 8), order, firsts, counts, coefficients, lookups[dc], ac, lookups[ac])
     return coefficients, heads
 
 
@@ -545,10 +656,11 @@ def samples(coefficients: np.ndarray, heads: list[_File]) -> np.ndarray:
     """The 64 samples of each block, by rows."""
     if any(h.quant != bytes([1]) * 64 for h in heads):
         steps = np.stack([np.frombuffer(h.quant, np.uint8) for h in heads])
-        coefficients = coefficients * np.repeat(steps, [6 * h.width * h.height for h in heads], 0)
+        coefficients = coefficients.astype(np.int32) * np.repeat(steps, [6 * h.width * h.height for h in heads], 0)
     out = coefficients.astype(np.float64) @ BASIS
     out += (128 << 16) + (1 << 15)
-    return np.clip(out.astype(np.int64) >> 16, 0, 255).astype(np.int32)
+    np.clip(out, 0, (256 << 16) - 1, out=out)
+    return (out.astype(np.int32) >> 16).astype(np.int16)
 
 
 def rgb(blocks: np.ndarray, head: _File) -> np.ndarray:
@@ -557,10 +669,10 @@ def rgb(blocks: np.ndarray, head: _File) -> np.ndarray:
     own = blocks[head.start : head.start + 6 * units]
     out = np.empty((16 * h, 16 * w, 3), np.uint8)
     y = own[: 4 * units].reshape(2 * h, 2 * w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 2, 8 * w, 2)
-    cb, cr = own[4 * units :].reshape(2, h, w, 8, 8).transpose(0, 1, 3, 2, 4).reshape(2, 8 * h, 1, 8 * w, 1) - 128
+    chroma = own[4 * units :].reshape(2, h, w, 8, 8).transpose(0, 1, 3, 2, 4).reshape(2, 8 * h, 1, 8 * w, 1)
     # Full-range YCbCr to RGB, factors scaled by 2^16; each chroma sample serves 2 x 2 pixels.
+    cb, cr = chroma.astype(np.int32) - 128
     wide = out.reshape(8 * h, 2, 8 * w, 2, 3)
-    wide[..., 0] = np.clip(y + (91881 * cr + 32768 >> 16), 0, 255)
-    wide[..., 1] = np.clip(y - (22554 * cb + 46802 * cr + 32768 >> 16), 0, 255)
-    wide[..., 2] = np.clip(y + (116130 * cb + 32768 >> 16), 0, 255)
+    for c, change in enumerate((91881 * cr + 32768 >> 16, -(22554 * cb + 46802 * cr + 32768 >> 16), 116130 * cb + 32768 >> 16)):
+        wide[..., c] = np.clip(y + change.astype(np.int16), 0, 255)
     return out

@@ -21,7 +21,11 @@ def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = np.diff(offsets)
     blocks = np.maximum(1, -(-n // BLOCK))
     out = np.zeros(int(blocks.sum()) * BLOCK, np.uint8)
-    out[gather(np.arange(len(out)), (np.cumsum(blocks) - blocks) * BLOCK, n)] = data
+    filled = np.ones(len(out), bool)
+    ends = np.cumsum(blocks) * BLOCK
+    pad = blocks * BLOCK - n
+    filled[gather(np.arange(len(out)), ends - pad, pad)] = False
+    out[filled] = data
     return out, blocks
 
 
@@ -67,7 +71,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                     out["payload"][i] = jpeg.payload(coefficients, head)
                     out["height"][i], out["width"][i] = picture.shape[:2]
                     out["rgb"][i] = picture.tobytes()
-                    out["sums"][i] = picture.reshape(-1, 3).sum(0, dtype=np.int64).tolist()
+                    out["sums"][i] = picture.reshape(len(picture), -1).sum(0, dtype=np.uint32).reshape(-1, 3).sum(0, dtype=np.int64).tolist()
             kinds = {"payload": pa.binary(), "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary(), "sums": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_bytes", "media")), *(pa.array(v, kinds[c]) for c, v in out.items())], ["doc_id", "n_bytes", "media", *out])
 

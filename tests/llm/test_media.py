@@ -139,6 +139,42 @@ def test_against_a_plain_decoder(choices):
     assert (plain_decode(files[0]) == coefficients).all()
 
 
+@pytest.mark.parametrize("scan", [s for s in jpeg.SCRIPT if s.last])
+def test_tables_code_as_the_rules_do(scan):
+    """Blocks coded by tables have the bits that run lengths and correction bits give them one by one."""
+    data = np.random.default_rng(4).choice([0, 9, 32, 97, 126, 130, 195, 255], (24, scan.last - scan.first + 1)).astype(np.uint8)
+    row, block = np.arange(24) // 4, np.arange(24)
+    fast, plain = jpeg._Bits(row), jpeg._Bits(row)
+    (jpeg._dense_refine_ac if scan.high else jpeg._dense_first_ac)(data, block, scan, fast)
+    (jpeg._refine_ac if scan.high else jpeg._first_ac)(data.astype(np.int32) - 128, block, scan, plain)
+    for got, want in zip(fast.packed(6), plain.packed(6), strict=True):
+        assert got.tolist() == want.tolist()
+
+
+def test_text_beside_hard_blocks():
+    """Texts in several scripts, zeros and 0xFF in one batch: coded by tables and by rules side by side."""
+    texts = [b"A plain line of text. " * 40, "日本語の文 é".encode() * 60, bytes(300), b"\xff\x7f\x80\x81" * 90, b"x", b"z" * 63 + b"\x80" + b"y" * 200]
+    blocks = np.array([-(-len(t) // 64) for t in texts])
+    data = b"".join(t + bytes(-len(t) % 64) for t in texts)
+    files = jpeg.encode(np.frombuffer(data, np.uint8), blocks)
+    coefficients, heads = jpeg.decode(files)
+    assert b"".join(jpeg.payload(coefficients, h) for h in heads) == data
+    for f, h in zip(files, heads, strict=True):
+        assert (plain_decode(f) == coefficients[h.start : h.start + 6 * h.width * h.height]).all()
+
+
+def test_work_a_byte(monkeypatch):
+    """Text is packed in fewer than half as many items as it has bytes (before: two for each byte), and read without a peek a symbol and value."""
+    items, peeks = [], []
+    put, peek = jpeg._or_into, jpeg._Lanes.peek16
+    monkeypatch.setattr(jpeg, "_or_into", lambda words, at, value, bits: (items.append(len(at)), put(words, at, value, bits)))
+    monkeypatch.setattr(jpeg._Lanes, "peek16", lambda self, at: (peeks.append(len(at)), peek(self, at))[1])
+    data = np.frombuffer((b"What was said in the meeting, line by line. " * 3000)[: 64 * 1500], np.uint8)
+    coefficients, heads = jpeg.decode(jpeg.encode(data, np.array([1500])))
+    assert jpeg.payload(coefficients, heads[0]) == data.tobytes()
+    assert sum(items) < len(data) / 2 and sum(peeks) < 1.2 * len(data)
+
+
 def test_flat_picture():
     """Only Y's constant term: grey of that level; 8 steps of it are one of a sample."""
     data = np.full(64 * 6, 128, np.uint8)
