@@ -1,8 +1,9 @@
-"""SentencePiece models of merge type: encoding by a table of prefixes, and decoding.
+"""SentencePiece models of merge type: encoding by merge rounds or by a table of prefixes, and decoding.
 
-Every prefix of a text has one encoding, and it ends in one token: the one that fits the token before
-it. So a single walk over the text fills a table with the last token of each prefix, and the ids are
-read from the table backwards, with no merging.
+Short parts of texts are merged side by side, one merge of each in a round. In long ones that would be
+quadratic: every prefix of a text has one encoding, and it ends in one token, the one that fits the token
+before it. So a single walk over a long part fills a table with the last token of each prefix, and the ids
+are read from the table backwards, with no merging.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ SPACE = "▁"
 #: Kinds of pieces in a model's file (fixed by its format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A task keeps the ids of different parts up to about so many bytes, and so many tested pairs. This bounds memory only.
-CACHED_BYTES, CACHED_PAIRS = 64 << 20, 600_000
+CACHED_BYTES, CACHED_PAIRS = 128 << 20, 600_000
 #: What a part costs beside its text and ids.
 ENTRY_BYTES = 200
 #: Parts of so many characters are cut further before they are encoded.
 LONG = 24
-#: Parts up to so many characters are walked together, longer ones each by itself.
+#: Parts up to so many characters are merged together, longer ones are walked each by itself.
 TOGETHER = 64
 #: Bytes of text that a task encodes together.
 PIECE = 1 << 20
@@ -124,6 +125,8 @@ class History:
 
 #: Numbers of tokens are below this; so is the number that stands for the beginning of a part.
 NUMBERS = 1 << 21
+#: The rank of pairs that don't merge, after all others.
+NEVER = 1 << 30
 
 
 class Encoder:
@@ -140,21 +143,24 @@ class Encoder:
         for piece, i in many.items():
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        used = {c for p in many for c in p}
-        #: A character that is in no such piece, so that no match crosses it.
-        self.apart = next(c for c in map(chr, range(0x110000)) if c not in used)
         single = sorted((ord(p), i) for p, i in v.ids.items() if len(p) == 1)
         self.single_codes, self.single_ids = np.array([c for c, _ in single], np.int64), np.array([i for _, i in single], np.int64)
         self.sizes = [len(p) for p in v.pieces]
-        self.size_array = np.array(self.sizes, np.int64)
         self.begin = len(v.pieces) + 0x110000
         if self.begin >= NUMBERS:
             raise ValueError("too many pieces")
         self.decimal = [str(i) for i in range(len(v.pieces))]
+        # What two neighbouring tokens merge into, for all that do: sorted keys, left * NUMBERS + right, and the order of merges.
+        number = {p: i for p, i in v.ids.items()} | {c: ord(c) + len(v.pieces) for p in many for c in p if c not in v.ids}
+        merges = sorted((number[p[:i]] * NUMBERS + number[p[i:]], piece) for p, piece in many.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        place = {score: i for i, score in enumerate(sorted({v.scores[p] for p in many}, reverse=True))}
+        self.merge_keys, self.merge_ids = (np.array(x, np.int64) for x in (zip(*merges, strict=True) if merges else ((0,), (0,))))
+        self.merge_ranks = np.array([place[v.scores[v.pieces[i]]] if merges else 0 for i in self.merge_ids.tolist()], np.int64)
         self.histories: dict[str, History] = {}
         # No piece has a space after another character, nor, mostly, a line feed: no token crosses such places.
         crossed = any(SPACE in p.lstrip(SPACE) for p in v.scores)
         lines = not any("\n" in p for p in v.scores)
+        self.words = lines and not crossed
         self.cut = None if crossed else re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.parts: dict[str, str] = {}
         self.older: dict[str, str] = {}
@@ -247,36 +253,68 @@ class Encoder:
                     last[end], settled = piece, end
         return self._backwards(last)
 
+    def _merges(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank * 2^32 + ``at``, the merged id) of each pair of numbers; a pair that doesn't merge has the rank NEVER."""
+        keys = left * NUMBERS + right
+        found = np.minimum(np.searchsorted(self.merge_keys, keys), len(self.merge_keys) - 1)
+        return (np.where(self.merge_keys[found] == keys, self.merge_ranks[found], NEVER) << 32) + at, self.merge_ids[found]
+
     def walk(self, parts: list[str]) -> list[str]:
         """The ids of each part, in decimal, joined by commas.
 
-        ``last`` has one place for each character: the last token of the encoding of the part's prefix that
-        ends there. A piece that the automaton finds to end there is that token if it fits the last token of
-        what is before the piece, and there is only one such; where none does, it is the character itself.
-        The prefixes of equal length of all parts are settled together.
+        The symbols of all parts lie in one array, with ``begin``, which merges with nothing, around each part.
+        Each round does the best merge of every part, of equals the left one; then only the two pairs beside
+        it are looked up. Parts in which nothing is left to merge are put aside.
         """
         if not parts:
             return []
         sizes = np.array([len(p) for p in parts], np.int64)
-        begins = np.cumsum(sizes + 1) - sizes - 1
-        text = self.apart.join(parts)
-        last = self._characters(text)
-        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(text)), np.int64)
-        ends, tokens = found[::2], found[1::2]
-        begin = begins[np.searchsorted(begins, ends, side="right") - 1]
-        starts = ends - self.size_array[tokens]
-        order = np.argsort((ends - begin).astype(np.int16), kind="stable")
-        ends, tokens, starts, first = ends[order], tokens[order], starts[order], (starts < begin)[order]
-        steps = np.flatnonzero(np.diff((ends - begin[order]), prepend=-1))
-        for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(ends)], strict=True) if len(ends) else ():
-            keys = (np.where(first[a:b], self.begin, last[starts[a:b]]) * NUMBERS + tokens[a:b]).tolist()
-            fit = list(map(self.pairs.get, keys))
-            if None in fit:
-                fit = [self._pair(k) if f is None else f for k, f in zip(keys, fit, strict=True)]
-            fit = np.array(fit)
-            last[ends[a:b][fit]] = tokens[a:b][fit]
-        last = last.tolist()
-        return [self._backwards(last[a : a + n]) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+        begins = np.cumsum(sizes + 1) - sizes
+        total = int(sizes.sum()) + len(parts) + 1
+        inside = np.ones(total, bool)
+        inside[begins - 1] = inside[-1] = False
+        symbol = np.full(total, self.begin, np.int64)
+        symbol[inside] = self._characters("".join(parts))
+        result = np.full(total, -1, np.int64)  # by first place; -1 where a token goes on
+        home = at = np.arange(total)
+        before, after = at - 1, at + 1  # of the first and last symbol not used
+        order, merged = self._merges(symbol[:-1], symbol[1:], at[:-1])
+        starts = begins - 1
+        while True:
+            best = np.minimum.reduceat(order, starts)
+            going = best < NEVER << 32
+            if going.sum() <= 0.7 * len(going):  # put aside what is ready
+                lengths = np.diff(np.r_[starts, len(symbol) - 1])
+                stays = np.r_[np.repeat(going, lengths), True]
+                alive = symbol >= 0
+                out = alive & ~stays
+                result[home[out]] = symbol[out]
+                if not going.any():
+                    break
+                keep = alive & stays
+                moved = np.cumsum(keep) - 1
+                starts = moved[starts[going]]
+                home, symbol = home[keep], symbol[keep]
+                order = (order[keep[:-1]] & -1 << 32) + np.arange(len(symbol) - 1)
+                merged = merged[keep[:-1]]
+                before, after = np.arange(-1, len(symbol) - 1), np.arange(1, len(symbol) + 1)
+                best = np.minimum.reduceat(order, starts)
+                going = best < NEVER << 32
+            hit = best[going] & 0xFFFFFFFF
+            gone = after[hit]
+            symbol[hit] = merged[hit]
+            symbol[gone] = -1
+            order[gone] = NEVER << 32
+            right, left = after[gone], before[hit]
+            after[hit], before[right] = right, hit
+            order[hit], merged[hit] = self._merges(symbol[hit], symbol[right], hit)
+            order[left], merged[left] = self._merges(symbol[left], symbol[hit], left)
+        tokens = result[inside]
+        there = tokens >= 0
+        ends = np.r_[0, np.cumsum(there)][np.r_[0, np.cumsum(sizes)]].tolist()
+        decimal, pieces = self.decimal, len(self.decimal)
+        names = [decimal[t] if t < pieces else ",".join(decimal[self.vocabulary.byte_ids[b]] for b in chr(t - pieces).encode()) for t in tokens[there].tolist()]
+        return [",".join(names[a:b]) for a, b in itertools.pairwise(ends)]
 
     def cut_long(self, part: str) -> list[str]:
         """A long part cut where its neighbouring characters are side by side in no piece."""
@@ -287,38 +325,54 @@ class Encoder:
         cuts = np.flatnonzero(known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] != keys) + 1
         return [part[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)]
 
-    def _keep(self, part: str, ids: str) -> None:
-        """Remembers a part. When half the bytes are used, the parts kept before the last such time are forgotten."""
-        if self.bytes > CACHED_BYTES // 2:
-            self.older, self.parts, self.bytes = self.parts, {}, 0
-        self.bytes += ENTRY_BYTES + len(part) + len(ids)
-        self.parts[part] = ids
+    def _cut(self, text: str) -> list[str]:
+        """Parts of a text that is not empty: a token of the whole text is one of a part."""
+        if self.words and text[0] != " " and "  " not in text and SPACE not in text:
+            if "\n" not in text:
+                return [SPACE + w for w in text.split(" ")]
+            first, *others = text.split("\n")
+            parts = [SPACE + w for w in first.split(" ")]
+            for line in others:
+                word, *words = line.split(" ")
+                parts.append("\n")
+                if word:
+                    parts.append(word)
+                parts.extend([SPACE + w for w in words])
+            return parts
+        marked = SPACE + text.replace(" ", SPACE)
+        return self.cut.findall(marked) if self.cut else [marked]
+
+    def _learn(self, parts: set[str]) -> None:
+        """Remember the ids of parts that ``self.parts`` doesn't have."""
+        older = self.older
+        kept = [p for p in parts if p in older]
+        new = parts.difference(kept) if kept else parts
+        long = [p for p in new if len(p) > TOGETHER]
+        short = list(new.difference(long) if long else new)
+        for some, ids in ((kept, [older[p] for p in kept]), (short, self.walk(short)), (long, [self.walk_one(p) for p in long])):
+            self.parts.update(zip(some, ids, strict=True))
+            self.bytes += ENTRY_BYTES * len(some) + sum(map(len, some)) + sum(map(len, ids))
 
     def encode(self, texts: list[str | None]) -> list[str]:
-        """The ids of each text in decimal, joined by commas; null and empty texts have none."""
-        found = []
-        for text in texts:
-            marked = SPACE + text.replace(" ", SPACE) if text else ""
-            parts = self.cut.findall(marked) if self.cut else [marked] if marked else []
-            if parts and max(map(len, parts)) >= LONG:
-                parts = [p for part in parts for p in ((part,) if len(part) < LONG else self.cut_long(part))]
-            found.append(parts)
-        here: dict[str, str] = {}
-        new = []
-        for part in set().union(*found):
-            known = self.parts.get(part)
-            if known is None:
-                known = self.older.get(part)
-                if known is None:
-                    new.append(part)
-                    continue
-                self._keep(part, known)
-            here[part] = known
-        short = [p for p in new if len(p) <= TOGETHER]
-        for part, ids in itertools.chain(zip(short, self.walk(short), strict=True), ((p, self.walk_one(p)) for p in new if len(p) > TOGETHER)):
-            here[part] = ids
-            self._keep(part, ids)
-        return [",".join(map(here.__getitem__, ps)) for ps in found]
+        """The ids of each text in decimal, joined by commas; null and empty texts have none.
+
+        When half the bytes are used, the parts kept before the last such time are forgotten. Long parts
+        are kept in pieces.
+        """
+        if self.bytes > CACHED_BYTES // 2:
+            self.older, self.parts, self.bytes = self.parts, {}, 0
+        found = [self._cut(text) if text else [] for text in texts]
+        new = set().union(*found).difference(self.parts)
+        long = {part: self.cut_long(part) for part in new if len(part) >= LONG}
+        self._learn(new.difference(long).union(*long.values()).difference(self.parts))
+        known = self.parts.__getitem__
+        joined = {part: ",".join(map(known, pieces)) for part, pieces in long.items()}
+        self.parts.update(joined)
+        encoded = [",".join(map(known, ps)) for ps in found]
+        for part, pieces in long.items():
+            if len(pieces) > 1:
+                del self.parts[part]
+        return encoded
 
 
 #: The encoder of the last vocabulary of this process: a worker that runs one task after another goes on with what it knows.

@@ -49,6 +49,38 @@ def test_hard_texts(library, vocabulary):
     assert encoder.walk(parts) == [encoder.walk_one(p) for p in parts]
 
 
+def test_short_parts_are_merged_together(library, vocabulary, monkeypatch):
+    """Many different words take some look-ups of whole arrays, and no test of pairs one by one (before: some for each character)."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abdeéinorstuß"), rng.integers(1, 40))) for _ in range(3000)]
+    calls = []
+    pair, merges = piece_bpe.Encoder._pair, piece_bpe.Encoder._merges
+    monkeypatch.setattr(piece_bpe.Encoder, "_pair", lambda self, key: (calls.append("pair"), pair(self, key))[1])
+    monkeypatch.setattr(piece_bpe.Encoder, "_merges", lambda self, *a: (calls.append("merges"), merges(self, *a))[1])
+    text = " ".join(words)
+    assert piece_bpe.Encoder(vocabulary).encode([text]) == [",".join(map(str, library.encode(text)))]
+    assert "pair" not in calls and len(calls) < 100
+
+
+def test_cuts(vocabulary):
+    """Texts cut at spaces and line feeds have the parts that the pattern finds."""
+    encoder = piece_bpe.Encoder(vocabulary)
+    rng = np.random.default_rng(13)
+    texts = ["\n", " ", "a", "a \n b", "\n\n a\n", "a\n ", "a ", "\t a\r\n"]
+    texts += ["".join(rng.choice(list("ab  \n\t▁"), rng.integers(1, 12), p=[0.3, 0.25, 0.1, 0.1, 0.15, 0.05, 0.05])) for _ in range(3000)]
+    for t in texts:
+        assert encoder._cut(t) == encoder.cut.findall(piece_bpe.SPACE + t.replace(" ", piece_bpe.SPACE))
+
+
+def test_long_parts_in_pieces(library, vocabulary):
+    """Long parts, met again, beside their own pieces and across texts, keep nothing whole that is cut."""
+    texts = ["https://example.com/some/path?x=1&y=2#" + "z" * n for n in (3, 30, 90)] + ["日本語" * 40, "a" * 70 + " " + "a" * 70, "日本語"]
+    encoder = piece_bpe.Encoder(vocabulary)
+    for _ in range(2):
+        assert encoder.encode(texts) == [",".join(map(str, library.encode(t))) for t in texts]
+    assert all(len(encoder.cut_long(p)) == 1 for p in encoder.parts)
+
+
 def test_small_memory_changes_nothing(vocabulary, monkeypatch):
     rng = np.random.default_rng(5)
     texts = ["".join(rng.choice(list("abcde fgh "), 400)) for _ in range(40)]
