@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, key string, taken string, segments string"
@@ -31,3 +34,23 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="session")
+def cost():
+    """cost(call): least CPU time of three calls, as a multiple of a stable sort of a million numbers just before and after."""
+    keys = np.random.default_rng(1).integers(0, 1 << 40, 1 << 20)
+
+    def least(call):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            call()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    def measured(call):
+        sort = lambda: np.argsort(keys, kind="stable")
+        return 2 * least(call) / (least(sort) + least(sort))
+
+    return measured

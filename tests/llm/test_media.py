@@ -175,6 +175,12 @@ def test_work_a_byte(monkeypatch):
     assert sum(items) < len(data) / 2 and sum(peeks) < 1.2 * len(data)
 
 
+def test_cost(cost):
+    """A megabyte of text costs about one sort of a million numbers to write and read; before, some four."""
+    data = np.frombuffer((b"What was said in the meeting, line by line. " * 30000)[: 1 << 20], np.uint8)
+    assert cost(lambda: jpeg.decode(jpeg.encode(data, np.full(256, 64)))) < 2.2
+
+
 def test_flat_picture():
     """Only Y's constant term: grey of that level; 8 steps of it are one of a sample."""
     data = np.full(64 * 6, 128, np.uint8)
