@@ -62,6 +62,14 @@ def test_short_parts_are_merged_together(library, vocabulary, monkeypatch):
     assert "pair" not in calls and len(calls) < 100
 
 
+def test_cost(vocabulary, cost):
+    """60,000 new words cost about four sorts of a million numbers; before, some fifteen."""
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 14, 60000))
+    encoders = [piece_bpe.Encoder(vocabulary) for _ in range(3)]
+    assert cost(lambda: encoders.pop().encode([text])) < 8
+
+
 def test_cuts(vocabulary):
     """Texts cut at spaces and line feeds have the parts that the pattern finds."""
     encoder = piece_bpe.Encoder(vocabulary)
