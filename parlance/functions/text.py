@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -281,12 +282,21 @@ def without_overlap(previous: Column, text: Column, most: int = 20) -> Column:
     return F.when(drop > 0, F.array_join(F.slice(new, drop + 1, F.lit(1 << 30)), " ")).otherwise(F.trim(text))
 
 
+def made_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row, however often it is named: else each mention makes it anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_json_object(text: Column) -> Column:
     """The first complete JSON object in a text, by depth of braces outside strings; null if it doesn't end.
 
     The text is read as strings, braces and what lies between, so the fold is as long as the braces are many.
     """
-    body = F.substring(text, F.instr(text, F.lit("{")), F.length(text))
+    return made_once(F.when(F.instr(text, F.lit("{")) > 0, F.substring(text, F.instr(text, F.lit("{")), F.length(text))), _closed)
+
+
+def _closed(body: Column) -> Column:
+    """What starts with a brace, up to the brace that closes it."""
     pieces = F.regexp_extract_all(body, F.lit(r'(?s)"(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|"'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("end"))
 
@@ -296,7 +306,7 @@ def first_json_object(text: Column) -> Column:
         return F.struct(depth.alias("depth"), read.alias("read"), F.coalesce(at["end"], F.when((p == "}") & (depth == 0), read)).alias("end"))
 
     end = F.aggregate(pieces, start, step, lambda at: at["end"])
-    return F.when(F.instr(text, F.lit("{")) > 0, F.when(end.isNotNull(), F.substring(body, F.lit(1), end)))
+    return made_once(end, lambda n: F.when(n.isNotNull(), F.substring(body, F.lit(1), n)))
 
 
 def allowed_origin(origin: Column) -> Column:
@@ -336,22 +346,31 @@ def summary_of(raw: Column) -> Column:
     Names of fields have aliases; blank entries are dropped, blank values null, times parsed. Null where
     there is no JSON object or nothing usable in it.
     """
-    body = first_json_object(raw)
     task = "struct<text:string,task:string,description:string,assignee:string,owner:string,due:string,deadline:string,timestamp:string,time:string>"
     note = "struct<text:string,note:string,content:string,author:string,owner:string,speaker:string,timestamp:string,time:string>"
     lists = "keyPoints array<string>, key_points array<string>, decisions array<string>, openQuestions array<string>, open_questions array<string>"
-    j = F.from_json(body, f"title string, meeting_title string, meetingTitle string, overview string, {lists}, actionItems array<{task}>, action_items array<{task}>, tasks array<{task}>, notes array<{note}>, meeting_notes array<{note}>, meetingNotes array<{note}>")
+    schema = f"title string, meeting_title string, meetingTitle string, overview string, {lists}, actionItems array<{task}>, action_items array<{task}>, tasks array<{task}>, notes array<{note}>, meeting_notes array<{note}>, meetingNotes array<{note}>"
+    # An answer is parsed once, and its lists are made once, though each is named often below.
+    parsed = made_once(first_json_object(raw), lambda body: F.when(body.isNotNull(), F.from_json(body, schema)))
+    return made_once(parsed, lambda j: made_once(_parts(j), lambda p: _usable(j, p)))
+
+
+def _parts(j: Column) -> Column:
+    """The lists of a parsed answer: (key_points, decisions, open_questions, action_items, notes)."""
     filled = lambda *cs: F.coalesce(*[F.when(~F.lower(F.trim(c)).isin("", "null"), F.trim(c)) for c in cs])
     texts = lambda *cs: F.filter(F.transform(F.coalesce(*cs, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
-    entries = lambda kind, *cs: F.coalesce(*cs, F.array().cast(f"array<{kind}>"))
-    tasks = F.transform(entries(task, j["actionItems"], j["action_items"], j["tasks"]), lambda x: F.struct(filled(x["text"], x["task"], x["description"]).alias("text"), filled(x["assignee"], x["owner"]).alias("assignee"), filled(x["due"], x["deadline"]).alias("due"), parse_timestamp(F.coalesce(x["timestamp"], x["time"])).alias("source_ms")))
-    notes = F.transform(entries(note, j["notes"], j["meeting_notes"], j["meetingNotes"]), lambda x: F.struct(filled(x["text"], x["note"], x["content"]).alias("text"), filled(x["author"], x["owner"], x["speaker"]).alias("author"), parse_timestamp(F.coalesce(x["timestamp"], x["time"])).alias("source_ms")))
+    tasks = F.transform(F.coalesce(j["actionItems"], j["action_items"], j["tasks"], F.array()), lambda x: F.struct(filled(x["text"], x["task"], x["description"]).alias("text"), filled(x["assignee"], x["owner"]).alias("assignee"), filled(x["due"], x["deadline"]).alias("due"), parse_timestamp(F.coalesce(x["timestamp"], x["time"])).alias("source_ms")))
+    notes = F.transform(F.coalesce(j["notes"], j["meeting_notes"], j["meetingNotes"], F.array()), lambda x: F.struct(filled(x["text"], x["note"], x["content"]).alias("text"), filled(x["author"], x["owner"], x["speaker"]).alias("author"), parse_timestamp(F.coalesce(x["timestamp"], x["time"])).alias("source_ms")))
     kept = lambda items: F.filter(items, lambda x: x["text"].isNotNull())
-    parts = [texts(j["keyPoints"], j["key_points"]), texts(j["decisions"]), texts(j["openQuestions"], j["open_questions"]), kept(tasks), kept(notes)]
+    lists = {"key_points": texts(j["keyPoints"], j["key_points"]), "decisions": texts(j["decisions"]), "open_questions": texts(j["openQuestions"], j["open_questions"]), "action_items": kept(tasks), "notes": kept(notes)}
+    return F.struct(*[p.alias(n) for n, p in lists.items()])
+
+
+def _usable(j: Column, parts: Column) -> Column:
     overview = F.coalesce(F.trim(j["overview"]), F.lit(""))
-    usable = overview != ""
-    for p in parts:
-        usable = usable | (F.size(p) > 0)
     names = ("key_points", "decisions", "open_questions", "action_items", "notes")
+    usable = overview != ""
+    for n in names:
+        usable = usable | (F.size(parts[n]) > 0)
     title = clamped_title(F.coalesce(j["title"], j["meeting_title"], j["meetingTitle"], F.lit("")))
-    return F.when(body.isNotNull() & usable, F.struct(title.alias("title"), overview.alias("overview"), *[p.alias(n) for p, n in zip(parts, names, strict=True)]))
+    return F.when(j.isNotNull() & usable, F.struct(title.alias("title"), overview.alias("overview"), *[parts[n].alias(n) for n in names]))

@@ -266,8 +266,9 @@ def scl_j4_summary(spark, d):
     k = F.col("o_orderkey")
     task = F.when(k % 5 == 0, F.struct(F.lit(" ").alias("task"), F.lit("x").alias("owner"), F.lit("").alias("time"))).otherwise(F.struct(F.concat(F.lit(" Tarea "), k).alias("task"), F.when(k % 2 == 0, "Ana").otherwise("null").alias("owner"), F.format_string("00:%02d", k % 60).alias("time")))
     raw = F.concat(F.lit("Here it is:\n"), F.to_json(F.struct(F.lit("Una reunión").alias("meeting_title"), F.array(task).alias("tasks"))), F.lit("\nBye"))
-    s = read(spark, d, "orders").select("o_orderkey", t.summary_of(raw).alias("s")).filter("s IS NOT NULL")
-    return s.select("o_orderkey", F.inline("s.action_items")).select("o_orderkey", "text", "assignee", "source_ms")
+    # Outer: Spark would put filters on the summary below an inner generator, and make it anew for each.
+    items = read(spark, d, "orders").select("o_orderkey", F.inline_outer(t.summary_of(raw)["action_items"]))
+    return items.filter("text IS NOT NULL").select("o_orderkey", "text", "assignee", "source_ms")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 1001 WHEN 999 THEN 'Sala' WHEN 1000 THEN 'Tú' END AS name, CASE WHEN p_partkey * 20 < 2048 THEN 3 * 2048 + p_partkey * 20 END AS channel FROM part")

@@ -188,6 +188,18 @@ def test_json_in_answers(spark):
     assert one(spark, t.summary_of(F.lit('{"title": "only"}'))) is None
 
 
+def test_an_answer_is_parsed_once(spark):
+    from parlance.plans.scalars import scl_j4_summary
+
+    plan = scl_j4_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("regexp_extract_all(") == 1
+    raw = ['{"notes": [{"note": " n ", "speaker": "Ana", "time": "3"}]}', '{"overview": " o "}', '{"title": "x", "tasks": [{"task": "null"}]}', "{} {", "", None, '{"decisions": [" ", "d"]} {"overview": "late"}', '{"overview": ']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i long, raw string").select("i", t.summary_of(F.col("raw")).alias("s"))
+    got = {r["i"]: r["s"] for r in df.filter("s IS NOT NULL").collect()}
+    assert got.keys() == {0, 1, 6} and got[0]["notes"][0].asDict() == {"text": "n", "author": "Ana", "source_ms": 3000}
+    assert (got[1]["overview"], got[1]["action_items"], got[6]["decisions"], got[6]["overview"]) == ("o", [], ["d"], "")
+
+
 def test_signatures(spark):
     import base64
     import hashlib
