@@ -100,6 +100,22 @@ def test_owned_sound_as_a_stream(spark):
     assert {r["frame"]: r["user_id"] for r in spark.table("owned").filter("frame < 999").collect()} == want
 
 
+def test_owned_sound_is_walked_and_not_joined(spark):
+    """Dense rows: frames and announcements by the hand of a plain loop, without a join of each with each."""
+    frames = [(i, "sxy"[i % 3] if i % 50 else None, (i * 7919) % 3_000 - 500) for i in range(4_000)]
+    owners = [("sx"[i % 2], i % 9 if i % 11 else None, (i * 104_729) % 3_000 - 500, i) for i in range(300)]
+    ms = lambda df: df.withColumn("at", F.timestamp_millis("at"))
+    f, o = ms(spark.createDataFrame(frames + frames[:70], "frame long, ssrc string, at long")), ms(spark.createDataFrame(owners + [("s", 5, None, 999)], "ssrc string, user_id long, at long, seq long"))
+    want = []
+    for i, s, at in frames:
+        held = [(since, seq, user) for ssrc, user, since, seq in owners if ssrc == s and at - 40 < since <= at]
+        if held:
+            want.append((i, max(held, key=lambda x: x[:2])[2]))
+    owned = voices.owned(f, o, 40)
+    assert sorted((r["frame"], r["user_id"]) for r in owned.collect()) == sorted(want) and 1_000 < len(want) < 3_900
+    assert "Join" not in owned._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_batch_sent_twice_leaves_one_copy(spark):
     where = tempfile.mkdtemp(prefix="spark-")
     rows = spark.createDataFrame([(i, i % 2, f"doc {i}", f"head {i}") for i in range(6)], "id long, version long, document string, header string")
