@@ -38,15 +38,17 @@ def neighbours(links: DataFrame, seeds: DataFrame, visible: DataFrame, most: int
 
     Meetings with one set of links differ by their ids alone, so of each set only the first few take part:
     as many as are wanted, and as many more as may be seeds themselves. A link that very many meetings have
-    thus meets a question once for each different set, not once for each meeting.
+    thus meets a question once for each different set, not once for each meeting. A set is known by its first meeting,
+    and of a question's sets only as many go on as meetings may: each has one before all of a later set.
     """
     sets = links.join(visible, "meeting", "left_semi").groupBy("meeting").agg(F.array_sort(F.collect_set(F.struct("kind", "key"))).alias("links"))
     few = _first(sets, ["links"], ["meeting"], most + of_question)
-    members = few.select(F.xxhash64("links").alias("alike"), "links", "meeting")
-    linked = members.select("alike", "links").distinct().select("alike", "links", F.inline("links"))
+    members = few.select(F.min("meeting").over(Window.partitionBy("links")).alias("alike"), "links", "meeting")
+    linked = members.filter("meeting = alike").select("alike", F.inline("links"))
     wanted = links.join(seeds, "meeting").groupBy("question", "kind", "key").agg(F.count("*").alias("n"))
-    shared = wanted.join(linked, ["kind", "key"]).groupBy("question", "alike", "links").agg(F.sum("n").alias("shared"))
-    found = shared.join(members, ["alike", "links"]).select("question", "meeting", "shared").join(seeds.select("question", "meeting"), ["question", "meeting"], "left_anti")
+    shared = wanted.join(linked, ["kind", "key"]).groupBy("question", "alike").agg(F.sum("n").alias("shared"))
+    best = _first(shared, ["question"], [F.desc("shared"), "alike"], most + of_question).drop("nth")
+    found = best.join(members.select("alike", "meeting"), "alike").select("question", "meeting", "shared").join(seeds.select("question", "meeting"), ["question", "meeting"], "left_anti")
     return _first(found, ["question"], [F.desc("shared"), "meeting"], most).select("question", "meeting", "nth")
 
 

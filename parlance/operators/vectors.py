@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.arrow import mapped
+
 #: Scores that agree to so many places are equal, as sums of doubles depend on their order.
 PLACES = 9
 #: Rows of a block of vectors and of questions.
@@ -36,7 +38,7 @@ def _packed(rows: DataFrame, key: str, vector: str, names: tuple[str, str]) -> D
                     yield pa.RecordBatch.from_arrays([pa.array([ids[at].tolist()], pa.list_(pa.int64())), pa.array([int(width)], pa.int32()), pa.array([matrix.astype("<f8").tobytes()], pa.binary())], [names[0], "width", names[1]])
 
     fine = rows.filter(F.col(key).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()))
-    return fine.select(F.col(key).cast("long").alias(names[0]), F.col(vector).cast("array<double>").alias(names[1])).mapInArrow(run, f"{names[0]} array<long>, width int, {names[1]} binary")
+    return mapped(fine.select(F.col(key).cast("long").alias(names[0]), F.col(vector).cast("array<double>").alias(names[1])), run, f"{names[0]} array<long>, width int, {names[1]} binary")
 
 
 class _Best:
@@ -93,6 +95,6 @@ def nearest_many(vectors: DataFrame, questions: DataFrame, most: int, key: str =
     wanted = _packed(questions, question, vector, ("asked", "wanted")).withColumnRenamed("width", "wide")
     # The stated questions against all rows, block by block. Widths are compared in the tasks: as a join's key
     # they would bring all blocks of the one common width together.
-    found = blocks.crossJoin(wanted).mapInArrow(run, "question long, key long, score double")
+    found = mapped(blocks.crossJoin(wanted), run, "question long, key long, score double")
     order = Window.partitionBy("question").orderBy(F.desc("score"), "key")
     return found.withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < most)

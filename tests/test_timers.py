@@ -207,3 +207,21 @@ def test_many_questions_shuffle_no_postings(spark, monkeypatch):
     assert all(abs(a - b) < 1e-8 for q in got for (_, a), (_, b) in zip(got[q], want[q], strict=True))
     plan = best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Generate" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_neighbours_carry_few_sets(spark):
+    """Many sets of links: the neighbours are those of all pairs, and sets go on by the id of their first meeting."""
+    from parlance.operators import retrieval
+
+    links = [(m, kind, f"{kind}{(m * k + m // 5) % n}") for m in range(200) for kind, k, n in (("channel", 7, 6), ("folder", 3, 4), ("channel", 5, 6)) if m % 9]
+    links = sorted(set(links))
+    seeds, seen = [(q, (q * 37 + i * 11) % 200) for q in range(12) for i in range(3)], {m for m in range(200) if m % 4}
+    frames = spark.createDataFrame(links, "meeting long, kind string, key string"), spark.createDataFrame(seeds, "question long, meeting long"), spark.createDataFrame([(m,) for m in seen], "meeting long")
+    want = []
+    for q in range(12):
+        mine = [m for x, m in seeds if x == q]
+        shared = {m: sum((s, *x[1:]) in set(links) for s in mine for x in links if x[0] == m) for m in seen - set(mine)}
+        want += [(q, m, i + 1) for i, m in enumerate(sorted((m for m in shared if shared[m]), key=lambda m: (-shared[m], m))[:4])]
+    found = retrieval.neighbours(*frames, 4, 3)
+    assert sorted((r["question"], r["meeting"], r["nth"]) for r in found.collect()) == want
+    assert "xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()
