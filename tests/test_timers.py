@@ -225,3 +225,17 @@ def test_neighbours_carry_few_sets(spark):
     found = retrieval.neighbours(*frames, 4, 3)
     assert sorted((r["question"], r["meeting"], r["nth"]) for r in found.collect()) == want
     assert "xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_bound_what_is_held_at_once(spark):
+    """A term that all passages have is in runs of a bounded size, of an update too, and nothing is sorted by term."""
+    found = index.Index(f"{tempfile.mkdtemp(prefix='spark-')}/index", 4)
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word"), "id").alias("text")).coalesce(1)
+    index.add_segment(found, docs, passages_of_shard=20)
+    index.add_segment(found, docs.filter("doc_id < 90"), docs.filter("doc_id < 100"), passages_of_shard=20)
+    for _, name in index.segments(spark, found):
+        rows = spark.read.parquet(f"{found.path}/segments/{name}/postings")
+        assert rows.agg(F.max("n")).first()[0] == 20 and rows.filter("term = 'the'").count() == rows.select("run").distinct().count() >= 5
+    asked = spark.createDataFrame([(1, ["the"])], "question long, terms array<string>")
+    assert {r["key"] for r in index.scores(found, asked).collect()} == set(range(500)) - set(range(90, 100))
+    assert {r["term"]: r["df"] for r in index.document_frequency(spark, found).collect()}["the"] == 490
